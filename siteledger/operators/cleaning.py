@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -195,7 +196,7 @@ def co_rfi_quality(orders: DataFrame, rfis: DataFrame) -> DataFrame:
     )
 
 
-def quality_report(tables: dict[str, DataFrame], rules: Rules) -> DataFrame:
+def quality_report(tables: Mapping[str, DataFrame], rules: Rules) -> DataFrame:
     return (
         labor_quality(tables["labor_logs"])
         .unionByName(material_quality(tables["material_deliveries"], rules))

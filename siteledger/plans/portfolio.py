@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections import ChainMap
+from collections.abc import Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from siteledger.operators import causes, cleaning, flags, health, risk, summaries, variance
 from siteledger.rules import DEFAULT_AS_OF, DEFAULT_RULES, Rules
+from siteledger.sources.readers import empty_table
 from siteledger.sources.schemas import SCHEMAS
 
 
@@ -17,15 +20,13 @@ class Portfolio:
 
     def __init__(
         self,
-        tables: dict[str, DataFrame],
+        tables: Mapping[str, DataFrame],
         rules: Rules = DEFAULT_RULES,
         as_of: dt.date = DEFAULT_AS_OF,
     ):
-        self.tables = dict(tables)
-        spark = SparkSession.active()
-        for name, schema in SCHEMAS.items():
-            if name not in self.tables:
-                self.tables[name] = spark.createDataFrame([], schema)
+        missing = [name for name in SCHEMAS if name not in tables]
+        empty = {name: empty_table(SparkSession.active(), name) for name in missing}
+        self.tables = ChainMap(empty, tables)
         self.rules = rules
         self.as_of = as_of
 

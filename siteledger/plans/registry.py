@@ -1,4 +1,5 @@
 """Imports every query module, which fills the catalog."""
 
 from siteledger.plans import queries_core  # noqa: F401
+from siteledger.plans import queries_health  # noqa: F401
 from siteledger.plans.catalog import QUERIES  # noqa: F401

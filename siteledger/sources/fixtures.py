@@ -6,6 +6,8 @@ pay applications are orders; RFIs are events; field notes are documents.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,8 +15,24 @@ from pyspark.sql import Window as W
 COST_LINES = 8
 
 
+# Stated, so that no job is needed to read a schema.
+_STAR = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+    "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_STAR[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _project(key: str) -> Column:
@@ -305,9 +323,36 @@ def field_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    makers = [
+_MAKERS = {
+    make.__name__: make
+    for make in (
         contracts, labor_logs, material_deliveries, sov_budget, sov, change_orders, rfis,
         billing_history, billing_line_items, field_notes,
-    ]
-    return {make.__name__: make(spark, sf_dir) for make in makers}
+    )
+}
+
+
+class FixtureTables(Mapping):
+    """The ten tables by name, each built when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = _MAKERS[name](self._spark, self._dir)
+        return self._built[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in _MAKERS
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(_MAKERS)
+
+    def __len__(self) -> int:
+        return len(_MAKERS)
+
+
+def load(spark: SparkSession, sf_dir: str) -> FixtureTables:
+    return FixtureTables(spark, sf_dir)
