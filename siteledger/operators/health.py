@@ -11,25 +11,21 @@ from siteledger.functions.numbers import clip01, exact_sum, ratio, zero
 RECENT_WEEKS = 4
 
 
-def _last_weeks(weekly: DataFrame) -> DataFrame:
-    """The eight newest weeks per project, numbered from the newest.
-
-    The `row <= 8` filter is applied on each task before the shuffle.
-    """
-    newest = W.partitionBy("project_id").orderBy(F.col("week_start").desc())
-    return (
-        weekly.filter(F.col("week_start").isNotNull())
-        .withColumn("_row", F.row_number().over(newest))
-        .filter(F.col("_row") <= 2 * RECENT_WEEKS)
-    )
+def _by_recency(weekly: DataFrame) -> DataFrame:
+    """Weeks numbered from the newest. Rows are weekly already, so a project's window
+    holds one row per calendar week, however large the project is."""
+    newest = W.partitionBy("project_id").orderBy(F.col("week_start").desc_nulls_last())
+    return weekly.withColumn("_row", F.row_number().over(newest))
 
 
 def _recent() -> Column:
-    return F.col("_row") <= RECENT_WEEKS
+    return F.col("week_start").isNotNull() & (F.col("_row") <= RECENT_WEEKS)
 
 
 def _prior() -> Column:
-    return F.col("_row") > RECENT_WEEKS
+    return F.col("week_start").isNotNull() & F.col("_row").between(
+        RECENT_WEEKS + 1, 2 * RECENT_WEEKS
+    )
 
 
 def _mean_when(condition: Column, value: Column) -> Column:
@@ -42,16 +38,14 @@ def _change(recent: Column, prior: Column) -> Column:
 
 
 def weekly_cost_trend(weekly: DataFrame) -> DataFrame:
-    averages = _last_weeks(weekly).groupBy("project_id").agg(
+    trend = _by_recency(weekly).groupBy("project_id").agg(
+        F.count("week_start").alias("active_weeks"),
         _mean_when(_recent(), F.col("total_cost")).alias("recent"),
         _mean_when(_prior(), F.col("total_cost")).alias("prior"),
     )
-    active = weekly.groupBy("project_id").agg(
-        F.countDistinct("week_start").alias("active_weeks")
-    )
     recent = zero(F.col("recent"))
     prior = F.coalesce(F.col("prior"), recent)
-    return active.join(averages, "project_id", "left").select(
+    return trend.select(
         "project_id",
         "active_weeks",
         recent.alias("recent_weekly_cost_avg"),
@@ -70,7 +64,7 @@ def weekly_labor_trend(labor_week: DataFrame) -> DataFrame:
             F.count_if(condition) > 0, 0.0
         )
 
-    trend = _last_weeks(labor_week).groupBy("project_id").agg(
+    trend = _by_recency(labor_week).groupBy("project_id").agg(
         share(_recent()).alias("recent_ot"),
         share(_prior()).alias("prior_ot"),
         _mean_when(_recent(), crew).alias("recent_crew"),
@@ -80,8 +74,7 @@ def weekly_labor_trend(labor_week: DataFrame) -> DataFrame:
     prior_ot = F.coalesce(F.col("prior_ot"), recent_ot)
     recent_crew = zero(F.col("recent_crew"))
     prior_crew = F.coalesce(F.col("prior_crew"), recent_crew)
-    projects = labor_week.select("project_id").distinct()
-    return projects.join(trend, "project_id", "left").select(
+    return trend.select(
         "project_id",
         recent_ot.alias("recent_ot_share"),
         prior_ot.alias("prior_ot_share"),

@@ -96,7 +96,7 @@ SELECT 'PRJ-' || CAST(c_custkey AS VARCHAR) AS project_id,
     WHEN 'FURNITURE' THEN 'Elementary School ' WHEN 'HOUSEHOLD' THEN 'Multifamily Housing '
     ELSE 'Plant ' END || CAST(c_custkey AS VARCHAR) AS project_name,
   n_name AS gc_name,
-  CAST(CASE WHEN c_custkey % 97 = 0 THEN 0 ELSE 10500 + (c_custkey * 7919 % 21 - 10) * 150 END
+  CAST(CASE WHEN c_custkey % 97 = 0 THEN 0 ELSE 210000 + (c_custkey * 7919 % 21 - 10) * 3000 END
     AS DOUBLE) AS original_contract_value,
   CAST(0.10 AS DOUBLE) AS retention_pct,
   CASE c_custkey % 4 WHEN 0 THEN DATE '2023-06-30' WHEN 1 THEN DATE '2024-02-15'
@@ -111,7 +111,7 @@ SELECT 'PRJ-' || CAST(o_custkey AS VARCHAR) AS project_id,
   'SOV-' || CAST(l_partkey % 8 AS VARCHAR) AS sov_line_id,
   l_quantity % 9 AS hours_st,
   CASE WHEN l_returnflag = 'R' THEN l_quantity % 4 ELSE CAST(0 AS DOUBLE) END AS hours_ot,
-  CAST(30 + l_partkey % 41 AS DOUBLE) AS hourly_rate,
+  CAST((30 + l_partkey % 41) * 20 AS DOUBLE) AS hourly_rate,
   CAST(1.3 + CAST(l_tax AS DECIMAL(8,4)) AS DOUBLE) AS burden_multiplier,
   'A-' || CAST(l_linenumber AS VARCHAR) AS work_area,
   'CC-' || CAST(l_suppkey % 7 AS VARCHAR) AS cost_code
@@ -123,8 +123,8 @@ SELECT 'PRJ-' || CAST(o_custkey AS VARCHAR) AS project_id,
   CASE l_partkey % 6 WHEN 0 THEN 'CONTROLS' WHEN 1 THEN 'Duct Work' WHEN 2 THEN 'Equip.'
     WHEN 3 THEN 'insul' WHEN 4 THEN 'Pipe' ELSE 'Piping' END AS material_category,
   'item ' || CAST(l_partkey AS VARCHAR) AS item_description,
-  l_quantity % 10 + 1 AS quantity, 'EA' AS unit, CAST(20 + l_partkey % 50 AS DOUBLE) AS unit_cost,
-  CAST((l_quantity % 10 + 1) * (20 + l_partkey % 50)
+  l_quantity % 10 + 1 AS quantity, 'EA' AS unit, CAST((20 + l_partkey % 50) * 20 AS DOUBLE) AS unit_cost,
+  CAST((l_quantity % 10 + 1) * (20 + l_partkey % 50) * 20
     + CASE WHEN l_suppkey % 10 = 0 THEN 25 ELSE 0 END AS DOUBLE) AS total_cost,
   'PO-' || CAST(l_orderkey AS VARCHAR) AS po_number, 'V-' || CAST(l_suppkey AS VARCHAR) AS vendor,
   CAST(NULL AS VARCHAR) AS received_by,
@@ -136,10 +136,10 @@ view("v_sov_budget", """
 SELECT 'PRJ-' || CAST(c_custkey AS VARCHAR) AS project_id,
   'SOV-' || CAST(line AS VARCHAR) AS sov_line_id,
   CAST(10 + line AS DOUBLE) AS estimated_labor_hours,
-  CAST(300 + (c_custkey * 31 + line * 17) % 13 * 75 AS DOUBLE) AS estimated_labor_cost,
-  CAST(250 + (c_custkey * 13 + line * 7) % 11 * 50 AS DOUBLE) AS estimated_material_cost,
-  CAST(100 + c_custkey % 5 * 20 AS DOUBLE) AS estimated_equipment_cost,
-  CAST(c_custkey % 3 * 40 AS DOUBLE) AS estimated_sub_cost,
+  CAST(6000 + (c_custkey * 31 + line * 17) % 13 * 1500 AS DOUBLE) AS estimated_labor_cost,
+  CAST(5000 + (c_custkey * 13 + line * 7) % 11 * 1000 AS DOUBLE) AS estimated_material_cost,
+  CAST(2000 + c_custkey % 5 * 400 AS DOUBLE) AS estimated_equipment_cost,
+  CAST(c_custkey % 3 * 800 AS DOUBLE) AS estimated_sub_cost,
   CAST(1 AS DOUBLE) AS productivity_factor, 'standard' AS key_assumptions
 FROM v_lines WHERE line < 7 OR c_acctbal >= 0""")
 view("v_sov", """
@@ -154,7 +154,7 @@ SELECT 'PRJ-' || CAST(o_custkey AS VARCHAR) AS project_id,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'Acceleration' WHEN '2-HIGH' THEN 'Owner request'
     WHEN '3-MEDIUM' THEN 'Design error' WHEN '5-LOW' THEN 'Phasing' ELSE '' END AS reason_category,
   'change ' || CAST(o_orderkey AS VARCHAR) AS description,
-  CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.0006 AS DECIMAL(6,4)) AS DECIMAL(18,2))
+  CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.0120 AS DECIMAL(6,4)) AS DECIMAL(18,2))
     AS DOUBLE) AS amount,
   CASE o_orderstatus WHEN 'F' THEN 'Approved' WHEN 'O' THEN ' pending ' ELSE 'REJECTED' END
     AS status,
@@ -184,9 +184,9 @@ FROM events""")
 view("v_monthly", """
 SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
   MAX(CAST(o_orderdate AS DATE)) AS period_end,
-  SUM(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.004 AS DECIMAL(6,4)) AS DECIMAL(18,2)))
+  SUM(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.0800 AS DECIMAL(6,4)) AS DECIMAL(18,2)))
     AS billed,
-  SUM(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.0004 AS DECIMAL(6,4)) AS DECIMAL(18,2)))
+  SUM(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.0080 AS DECIMAL(6,4)) AS DECIMAL(18,2)))
     AS held,
   MIN(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS all_paid
 FROM orders GROUP BY 1, 2""")
@@ -205,7 +205,7 @@ FROM v_applications""")
 view("v_billing_line_items", """
 SELECT 'PRJ-' || CAST(o_custkey AS VARCHAR) AS project_id,
   CAST(app AS VARCHAR) AS application_number, 'SOV-' || CAST(line AS VARCHAR) AS sov_line_id,
-  CAST(800 + line * 100 AS DOUBLE) AS scheduled_value,
+  CAST(16000 + line * 2000 AS DOUBLE) AS scheduled_value,
   CAST(LEAST(app * 9 + line, 100) AS DOUBLE) AS pct_complete
 FROM (SELECT o_custkey, app, unnest(generate_series(0, 7)) AS line FROM v_applications)""")
 view("v_field_notes", """

@@ -9,7 +9,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteledger.operators import causes, cleaning, flags, health, risk, summaries, variance
+from siteledger.operators import (
+    causes, cleaning, flags, health, planning, portfolio, recovery, risk, summaries, variance,
+)
 from siteledger.rules import DEFAULT_AS_OF, DEFAULT_RULES, Rules
 from siteledger.sources.readers import empty_table
 from siteledger.sources.schemas import SCHEMAS
@@ -227,3 +229,49 @@ class Portfolio:
     @cached_property
     def management(self) -> DataFrame:
         return causes.management_project_summary(self.classified)
+
+    # recovery: causes, actions and briefs of flagged projects
+    @cached_property
+    def project_base(self) -> DataFrame:
+        return recovery.project_base(self.flagged, self.rules)
+
+    @cached_property
+    def projects(self) -> DataFrame:
+        return recovery.recovery_actions(recovery.root_causes(self.project_base))
+
+    @cached_property
+    def briefs(self) -> DataFrame:
+        return recovery.project_briefs(self.projects)
+
+    @cached_property
+    def cause_rows(self) -> DataFrame:
+        return recovery.cause_rows(self.projects)
+
+    @cached_property
+    def action_rows(self) -> DataFrame:
+        return recovery.action_rows(self.projects)
+
+    # portfolio
+    @cached_property
+    def all_actions(self) -> DataFrame:
+        return portfolio.all_actions(self.briefs)
+
+    @cached_property
+    def action_roi(self) -> DataFrame:
+        return portfolio.action_roi(self.all_actions, self.rules)
+
+    @cached_property
+    def top_actions(self) -> DataFrame:
+        return portfolio.top_actions(self.action_rows)
+
+    @cached_property
+    def projects_by_gc(self) -> DataFrame:
+        return portfolio.projects_by_gc(self.briefs)
+
+    @cached_property
+    def systemic_issues(self) -> DataFrame:
+        return portfolio.systemic_issues(self.briefs, self.rules)
+
+    @cached_property
+    def week_capacity_plan(self) -> DataFrame:
+        return planning.week_capacity_plan(self.action_roi, self.rules)

@@ -2,4 +2,5 @@
 
 from siteledger.plans import queries_core  # noqa: F401
 from siteledger.plans import queries_health  # noqa: F401
+from siteledger.plans import queries_recovery  # noqa: F401
 from siteledger.plans.catalog import QUERIES  # noqa: F401

@@ -75,7 +75,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(building, key.cast("string")).alias("project_name"),
         F.col("n_name").alias("gc_name"),
         F.when(key % 97 == 0, F.lit(0.0))
-        .otherwise((10500 + (key * 7919 % 21 - 10) * 150).cast("double"))
+        .otherwise((210000 + (key * 7919 % 21 - 10) * 3000).cast("double"))
         .alias("original_contract_value"),
         F.lit(0.10).alias("retention_pct"),
         finish.cast("date").alias("substantial_completion_date"),
@@ -114,7 +114,7 @@ def labor_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("l_quantity") % 9).alias("hours_st"),
             F.when(F.col("l_returnflag") == "R", F.col("l_quantity") % 4)
             .otherwise(F.lit(0.0)).alias("hours_ot"),
-            (30 + part % 41).cast("double").alias("hourly_rate"),
+            ((30 + part % 41) * 20).cast("double").alias("hourly_rate"),
             (F.lit(1.3).cast("decimal(2,1)") + F.col("l_tax").cast("decimal(8,4)"))
             .cast("double").alias("burden_multiplier"),
             _tag("A-", F.col("l_linenumber")).alias("work_area"),
@@ -134,7 +134,7 @@ def material_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("Piping")
     )
     quantity = F.col("l_quantity") % 10 + 1
-    unit_cost = (20 + part % 50).cast("double")
+    unit_cost = ((20 + part % 50) * 20).cast("double")
     return (
         _order_lines(spark, sf_dir)
         .filter(F.col("l_linenumber").isin(4, 6, 7))
@@ -173,12 +173,12 @@ def sov_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
             _project("c_custkey").alias("project_id"),
             _tag("SOV-", line).alias("sov_line_id"),
             (10 + line).cast("double").alias("estimated_labor_hours"),
-            (300 + (key * 31 + line * 17) % 13 * 75).cast("double")
+            (6000 + (key * 31 + line * 17) % 13 * 1500).cast("double")
             .alias("estimated_labor_cost"),
-            (250 + (key * 13 + line * 7) % 11 * 50).cast("double")
+            (5000 + (key * 13 + line * 7) % 11 * 1000).cast("double")
             .alias("estimated_material_cost"),
-            (100 + key % 5 * 20).cast("double").alias("estimated_equipment_cost"),
-            (key % 3 * 40).cast("double").alias("estimated_sub_cost"),
+            (2000 + key % 5 * 400).cast("double").alias("estimated_equipment_cost"),
+            (key % 3 * 800).cast("double").alias("estimated_sub_cost"),
             F.lit(1.0).alias("productivity_factor"),
             F.lit("standard").alias("key_assumptions"),
         )
@@ -214,7 +214,7 @@ def change_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("date_submitted"),
         reason.alias("reason_category"),
         _tag("change ", key).alias("description"),
-        _cents("o_totalprice", "0.0006").cast("double").alias("amount"),
+        _cents("o_totalprice", "0.0120").cast("double").alias("amount"),
         F.when(status == "F", "Approved").when(status == "O", " pending ")
         .otherwise("REJECTED").alias("status"),
         F.when(key % 2 == 0, _tag("RFI-", key % 500)).otherwise("").alias("related_rfi"),
@@ -258,8 +258,8 @@ def _applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("o_custkey", F.date_trunc("month", "o_orderdate").cast("date").alias("month"))
         .agg(
             F.max(F.col("o_orderdate").cast("date")).alias("period_end"),
-            F.sum(_cents("o_totalprice", "0.004")).alias("billed"),
-            F.sum(_cents("o_totalprice", "0.0004")).alias("held"),
+            F.sum(_cents("o_totalprice", "0.0800")).alias("billed"),
+            F.sum(_cents("o_totalprice", "0.0080")).alias("held"),
             F.min(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("all_paid"),
         )
     )
@@ -294,7 +294,7 @@ def billing_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
             _project("o_custkey").alias("project_id"),
             app.cast("string").alias("application_number"),
             _tag("SOV-", line).alias("sov_line_id"),
-            (800 + line * 100).cast("double").alias("scheduled_value"),
+            (16000 + line * 2000).cast("double").alias("scheduled_value"),
             F.least(app * 9 + line, F.lit(100)).cast("double").alias("pct_complete"),
         )
     )
