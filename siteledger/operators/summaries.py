@@ -21,27 +21,39 @@ def _distinct_counts(names: dict[str, str]) -> list:
     return [F.countDistinct(c).alias(alias) for c, alias in names.items()]
 
 
-def _labor_rollup(labor: DataFrame, keys: list[str], distinct: dict[str, str]) -> DataFrame:
-    """Two levels: by keys plus the counted columns, then by keys.
+CUBE_KEYS = ["project_id", "sov_line_id", "week_start", "employee_id", "role"]
 
-    Counting several distinct columns makes Spark copy each row once per column;
-    doing it on pre-grouped rows keeps that copy small and spreads a hot project
-    over its employees, roles and lines before anything is shuffled by project.
+
+def labor_cube(labor: DataFrame) -> DataFrame:
+    """Labor by project, line, week, employee and role.
+
+    Every labor summary is a roll-up of this table, so the logs are read and shuffled
+    once. Counting several distinct columns makes Spark copy each row once per column;
+    here that copy happens on cube rows, and a hot project is spread over its lines,
+    weeks, employees and roles before anything is grouped by project.
     """
     cost = labor_cost_decimal(
         *[F.col(c) for c in ("hours_st", "hours_ot", "hourly_rate", "burden_multiplier")]
     )
-    inner = labor.groupBy(*dict.fromkeys([*keys, *distinct])).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("hours_st").try_cast("decimal(18,6)")).alias("st"),
-        F.sum(F.col("hours_ot").try_cast("decimal(18,6)")).alias("ot"),
-        F.sum(F.col("hourly_rate").try_cast("decimal(18,6)")).alias("rate"),
-        F.sum(F.col("burden_multiplier").try_cast("decimal(18,6)")).alias("burden"),
-        F.sum(cost).alias("cost"),
-        F.min("date").alias("first_date"),
-        F.max("date").alias("last_date"),
-    )
-    total = inner.groupBy(*keys).agg(
+    total = lambda c: F.sum(F.col(c).try_cast("decimal(18,6)"))
+    return (
+        labor.withColumn("week_start", monday(F.col("date")))
+        .groupBy(*CUBE_KEYS)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            total("hours_st").alias("st"),
+            total("hours_ot").alias("ot"),
+            total("hourly_rate").alias("rate"),
+            total("burden_multiplier").alias("burden"),
+            F.sum(cost).alias("cost"),
+            F.min("date").alias("first_date"),
+            F.max("date").alias("last_date"),
+        )
+    )
+
+
+def _labor_rollup(cube: DataFrame, keys: list[str], distinct: dict[str, str]) -> DataFrame:
+    total = cube.groupBy(*keys).agg(
         F.sum("n").alias("num_logs"),
         *_distinct_counts(distinct),
         F.sum("st").cast("double").alias("total_hours_st"),
@@ -61,30 +73,36 @@ def _labor_rollup(labor: DataFrame, keys: list[str], distinct: dict[str, str]) -
     )
 
 
-def labor_project_summary(labor: DataFrame) -> DataFrame:
-    return _labor_rollup(
-        labor,
-        ["project_id"],
-        {"employee_id": "num_employees", "role": "num_roles", "sov_line_id": "num_sov_lines"},
-    )
+_LABOR_COUNTS = {"employee_id": "num_employees", "role": "num_roles"}
 
 
-def labor_project_sov_summary(labor: DataFrame) -> DataFrame:
+def labor_project_summary(cube: DataFrame) -> DataFrame:
     return _labor_rollup(
-        labor,
-        ["project_id", "sov_line_id"],
-        {"employee_id": "num_employees", "role": "num_roles"},
+        cube, ["project_id"], {**_LABOR_COUNTS, "sov_line_id": "num_sov_lines"}
     )
 
 
-def labor_project_week_summary(labor: DataFrame) -> DataFrame:
-    return _labor_rollup(
-        labor.withColumn("week_start", monday(F.col("date"))),
-        ["project_id", "week_start"],
-        {"employee_id": "num_employees", "role": "num_roles"},
+def labor_project_sov_summary(cube: DataFrame) -> DataFrame:
+    return _labor_rollup(cube, ["project_id", "sov_line_id"], _LABOR_COUNTS)
+
+
+def labor_project_week_summary(cube: DataFrame) -> DataFrame:
+    return _labor_rollup(cube, ["project_id", "week_start"], _LABOR_COUNTS)
+
+
+def material_cost_cube(material: DataFrame) -> DataFrame:
+    """Material cost by project, line and week; enough for everything but the counts."""
+    return (
+        material.withColumn("week_start", monday(F.col("date")))
+        .groupBy("project_id", "sov_line_id", "week_start")
+        .agg(F.sum(F.col("total_cost").try_cast("decimal(18,6)")).alias("cost"))
     )
 
 
+def material_cost(cube: DataFrame, keys: list[str]) -> DataFrame:
+    return cube.groupBy(*keys).agg(F.sum("cost").cast("double").alias("total_material_cost"))
+
+
 def _material_rollup(material: DataFrame, keys: list[str], distinct: dict[str, str]) -> DataFrame:
     return material.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_deliveries"),

@@ -41,6 +41,12 @@ def labor_vs_budget(labor_sov: DataFrame, budget: DataFrame) -> DataFrame:
     )
 
 
+MATERIAL_DETAILS = [
+    "num_deliveries", "num_unique_deliveries", "num_material_categories", "num_vendors",
+    "total_quantity", "avg_unit_cost", "first_delivery_date", "last_delivery_date",
+]
+
+
 def material_vs_budget(material_sov: DataFrame, budget: DataFrame) -> DataFrame:
     plan = budget.select(
         *LINE, "estimated_material_cost", "productivity_factor", "key_assumptions"
@@ -48,14 +54,7 @@ def material_vs_budget(material_sov: DataFrame, budget: DataFrame) -> DataFrame:
     return material_sov.join(plan, LINE, "left").select(
         *LINE,
         F.col("total_material_cost").alias("actual_material_cost"),
-        "num_deliveries",
-        "num_unique_deliveries",
-        "num_material_categories",
-        "num_vendors",
-        "total_quantity",
-        "avg_unit_cost",
-        "first_delivery_date",
-        "last_delivery_date",
+        *[c for c in MATERIAL_DETAILS if c in material_sov.columns],
         F.col("estimated_material_cost").alias("budget_material_cost"),
         "productivity_factor",
         "key_assumptions",

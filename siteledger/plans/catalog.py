@@ -34,10 +34,15 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def query(key: str, make: Callable[[Portfolio], DataFrame], sql: str | None = None) -> None:
+def query(
+    key: str,
+    make: Callable[[Portfolio], DataFrame],
+    sql: str | None = None,
+    share: bool = False,
+) -> None:
     """Register `make`, a function of the stage graph, under `key`."""
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return flat(make(Portfolio(fixtures.load(spark, sf_dir))))
+        return flat(make(Portfolio(fixtures.load(spark, sf_dir), share=share)))
 
     QUERIES[key] = Query(build, oracle(sql) if sql else None)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from siteledger.operators import causes, flags, health
-from siteledger.plans.catalog import query
+from siteledger.plans import catalog
 from siteledger.plans.oracle_views import dmean, dsum, fix, rmean, view
 from siteledger.rules import CAUSE_ACTIONS
 
+query = partial(catalog.query, share=True)
+
 view("v_cost_trend", f"""
 WITH numbered AS (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY project_id ORDER BY week_start DESC) AS rn
@@ -178,7 +182,7 @@ query("fired_triggers",
       COALESCE(trigger_count, 0) AS trigger_count
       FROM v_health h LEFT JOIN v_flagged f ON h.project_id = f.project_id""")
 query("portfolio_kpis", lambda p: flags.portfolio_kpis(p.health), "SELECT * FROM v_kpis")
-query("portfolio_summary", lambda p: flags.portfolio_summary(p.health, p.rules),
+query("portfolio_summary", lambda p: flags.portfolio_summary(p.health_table, p.rules),
       "SELECT *, (SELECT COUNT(*) FROM v_flagged) AS total_flagged FROM v_kpis")
 
 # ---- risk -------------------------------------------------------------------------

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from siteledger.operators import causes, flags, planning, portfolio, recovery
-from siteledger.plans.catalog import query
+from siteledger.plans import catalog
 from siteledger.plans.oracle_views import (
     SECTOR_A, SECTOR_B, dsum, pct_text, rmean, short_usd, view,
 )
@@ -15,6 +17,8 @@ from siteledger.plans.oracle_views import (
 _STAGE = """CASE WHEN COALESCE(percent_billed, percent_complete) >= 0.95 THEN 'complete'
   WHEN COALESCE(percent_billed, percent_complete) >= 0.75 THEN 'late'
   WHEN COALESCE(percent_billed, percent_complete) >= 0.15 THEN 'active' ELSE 'early' END"""
+query = partial(catalog.query, share=True)
+
 view("v_base", f"""
 SELECT *, greatest(0, actual_cost_total - estimated_cost_total) AS money_at_risk,
   CASE WHEN contract_value <> 0 THEN contract_value - actual_cost_total ELSE 0 END
@@ -403,7 +407,7 @@ WHERE EXISTS (SELECT 1 FROM v_base WHERE billing_gap > 0.05)
 UNION ALL SELECT 'Project teams need a tighter owner-by-owner action cadence.'
 WHERE NOT EXISTS (SELECT 1 FROM v_base WHERE co_rejected_value > 0 OR billing_gap > 0.05)""")
 query("api_summary",
-      lambda p: portfolio.api_summary(flags.portfolio_summary(p.health, p.rules), p.briefs), f"""
+      lambda p: portfolio.api_summary(flags.portfolio_summary(p.health_table, p.rules), p.briefs), f"""
 SELECT total_projects, total_contract AS total_value, avg_bid_margin, avg_realized_margin,
   (SELECT COUNT(*) FROM v_flagged) AS flagged_count,
   (SELECT COUNT(*) FROM v_base WHERE severity = 'critical') AS critical_count,
@@ -411,10 +415,10 @@ SELECT total_projects, total_contract AS total_value, avg_bid_margin, avg_realiz
   (SELECT COALESCE({dsum('expected_value')}, 0) FROM v_actions) AS total_recoverable
 FROM v_kpis""")
 query("ranked_projects", lambda p: portfolio.ranked_projects(p.briefs), """
-WITH top AS (SELECT id, sort_key FROM v_briefs ORDER BY sort_key DESC, id LIMIT 5)
-SELECT id AS project_id, CASE WHEN t.id IS NOT NULL THEN 0 ELSE 1 END AS source,
+SELECT b.id AS project_id, CASE WHEN t.id IS NOT NULL THEN 0 ELSE 1 END AS source,
   COALESCE(t.sort_key, priority_score) AS score
-FROM v_briefs b LEFT JOIN top t USING (id)""")
+FROM v_briefs b LEFT JOIN (SELECT id, sort_key FROM v_briefs ORDER BY sort_key DESC, id LIMIT 5) t
+  ON b.id = t.id""")
 
 # ---- planning ------------------------------------------------------------------------
 
