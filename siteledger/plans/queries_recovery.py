@@ -460,7 +460,7 @@ SELECT * FROM (SELECT id AS project_id,
       < 0.05::DOUBLE * -current_margin_dollars AS little_to_recover,
     total_recoverable_estimate, greatest(0, -current_margin_dollars) AS loss FROM v_briefs)
 WHERE billed_at_heavy_loss OR little_to_recover""")
-query("cash_flow", lambda p: portfolio.cash_flow(p.all_actions, p.rules), f"""
+view("v_cash_flow", f"""
 SELECT bucket, COUNT(*) AS actions, {dsum('estimated_recovery_dollars')} AS gross_recovery,
   {dsum('discounted')} AS expected_recovery
 FROM (SELECT *, CASE WHEN time_to_cash_days <= 7 THEN 'week_1' WHEN time_to_cash_days <= 30
@@ -471,6 +471,8 @@ FROM (SELECT *, CASE WHEN time_to_cash_days <= 7 THEN 'week_1' WHEN time_to_cash
     WHEN recovery_type = 'change_order' AND confidence <= 0.3 THEN 0.3::DOUBLE
     WHEN recovery_type = 'change_order' THEN 0.6::DOUBLE ELSE confidence END AS discounted
   FROM v_all_actions) GROUP BY 1""")
+query("cash_flow", lambda p: portfolio.cash_flow(p.all_actions, p.rules),
+      "SELECT * FROM v_cash_flow")
 query("achievability",
       lambda p: portfolio.achievability(p.week_capacity_plan, p.systemic_issues), f"""
 SELECT *, achievable / NULLIF(theoretical, 0) AS achievability_rate FROM (

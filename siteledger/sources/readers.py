@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from siteledger.functions.numbers import date, number
 from siteledger.sources.schemas import (
-    FEATURES, REQUIRED_COLUMNS, REQUIRED_TABLES, SCHEMAS, text_schema,
+    FEATURES, REQUIRED_COLUMNS, REQUIRED_TABLES, SCHEMAS,
 )
 
 
@@ -26,14 +26,26 @@ def empty_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[name])
 
 
-def scan_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+# Quoted nothing is an empty text, unquoted nothing is NULL.
+NO_TEXT = "\u0000"
+
+
+def scan_csv(
+    spark: SparkSession, path: str, columns: list[str] | None = None, one_line: bool = False
+) -> DataFrame:
     """Header CSV as text columns; one pass, nothing inferred.
 
     With `columns` the header must be in that order; without, the names come from
-    the header line and every column is text.
+    the header line and every column is text. Records may span lines, which keeps a
+    file in one task; pass `one_line` for large files whose records never do, and
+    Spark splits them.
     """
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
-    reader = reader.option("multiLine", True)
+    reader = (
+        spark.read.option("header", True)
+        .option("escape", '"')
+        .option("nullValue", NO_TEXT)
+        .option("multiLine", not one_line)
+    )
     if columns is not None:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     return reader.csv(path)
@@ -151,12 +163,12 @@ RECORDS = "array<map<string,string>>"
 
 def normalize_json_table(text: Column) -> Column:
     """Records of a JSON table: an array, or the first array of records in an object."""
-    listed = F.from_json(text, RECORDS)
-    members = F.map_values(F.from_json(text, f"map<string,{RECORDS}>"))
-    nested = F.element_at(F.filter(members, lambda v: v.isNotNull()), 1)
-    is_list = F.ltrim(text).startswith("[")
-    records = F.when(is_list, listed).otherwise(nested)
-    return F.coalesce(records, F.array().cast(RECORDS))
+    records = lambda c: F.when(F.ltrim(c).startswith("["), F.from_json(c, RECORDS))
+    is_table = lambda r: r.isNotNull() & F.forall(r, lambda row: row.isNotNull())
+    members = F.transform(F.map_values(F.from_json(text, "map<string,string>")), records)
+    nested = F.get(F.filter(members, is_table), F.lit(0))
+    listed = F.filter(records(text), lambda row: row.isNotNull())
+    return F.coalesce(listed, nested, F.array().cast(RECORDS))
 
 
 def infer_project_id(project_id: Column, bundle: Column) -> Column:
@@ -182,7 +194,8 @@ def flagged_ids(docs: DataFrame, text: str = "value") -> DataFrame:
 def parse_id_list(lists: DataFrame, column: str) -> DataFrame:
     """Ids from comma lists, trimmed, each once."""
     return (
-        lists.select(F.trim(F.explode(F.split(column, ","))).alias("project_id"))
+        lists.select(F.explode(F.split(column, ",")).alias("part"))
+        .select(F.trim("part").alias("project_id"))
         .filter(F.col("project_id") != "")
         .distinct()
     )

@@ -105,7 +105,3 @@ FEATURES = {
     "sov": "Schedule of Values breakdown",
 }
 
-
-def text_schema(name: str) -> T.StructType:
-    """Same columns as text, for CSV scans: never inferred, never a second pass."""
-    return T.StructType([T.StructField(f.name, T.StringType()) for f in SCHEMAS[name]])
