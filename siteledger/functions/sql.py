@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from siteledger.functions.numbers import NUMBER_PATTERN
+
 
 def ratio(n: str, d: str) -> str:
     return f"try_divide(CAST({n} AS DOUBLE), CAST({d} AS DOUBLE))"
@@ -53,3 +58,32 @@ def text_list(*pairs: tuple[str, str]) -> str:
     """Array of the values whose condition holds, in order."""
     items = ", ".join(f"CASE WHEN {cond} THEN {value} END" for cond, value in pairs)
     return f"filter(array({items}), x -> x IS NOT NULL)"
+
+
+def number(df: DataFrame, name: str) -> str:
+    """Column `name` of `df` as DOUBLE; text is parsed, NaN becomes NULL."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        return f"CASE WHEN {name} RLIKE r'{NUMBER_PATTERN}' THEN TRY_CAST(trim({name}) AS DOUBLE) END"
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return f"nanvl(CAST({name} AS DOUBLE), CAST(NULL AS DOUBLE))"
+    return f"CAST({name} AS DOUBLE)"
+
+
+def day(df: DataFrame, name: str) -> str:
+    if isinstance(df.schema[name].dataType, T.DateType):
+        return name
+    return f"TRY_CAST(trim({name}) AS DATE)"
+
+
+def mapped(name: str, mapping: dict[str, str]) -> str:
+    """The canonical spelling of a value, or the value itself."""
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in mapping.items())
+    return f"COALESCE(try_element_at(map({pairs}), {name}), {name})"
+
+
+LABOR_COST = (
+    "(TRY_CAST(hours_st AS DECIMAL(8,4)) + TRY_CAST(hours_ot AS DECIMAL(8,4)) * "
+    "CAST(1.5 AS DECIMAL(2,1))) * TRY_CAST(hourly_rate AS DECIMAL(10,4)) * "
+    "TRY_CAST(burden_multiplier AS DECIMAL(8,4))"
+)

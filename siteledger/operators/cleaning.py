@@ -3,27 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteledger.functions.numbers import count_when, date, number
+from siteledger.functions.numbers import count_when
+from siteledger.functions.sql import day, mapped, number
 from siteledger.rules import CATEGORY_MAP, ROLE_MAP, Rules
 
 
-def _mapped(c: Column, mapping: dict[str, str]) -> Column:
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
-    return F.coalesce(F.try_element_at(table, c), c)
+def normalize_role(name: str = "role") -> str:
+    return mapped(name, ROLE_MAP)
 
 
-def normalize_role(c: Column) -> Column:
-    return _mapped(c, ROLE_MAP)
-
-
-def normalize_category(c: Column) -> Column:
-    return _mapped(c, CATEGORY_MAP)
+def normalize_category(name: str = "material_category") -> str:
+    return mapped(name, CATEGORY_MAP)
 
 
 def dedup_labor(labor: DataFrame) -> DataFrame:
@@ -33,55 +27,35 @@ def dedup_labor(labor: DataFrame) -> DataFrame:
     the shuffle, so a log id repeated a billion times still costs one row a task.
     """
     rest = [c for c in labor.columns if c not in ("log_id", "date")]
-    order = [F.col(c).asc_nulls_last() for c in ["date", *rest]]
-    first = W.partitionBy("log_id").orderBy(*order)
+    order = ", ".join(f"{c} ASC NULLS LAST" for c in ["date", *rest])
     return (
-        labor.filter(F.col("log_id").isNotNull())
-        .withColumn("_row", F.row_number().over(first))
-        .filter(F.col("_row") <= 1)
+        labor.filter("log_id IS NOT NULL")
+        .selectExpr("*", f"row_number() OVER (PARTITION BY log_id ORDER BY {order}) AS _row")
+        .filter("_row <= 1")
         .drop("_row")
     )
 
 
 def clean_labor(labor: DataFrame) -> DataFrame:
-    first = dedup_labor(labor).filter(F.col("project_id").isNotNull())
-    return first.select(
-        "project_id",
-        "log_id",
-        date(first, "date").alias("date"),
-        "employee_id",
-        normalize_role(F.col("role")).alias("role"),
-        "sov_line_id",
-        *[
-            number(first, c).alias(c)
-            for c in ("hours_st", "hours_ot", "hourly_rate", "burden_multiplier")
-        ],
-        "work_area",
-        "cost_code",
+    numbers = ("hours_st", "hours_ot", "hourly_rate", "burden_multiplier")
+    return dedup_labor(labor).filter("project_id IS NOT NULL").selectExpr(
+        "project_id", "log_id", f"{day(labor, 'date')} AS date", "employee_id",
+        f"{normalize_role()} AS role", "sov_line_id",
+        *[f"{number(labor, c)} AS {c}" for c in numbers],
+        "work_area", "cost_code",
     )
 
 
 def clean_materials(materials: DataFrame) -> DataFrame:
     """Recomputes `total_cost` and keeps the stated one for audit."""
     quantity, unit_cost = number(materials, "quantity"), number(materials, "unit_cost")
-    return materials.filter(
-        F.col("project_id").isNotNull() & F.col("delivery_id").isNotNull()
-    ).select(
-        "project_id",
-        "delivery_id",
-        date(materials, "date").alias("date"),
-        "sov_line_id",
-        normalize_category(F.col("material_category")).alias("material_category"),
-        "item_description",
-        quantity.alias("quantity"),
-        "unit",
-        unit_cost.alias("unit_cost"),
-        (quantity * unit_cost).alias("total_cost"),
-        number(materials, "total_cost").alias("total_cost_original"),
-        "po_number",
-        "vendor",
-        "received_by",
-        "condition_notes",
+    return materials.filter("project_id IS NOT NULL AND delivery_id IS NOT NULL").selectExpr(
+        "project_id", "delivery_id", f"{day(materials, 'date')} AS date", "sov_line_id",
+        f"{normalize_category()} AS material_category", "item_description",
+        f"{quantity} AS quantity", "unit", f"{unit_cost} AS unit_cost",
+        f"{quantity} * {unit_cost} AS total_cost",
+        f"{number(materials, 'total_cost')} AS total_cost_original",
+        "po_number", "vendor", "received_by", "condition_notes",
     )
 
 
@@ -90,42 +64,23 @@ def materials_export(clean: DataFrame) -> DataFrame:
 
 
 def clean_change_orders(orders: DataFrame) -> DataFrame:
-    return orders.filter(
-        F.col("project_id").isNotNull() & F.col("co_number").isNotNull()
-    ).select(
-        "project_id",
-        "co_number",
-        date(orders, "date_submitted").alias("date_submitted"),
-        "reason_category",
-        "description",
-        number(orders, "amount").alias("amount"),
-        "status",
-        "related_rfi",
-        "affected_sov_lines",
-        number(orders, "labor_hours_impact").alias("labor_hours_impact"),
-        number(orders, "schedule_impact_days").alias("schedule_impact_days"),
-        "submitted_by",
-        "approved_by",
+    return orders.filter("project_id IS NOT NULL AND co_number IS NOT NULL").selectExpr(
+        "project_id", "co_number", f"{day(orders, 'date_submitted')} AS date_submitted",
+        "reason_category", "description", f"{number(orders, 'amount')} AS amount", "status",
+        "related_rfi", "affected_sov_lines",
+        f"{number(orders, 'labor_hours_impact')} AS labor_hours_impact",
+        f"{number(orders, 'schedule_impact_days')} AS schedule_impact_days",
+        "submitted_by", "approved_by",
     )
 
 
 def clean_rfis(rfis: DataFrame) -> DataFrame:
-    return rfis.filter(
-        F.col("project_id").isNotNull() & F.col("rfi_number").isNotNull()
-    ).select(
-        "project_id",
-        "rfi_number",
-        date(rfis, "date_submitted").alias("date_submitted"),
-        "subject",
-        "submitted_by",
-        "assigned_to",
-        "priority",
-        "status",
-        date(rfis, "date_required").alias("date_required"),
-        date(rfis, "date_responded").alias("date_responded"),
-        "response_summary",
-        "cost_impact",
-        "schedule_impact",
+    return rfis.filter("project_id IS NOT NULL AND rfi_number IS NOT NULL").selectExpr(
+        "project_id", "rfi_number", f"{day(rfis, 'date_submitted')} AS date_submitted",
+        "subject", "submitted_by", "assigned_to", "priority", "status",
+        f"{day(rfis, 'date_required')} AS date_required",
+        f"{day(rfis, 'date_responded')} AS date_responded", "response_summary",
+        "cost_impact", "schedule_impact",
     )
 
 
@@ -159,7 +114,7 @@ def labor_quality(raw: DataFrame) -> DataFrame:
         raw,
         F.count(F.lit(1)).alias("input_rows"),
         (F.count(F.lit(1)) - F.countDistinct("log_id")).alias("duplicates_removed"),
-        count_when(F.col("role") != normalize_role(F.col("role"))).alias("roles_normalized"),
+        F.expr(f"count_if(role <> {normalize_role()}) AS roles_normalized"),
     )
     return counts.unionByName(
         _metrics("labor_logs", clean_labor(raw), F.count(F.lit(1)).alias("output_rows"))
@@ -167,15 +122,16 @@ def labor_quality(raw: DataFrame) -> DataFrame:
 
 
 def material_quality(raw: DataFrame, rules: Rules) -> DataFrame:
-    drift = number(raw, "quantity") * number(raw, "unit_cost") - number(raw, "total_cost")
-    category = F.col("material_category")
+    drift = f"{number(raw, 'quantity')} * {number(raw, 'unit_cost')} - {number(raw, 'total_cost')}"
     kept = F.col("project_id").isNotNull() & F.col("delivery_id").isNotNull()
     return _metrics(
         "material_deliveries",
         raw,
         F.count(F.lit(1)).alias("input_rows"),
-        count_when(category != normalize_category(category)).alias("categories_normalized"),
-        count_when(F.abs(drift) > rules.cost_discrepancy).alias("costs_recalculated"),
+        F.expr(
+            f"count_if(material_category <> {normalize_category()}) AS categories_normalized"
+        ),
+        F.expr(f"count_if(abs({drift}) > {rules.cost_discrepancy}) AS costs_recalculated"),
         count_when(kept).alias("output_rows"),
     )
 

@@ -7,18 +7,22 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteledger.functions.numbers import (
-    count_when, exact_mean, exact_sum, labor_cost_decimal, ratio, sum_when, zero,
-)
-from siteledger.functions.stages import monday
-from siteledger.functions.texts import truthy, words
-from siteledger.rules import (
-    CO_REJECTED_HEALTH, RFI_CLOSED_HEALTH, TRUE_WORDS, Rules,
-)
+from siteledger.functions.sql import LABOR_COST, exact_mean, exact_sum, ratio
+from siteledger.rules import CO_REJECTED_HEALTH, RFI_CLOSED_HEALTH, TRUE_WORDS, Rules
 
+MONDAY = "CAST(date_trunc('week', {0}) AS DATE)"
 
-def _distinct_counts(names: dict[str, str]) -> list:
-    return [F.countDistinct(c).alias(alias) for c, alias in names.items()]
+
+def _by(df: DataFrame, keys: list[str], *exprs: str) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.expr(e) for e in exprs])
+
+
+def _in(words: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _distinct_counts(names: dict[str, str]) -> list[str]:
+    return [f"count(DISTINCT {c}) AS {alias}" for c, alias in names.items()]
 
 
 CUBE_KEYS = ["project_id", "sov_line_id", "week_start", "employee_id", "role"]
@@ -32,44 +36,38 @@ def labor_cube(labor: DataFrame) -> DataFrame:
     here that copy happens on cube rows, and a hot project is spread over its lines,
     weeks, employees and roles before anything is grouped by project.
     """
-    cost = labor_cost_decimal(
-        *[F.col(c) for c in ("hours_st", "hours_ot", "hourly_rate", "burden_multiplier")]
-    )
-    total = lambda c: F.sum(F.col(c).try_cast("decimal(18,6)"))
-    return (
-        labor.withColumn("week_start", monday(F.col("date")))
-        .groupBy(*CUBE_KEYS)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            total("hours_st").alias("st"),
-            total("hours_ot").alias("ot"),
-            total("hourly_rate").alias("rate"),
-            total("burden_multiplier").alias("burden"),
-            F.sum(cost).alias("cost"),
-            F.min("date").alias("first_date"),
-            F.max("date").alias("last_date"),
-        )
+    total = lambda c, alias: f"SUM(TRY_CAST({c} AS DECIMAL(18,6))) AS {alias}"
+    return _by(
+        labor.selectExpr("*", f"{MONDAY.format('date')} AS week_start"),
+        CUBE_KEYS,
+        "count(1) AS n",
+        total("hours_st", "st"),
+        total("hours_ot", "ot"),
+        total("hourly_rate", "rate"),
+        total("burden_multiplier", "burden"),
+        f"SUM({LABOR_COST}) AS cost",
+        "min(date) AS first_date",
+        "max(date) AS last_date",
     )
 
 
 def _labor_rollup(cube: DataFrame, keys: list[str], distinct: dict[str, str]) -> DataFrame:
-    total = cube.groupBy(*keys).agg(
-        F.sum("n").alias("num_logs"),
+    st, ot = "total_hours_st", "total_hours_ot"
+    return _by(
+        cube, keys,
+        "sum(n) AS num_logs",
         *_distinct_counts(distinct),
-        F.sum("st").cast("double").alias("total_hours_st"),
-        F.sum("ot").cast("double").alias("total_hours_ot"),
-        ratio(F.sum("rate"), F.sum("n")).alias("avg_hourly_rate"),
-        ratio(F.sum("burden"), F.sum("n")).alias("avg_burden_multiplier"),
-        F.sum("cost").cast("double").alias("total_labor_cost"),
-        F.min("first_date").alias("first_date"),
-        F.max("last_date").alias("last_date"),
-    )
-    st, ot = F.col("total_hours_st"), F.col("total_hours_ot")
-    return total.withColumns(
-        {
-            "total_effective_hours": st + ot * 1.5,
-            "ot_share_of_raw_hours": ratio(ot, st + ot),
-        }
+        "CAST(sum(st) AS DOUBLE) AS total_hours_st",
+        "CAST(sum(ot) AS DOUBLE) AS total_hours_ot",
+        f"{ratio('sum(rate)', 'sum(n)')} AS avg_hourly_rate",
+        f"{ratio('sum(burden)', 'sum(n)')} AS avg_burden_multiplier",
+        "CAST(sum(cost) AS DOUBLE) AS total_labor_cost",
+        "min(first_date) AS first_date",
+        "max(last_date) AS last_date",
+    ).selectExpr(
+        "*",
+        f"{st} + {ot} * 1.5D AS total_effective_hours",
+        f"{ratio(ot, f'{st} + {ot}')} AS ot_share_of_raw_hours",
     )
 
 
@@ -92,26 +90,27 @@ def labor_project_week_summary(cube: DataFrame) -> DataFrame:
 
 def material_cost_cube(material: DataFrame) -> DataFrame:
     """Material cost by project, line and week; enough for everything but the counts."""
-    return (
-        material.withColumn("week_start", monday(F.col("date")))
-        .groupBy("project_id", "sov_line_id", "week_start")
-        .agg(F.sum(F.col("total_cost").try_cast("decimal(18,6)")).alias("cost"))
+    return _by(
+        material.selectExpr("*", f"{MONDAY.format('date')} AS week_start"),
+        ["project_id", "sov_line_id", "week_start"],
+        "SUM(TRY_CAST(total_cost AS DECIMAL(18,6))) AS cost",
     )
 
 
 def material_cost(cube: DataFrame, keys: list[str]) -> DataFrame:
-    return cube.groupBy(*keys).agg(F.sum("cost").cast("double").alias("total_material_cost"))
+    return _by(cube, keys, "CAST(sum(cost) AS DOUBLE) AS total_material_cost")
 
 
 def _material_rollup(material: DataFrame, keys: list[str], distinct: dict[str, str]) -> DataFrame:
-    return material.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("num_deliveries"),
+    return _by(
+        material, keys,
+        "count(1) AS num_deliveries",
         *_distinct_counts(distinct),
-        exact_sum(F.col("quantity")).alias("total_quantity"),
-        exact_mean(F.col("unit_cost")).alias("avg_unit_cost"),
-        exact_sum(F.col("total_cost")).alias("total_material_cost"),
-        F.min("date").alias("first_delivery_date"),
-        F.max("date").alias("last_delivery_date"),
+        f"{exact_sum('quantity')} AS total_quantity",
+        f"{exact_mean('unit_cost', 'DECIMAL(18,6)')} AS avg_unit_cost",
+        f"{exact_sum('total_cost')} AS total_material_cost",
+        "min(date) AS first_delivery_date",
+        "max(date) AS last_delivery_date",
     )
 
 
@@ -133,50 +132,49 @@ def material_project_sov_summary(material: DataFrame) -> DataFrame:
 
 
 def material_project_week_summary(material: DataFrame) -> DataFrame:
-    weekly = material.withColumn("week_start", monday(F.col("date")))
+    weekly = material.selectExpr("*", f"{MONDAY.format('date')} AS week_start")
     return _material_rollup(
         weekly, ["project_id", "week_start"], {**_MATERIAL_COUNTS, "sov_line_id": "num_sov_lines"}
     )
 
 
+STATUS = "lower(trim(status))"
+
+
 def change_summary(orders: DataFrame) -> DataFrame:
-    status, amount = words(F.col("status")), F.col("amount")
-    return orders.groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("total_change_orders"),
-        count_when(status == "approved").alias("approved_cos"),
-        count_when(status == "pending").alias("pending_cos"),
-        count_when(status == "rejected").alias("rejected_cos"),
-        exact_sum(amount).alias("total_co_value"),
-        exact_sum(F.when(status == "approved", amount).otherwise(0.0)).alias("approved_value"),
-        exact_sum(F.when(status == "rejected", amount).otherwise(0.0)).alias("rejected_value"),
-        exact_sum(F.col("schedule_impact_days")).alias("total_schedule_impact"),
-        exact_sum(F.col("labor_hours_impact")).alias("total_labor_impact"),
+    value = lambda s: exact_sum(f"CASE WHEN {STATUS} = '{s}' THEN amount ELSE 0D END")
+    return _by(
+        orders, ["project_id"],
+        "count(1) AS total_change_orders",
+        *[f"count_if({STATUS} = '{s}') AS {s}_cos" for s in ("approved", "pending", "rejected")],
+        f"{exact_sum('amount')} AS total_co_value",
+        f"{value('approved')} AS approved_value",
+        f"{value('rejected')} AS rejected_value",
+        f"{exact_sum('schedule_impact_days')} AS total_schedule_impact",
+        f"{exact_sum('labor_hours_impact')} AS total_labor_impact",
     )
 
 
 def rfi_counts(rfis: DataFrame) -> DataFrame:
-    return rfis.groupBy("project_id").agg(F.count(F.lit(1)).alias("total_rfis"))
+    return _by(rfis, ["project_id"], "count(1) AS total_rfis")
 
 
 def linked_rfis(orders: DataFrame) -> DataFrame:
-    linked = orders.filter(F.trim(F.col("related_rfi")) != "")
-    return linked.groupBy("project_id").agg(
-        F.countDistinct("related_rfi").alias("rfis_linked_to_cos")
+    return _by(
+        orders.filter("trim(related_rfi) <> ''"), ["project_id"],
+        "count(DISTINCT related_rfi) AS rfis_linked_to_cos",
     )
 
 
 def rfi_summary(counts: DataFrame, linked: DataFrame, rules: Rules) -> DataFrame:
-    total = F.col("total_rfis")
-    links = F.coalesce(F.col("rfis_linked_to_cos"), F.lit(0))
-    return counts.join(linked, "project_id", "left").select(
+    links = "COALESCE(rfis_linked_to_cos, 0L)"
+    return counts.join(linked, "project_id", "left").selectExpr(
         "project_id",
         "total_rfis",
-        links.alias("rfis_linked_to_cos"),
-        F.when(total > rules.rfi_level_high, "HIGH")
-        .when(total > rules.rfi_level_medium, "MEDIUM")
-        .otherwise("LOW")
-        .alias("rfi_level"),
-        zero(ratio(links, total)).alias("rfi_to_co_ratio"),
+        f"{links} AS rfis_linked_to_cos",
+        f"CASE WHEN total_rfis > {rules.rfi_level_high} THEN 'HIGH' "
+        f"WHEN total_rfis > {rules.rfi_level_medium} THEN 'MEDIUM' ELSE 'LOW' END AS rfi_level",
+        f"COALESCE({ratio(links, 'total_rfis')}, 0D) AS rfi_to_co_ratio",
     )
 
 
@@ -187,59 +185,62 @@ def budget_rollup(budget: DataFrame) -> DataFrame:
         "est_equip": "estimated_equipment_cost",
         "est_sub": "estimated_sub_cost",
     }
-    per_project = budget.groupBy("project_id").agg(
-        *[zero(exact_sum(F.col(c))).alias(alias) for alias, c in parts.items()]
+    sums = [f"COALESCE({exact_sum(c)}, 0D) AS {alias}" for alias, c in parts.items()]
+    return _by(budget, ["project_id"], *sums).selectExpr(
+        "*", f"{' + '.join(parts)} AS total_budget"
     )
-    total = sum((F.col(alias) for alias in parts), F.lit(0.0))
-    return per_project.withColumn("total_budget", total)
 
 
 def co_health_summary(orders: DataFrame) -> DataFrame:
-    status, amount = words(F.col("status")), F.col("amount")
-    approved = F.coalesce(status == "approved", F.lit(False))
-    rejected = F.coalesce(status.isin(CO_REJECTED_HEALTH), F.lit(False))
-    pending = ~(approved | rejected)
-    return orders.groupBy("project_id").agg(
-        count_when(approved).alias("co_approved_count"),
-        count_when(pending).alias("co_pending_count"),
-        count_when(rejected).alias("co_rejected_count"),
-        sum_when(approved, amount).alias("co_approved_value"),
-        sum_when(pending, amount).alias("pending_co_value"),
-        sum_when(rejected, amount).alias("co_rejected_value"),
+    """Approved, rejected and everything else; an unknown amount counts as zero."""
+    bucket = (
+        f"CASE WHEN {STATUS} = 'approved' THEN 'approved' "
+        f"WHEN {STATUS} IN {_in(CO_REJECTED_HEALTH)} THEN 'rejected' ELSE 'pending' END"
+    )
+    names = {
+        "approved": "co_approved_value", "pending": "pending_co_value",
+        "rejected": "co_rejected_value",
+    }
+    value = lambda b: exact_sum(f"CASE WHEN bucket = '{b}' THEN COALESCE(amount, 0D) ELSE 0D END")
+    return _by(
+        orders.selectExpr("project_id", "amount", f"{bucket} AS bucket"), ["project_id"],
+        *[f"count_if(bucket = '{b}') AS co_{b}_count" for b in names],
+        *[f"{value(b)} AS {alias}" for b, alias in names.items()],
     )
 
 
 def rfi_health_summary(rfis: DataFrame, as_of: dt.date) -> DataFrame:
-    is_open = ~F.coalesce(words(F.col("status")).isin(RFI_CLOSED_HEALTH), F.lit(False))
-    age = F.greatest(F.datediff(F.lit(as_of), F.col("date_submitted")), F.lit(0))
-    age = F.when(is_open & F.col("date_submitted").isNotNull(), age)
-    return rfis.groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("rfi_count"),
-        count_when(truthy(F.col("cost_impact"), TRUE_WORDS)).alias("rfi_cost_impact_count"),
-        count_when(words(F.col("priority")).isin("high", "critical")).alias("rfi_high_critical"),
-        count_when(is_open).alias("rfi_open"),
-        F.max(age).cast("double").alias("max_open_rfi_age"),
+    truthy = f"COALESCE(lower(trim(cost_impact)) IN {_in(TRUE_WORDS)}, false)"
+    is_open = f"NOT COALESCE({STATUS} IN {_in(RFI_CLOSED_HEALTH)}, false)"
+    age = f"datediff(DATE'{as_of.isoformat()}', date_submitted)"
+    open_age = (
+        f"CASE WHEN {is_open} AND date_submitted IS NOT NULL THEN greatest({age}, 0) END"
+    )
+    return _by(
+        rfis, ["project_id"],
+        "count(1) AS rfi_count",
+        f"count_if({truthy}) AS rfi_cost_impact_count",
+        "count_if(lower(trim(priority)) IN ('high', 'critical')) AS rfi_high_critical",
+        f"count_if({is_open}) AS rfi_open",
+        f"CAST(max({open_age}) AS DOUBLE) AS max_open_rfi_age",
     )
 
 
 def billing_max(billing: DataFrame) -> DataFrame:
-    return billing.groupBy("project_id").agg(
-        F.max("cumulative_billed").alias("cumulative_billed"),
-        F.lit(True).alias("billing_data_available"),
+    return _by(
+        billing, ["project_id"],
+        "max(cumulative_billed) AS cumulative_billed", "true AS billing_data_available",
     )
 
 
 def billing_sum(billing: DataFrame) -> DataFrame:
-    return billing.groupBy("project_id").agg(
-        exact_sum(F.col("period_total")).alias("total_billed")
-    )
+    return _by(billing, ["project_id"], f"{exact_sum('period_total')} AS total_billed")
 
 
 def rfi_by_week(rfis: DataFrame) -> DataFrame:
-    week = monday(F.col("date_submitted"))
-    label = F.concat_ws("/", week.cast("string"), F.date_add(week, 6).cast("string"))
-    return (
-        rfis.filter(F.col("date_submitted").isNotNull())
-        .groupBy("project_id", label.alias("week"))
-        .agg(F.count("rfi_number").alias("rfi_count"))
+    week = MONDAY.format("date_submitted")
+    labeled = rfis.filter("date_submitted IS NOT NULL").selectExpr(
+        "project_id", "rfi_number",
+        f"concat(CAST({week} AS STRING), '/', CAST(date_add({week}, 6) AS STRING)) AS week",
     )
+    return _by(labeled, ["project_id", "week"], "count(rfi_number) AS rfi_count")

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from siteledger.functions import numbers
-from siteledger.operators import causes, cleaning, flags, health, summaries, variance
+from siteledger.operators import cleaning, summaries, variance
 from siteledger.plans.catalog import query
 from siteledger.plans.oracle_views import (
-    AS_OF, CATEGORY, LABOR_COST, ROLE, dmean, dsum, fix, pct_text, rmean, view,
+    AS_OF, CATEGORY, LABOR_COST, ROLE, dmean, dsum, rmean, view,
 )
 
 # ---- cleaning ----------------------------------------------------------------
@@ -27,13 +24,13 @@ SELECT project_id, delivery_id, date, sov_line_id, {CATEGORY} AS material_catego
 FROM v_material_deliveries WHERE project_id IS NOT NULL AND delivery_id IS NOT NULL""")
 
 query("normalize_role",
-      lambda p: p.tables["labor_logs"].select(
-          "log_id", "role", cleaning.normalize_role(F.col("role")).alias("canonical_role")),
+      lambda p: p.tables["labor_logs"].selectExpr(
+          "log_id", "role", f"{cleaning.normalize_role()} AS canonical_role"),
       f"SELECT log_id, role, {ROLE} AS canonical_role FROM v_labor_logs")
 query("normalize_category",
-      lambda p: p.tables["material_deliveries"].select(
+      lambda p: p.tables["material_deliveries"].selectExpr(
           "delivery_id", "material_category",
-          cleaning.normalize_category(F.col("material_category")).alias("canonical_category")),
+          f"{cleaning.normalize_category()} AS canonical_category"),
       f"""SELECT delivery_id, material_category, {CATEGORY} AS canonical_category
       FROM v_material_deliveries""")
 query("dedup_labor", lambda p: cleaning.dedup_labor(p.tables["labor_logs"]),

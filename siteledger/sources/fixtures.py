@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 COST_LINES = 8
 
@@ -35,215 +34,158 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_STAR[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _project(key: str) -> Column:
-    return F.concat(F.lit("PRJ-"), F.col(key).cast("string"))
+PROJECT = "'PRJ-' || CAST({key} AS STRING) AS project_id"
 
 
-def _tag(prefix: str, key: Column) -> Column:
-    return F.concat(F.lit(prefix), key.cast("string"))
+def _project(key: str) -> str:
+    return PROJECT.format(key=key)
 
 
-def _cents(c: str, factor: str) -> Column:
-    return (F.col(c).cast("decimal(18,2)") * F.lit(factor).cast("decimal(6,4)")).cast(
-        "decimal(18,2)"
+def _cents(name: str, factor: str) -> str:
+    return (
+        f"CAST(CAST({name} AS DECIMAL(18,2)) * CAST({factor} AS DECIMAL(6,4)) AS DECIMAL(18,2))"
     )
 
 
-def _lines() -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(COST_LINES - 1)))
+LINES = f"explode(sequence(0, {COST_LINES - 1})) AS line"
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = _read(spark, sf_dir, "customer")
-    nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    segment = F.col("c_mktsegment")
-    building = (
-        F.when(segment == "AUTOMOBILE", "Mercy Hospital ")
-        .when(segment == "BUILDING", "Office Tower ")
-        .when(segment == "FURNITURE", "Elementary School ")
-        .when(segment == "HOUSEHOLD", "Multifamily Housing ")
-        .otherwise("Plant ")
-    )
-    key = F.col("c_custkey")
-    finish = (
-        F.when(key % 4 == 0, F.lit("2023-06-30"))
-        .when(key % 4 == 1, F.lit("2024-02-15"))
-        .when(key % 4 == 2, F.lit("2025-12-31"))
-    )
-    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        _project("c_custkey").alias("project_id"),
-        F.concat(building, key.cast("string")).alias("project_name"),
-        F.col("n_name").alias("gc_name"),
-        F.when(key % 97 == 0, F.lit(0.0))
-        .otherwise((210000 + (key * 7919 % 21 - 10) * 3000).cast("double"))
-        .alias("original_contract_value"),
-        F.lit(0.10).alias("retention_pct"),
-        finish.cast("date").alias("substantial_completion_date"),
+    nation = _read(spark, sf_dir, "nation").selectExpr("n_nationkey AS c_nationkey", "n_name")
+    return customer.join(nation, "c_nationkey").selectExpr(
+        _project("c_custkey"),
+        "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Mercy Hospital ' "
+        "WHEN 'BUILDING' THEN 'Office Tower ' WHEN 'FURNITURE' THEN 'Elementary School ' "
+        "WHEN 'HOUSEHOLD' THEN 'Multifamily Housing ' ELSE 'Plant ' END "
+        "|| CAST(c_custkey AS STRING) AS project_name",
+        "n_name AS gc_name",
+        "CAST(IF(c_custkey % 97 = 0, 0, 210000 + (c_custkey * 7919 % 21 - 10) * 3000) AS DOUBLE) "
+        "AS original_contract_value",
+        "0.10D AS retention_pct",
+        "CASE c_custkey % 4 WHEN 0 THEN DATE'2023-06-30' WHEN 1 THEN DATE'2024-02-15' "
+        "WHEN 2 THEN DATE'2025-12-31' END AS substantial_completion_date",
     )
 
 
-def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = _read(spark, sf_dir, "lineitem")
-    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+def _order_lines(spark: SparkSession, sf_dir: str, numbers: str) -> DataFrame:
+    lineitem = _read(spark, sf_dir, "lineitem").filter(f"l_linenumber IN ({numbers})")
+    orders = _read(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey")
+    return lineitem.join(orders, "l_orderkey")
 
 
 def labor_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = F.col("l_partkey")
-    role = (
-        F.when(part % 6 == 0, "JM Pipefitter")
-        .when(part % 6 == 1, "Fmn")
-        .when(part % 6 == 2, "Helper")
-        .when(part % 6 == 3, "DDC Tech")
-        .when(part % 6 == 4, "Foreman")
-        .otherwise("Journeyman Sheet Metal")
-    )
-    return (
-        _order_lines(spark, sf_dir)
-        .filter(F.col("l_linenumber").isin(1, 2, 3, 5))
-        .select(
-            _project("o_custkey").alias("project_id"),
-            F.concat(
-                F.lit("L-"), F.col("l_orderkey").cast("string"),
-                F.lit("-"), F.col("l_linenumber").cast("string"),
-            ).alias("log_id"),
-            F.col("l_shipdate").cast("date").alias("date"),
-            _tag("E-", F.col("l_suppkey")).alias("employee_id"),
-            role.alias("role"),
-            _tag("SOV-", part % COST_LINES).alias("sov_line_id"),
-            (F.col("l_quantity") % 9).alias("hours_st"),
-            F.when(F.col("l_returnflag") == "R", F.col("l_quantity") % 4)
-            .otherwise(F.lit(0.0)).alias("hours_ot"),
-            ((30 + part % 41) * 20).cast("double").alias("hourly_rate"),
-            (F.lit(1.3).cast("decimal(2,1)") + F.col("l_tax").cast("decimal(8,4)"))
-            .cast("double").alias("burden_multiplier"),
-            _tag("A-", F.col("l_linenumber")).alias("work_area"),
-            _tag("CC-", F.col("l_suppkey") % 7).alias("cost_code"),
-        )
+    return _order_lines(spark, sf_dir, "1, 2, 3, 5").selectExpr(
+        _project("o_custkey"),
+        "concat('L-', l_orderkey, '-', l_linenumber) AS log_id",
+        "CAST(l_shipdate AS DATE) AS date",
+        "concat('E-', l_suppkey) AS employee_id",
+        "CASE l_partkey % 6 WHEN 0 THEN 'JM Pipefitter' WHEN 1 THEN 'Fmn' WHEN 2 THEN 'Helper' "
+        "WHEN 3 THEN 'DDC Tech' WHEN 4 THEN 'Foreman' ELSE 'Journeyman Sheet Metal' END AS role",
+        f"concat('SOV-', l_partkey % {COST_LINES}) AS sov_line_id",
+        "l_quantity % 9 AS hours_st",
+        "IF(l_returnflag = 'R', l_quantity % 4, 0D) AS hours_ot",
+        "CAST((30 + l_partkey % 41) * 20 AS DOUBLE) AS hourly_rate",
+        "CAST(1.3 + CAST(l_tax AS DECIMAL(8,4)) AS DOUBLE) AS burden_multiplier",
+        "concat('A-', l_linenumber) AS work_area",
+        "concat('CC-', l_suppkey % 7) AS cost_code",
     )
 
 
 def material_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = F.col("l_partkey")
-    category = (
-        F.when(part % 6 == 0, "CONTROLS")
-        .when(part % 6 == 1, "Duct Work")
-        .when(part % 6 == 2, "Equip.")
-        .when(part % 6 == 3, "insul")
-        .when(part % 6 == 4, "Pipe")
-        .otherwise("Piping")
-    )
-    quantity = F.col("l_quantity") % 10 + 1
-    unit_cost = ((20 + part % 50) * 20).cast("double")
-    return (
-        _order_lines(spark, sf_dir)
-        .filter(F.col("l_linenumber").isin(4, 6, 7))
-        .select(
-            _project("o_custkey").alias("project_id"),
-            F.concat(
-                F.lit("D-"), F.col("l_orderkey").cast("string"),
-                F.lit("-"), F.col("l_linenumber").cast("string"),
-            ).alias("delivery_id"),
-            F.col("l_shipdate").cast("date").alias("date"),
-            _tag("SOV-", part % COST_LINES).alias("sov_line_id"),
-            category.alias("material_category"),
-            _tag("item ", part).alias("item_description"),
-            quantity.alias("quantity"),
-            F.lit("EA").alias("unit"),
-            unit_cost.alias("unit_cost"),
-            (quantity * unit_cost + F.when(F.col("l_suppkey") % 10 == 0, 25.0).otherwise(0.0))
-            .alias("total_cost"),
-            _tag("PO-", F.col("l_orderkey")).alias("po_number"),
-            _tag("V-", F.col("l_suppkey")).alias("vendor"),
-            F.lit(None).cast("string").alias("received_by"),
-            F.when(F.col("l_returnflag") == "R", "damaged").otherwise("good")
-            .alias("condition_notes"),
-        )
+    return _order_lines(spark, sf_dir, "4, 6, 7").selectExpr(
+        _project("o_custkey"),
+        "concat('D-', l_orderkey, '-', l_linenumber) AS delivery_id",
+        "CAST(l_shipdate AS DATE) AS date",
+        f"concat('SOV-', l_partkey % {COST_LINES}) AS sov_line_id",
+        "CASE l_partkey % 6 WHEN 0 THEN 'CONTROLS' WHEN 1 THEN 'Duct Work' WHEN 2 THEN 'Equip.' "
+        "WHEN 3 THEN 'insul' WHEN 4 THEN 'Pipe' ELSE 'Piping' END AS material_category",
+        "concat('item ', l_partkey) AS item_description",
+        "l_quantity % 10 + 1 AS quantity",
+        "'EA' AS unit",
+        "CAST((20 + l_partkey % 50) * 20 AS DOUBLE) AS unit_cost",
+        "(l_quantity % 10 + 1) * ((20 + l_partkey % 50) * 20) "
+        "+ IF(l_suppkey % 10 = 0, 25D, 0D) AS total_cost",
+        "concat('PO-', l_orderkey) AS po_number",
+        "concat('V-', l_suppkey) AS vendor",
+        "CAST(NULL AS STRING) AS received_by",
+        "IF(l_returnflag = 'R', 'damaged', 'good') AS condition_notes",
     )
 
 
 def sov_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight cost lines a project; customers in the red have no budget for the last."""
-    key, line = F.col("c_custkey"), F.col("line")
     return (
         _read(spark, sf_dir, "customer")
-        .select("c_custkey", "c_acctbal", _lines().alias("line"))
-        .filter((line < COST_LINES - 1) | (F.col("c_acctbal") >= 0))
-        .select(
-            _project("c_custkey").alias("project_id"),
-            _tag("SOV-", line).alias("sov_line_id"),
-            (10 + line).cast("double").alias("estimated_labor_hours"),
-            (6000 + (key * 31 + line * 17) % 13 * 1500).cast("double")
-            .alias("estimated_labor_cost"),
-            (5000 + (key * 13 + line * 7) % 11 * 1000).cast("double")
-            .alias("estimated_material_cost"),
-            (2000 + key % 5 * 400).cast("double").alias("estimated_equipment_cost"),
-            (key % 3 * 800).cast("double").alias("estimated_sub_cost"),
-            F.lit(1.0).alias("productivity_factor"),
-            F.lit("standard").alias("key_assumptions"),
+        .selectExpr("c_custkey", "c_acctbal", LINES)
+        .filter(f"line < {COST_LINES - 1} OR c_acctbal >= 0")
+        .selectExpr(
+            _project("c_custkey"),
+            "concat('SOV-', line) AS sov_line_id",
+            "CAST(10 + line AS DOUBLE) AS estimated_labor_hours",
+            "CAST(6000 + (c_custkey * 31 + line * 17) % 13 * 1500 AS DOUBLE) "
+            "AS estimated_labor_cost",
+            "CAST(5000 + (c_custkey * 13 + line * 7) % 11 * 1000 AS DOUBLE) "
+            "AS estimated_material_cost",
+            "CAST(2000 + c_custkey % 5 * 400 AS DOUBLE) AS estimated_equipment_cost",
+            "CAST(c_custkey % 3 * 800 AS DOUBLE) AS estimated_sub_cost",
+            "1D AS productivity_factor",
+            "'standard' AS key_assumptions",
         )
     )
 
 
 def sov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.col("line")
     return (
         _read(spark, sf_dir, "customer")
-        .select("c_custkey", _lines().alias("line"))
-        .select(
-            _project("c_custkey").alias("project_id"),
-            _tag("SOV-", line).alias("sov_line_id"),
-            line.cast("bigint").alias("line_number"),
-            F.when(line % 4 != 3, _tag("Scope ", line)).alias("description"),
+        .selectExpr("c_custkey", LINES)
+        .selectExpr(
+            _project("c_custkey"),
+            "concat('SOV-', line) AS sov_line_id",
+            "CAST(line AS BIGINT) AS line_number",
+            "IF(line % 4 = 3, NULL, concat('Scope ', line)) AS description",
         )
     )
 
 
 def change_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, urgency, status = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus")
-    reason = (
-        F.when(urgency == "1-URGENT", "Acceleration")
-        .when(urgency == "2-HIGH", "Owner request")
-        .when(urgency == "3-MEDIUM", "Design error")
-        .when(urgency == "5-LOW", "Phasing")
-        .otherwise("")
-    )
-    return _read(spark, sf_dir, "orders").select(
-        _project("o_custkey").alias("project_id"),
-        _tag("CO-", key).alias("co_number"),
-        F.col("o_orderdate").cast("date").alias("date_submitted"),
-        reason.alias("reason_category"),
-        _tag("change ", key).alias("description"),
-        _cents("o_totalprice", "0.0120").cast("double").alias("amount"),
-        F.when(status == "F", "Approved").when(status == "O", " pending ")
-        .otherwise("REJECTED").alias("status"),
-        F.when(key % 2 == 0, _tag("RFI-", key % 500)).otherwise("").alias("related_rfi"),
-        _tag("SOV-", key % COST_LINES).alias("affected_sov_lines"),
-        (key % 40).cast("double").alias("labor_hours_impact"),
-        (key % 7).cast("double").alias("schedule_impact_days"),
-        F.lit("PM").alias("submitted_by"),
-        F.lit(None).cast("string").alias("approved_by"),
+    return _read(spark, sf_dir, "orders").selectExpr(
+        _project("o_custkey"),
+        "concat('CO-', o_orderkey) AS co_number",
+        "CAST(o_orderdate AS DATE) AS date_submitted",
+        "CASE o_orderpriority WHEN '1-URGENT' THEN 'Acceleration' WHEN '2-HIGH' "
+        "THEN 'Owner request' WHEN '3-MEDIUM' THEN 'Design error' WHEN '5-LOW' THEN 'Phasing' "
+        "ELSE '' END AS reason_category",
+        "concat('change ', o_orderkey) AS description",
+        f"CAST({_cents('o_totalprice', '0.0120')} AS DOUBLE) AS amount",
+        "CASE o_orderstatus WHEN 'F' THEN 'Approved' WHEN 'O' THEN ' pending ' ELSE 'REJECTED' END "
+        "AS status",
+        "IF(o_orderkey % 2 = 0, concat('RFI-', o_orderkey % 500), '') AS related_rfi",
+        f"concat('SOV-', o_orderkey % {COST_LINES}) AS affected_sov_lines",
+        "CAST(o_orderkey % 40 AS DOUBLE) AS labor_hours_impact",
+        "CAST(o_orderkey % 7 AS DOUBLE) AS schedule_impact_days",
+        "'PM' AS submitted_by",
+        "CAST(NULL AS STRING) AS approved_by",
     )
 
 
 def rfis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind, key = F.col("event_type"), F.col("event_id")
-    return _read(spark, sf_dir, "events").select(
-        _project("user_id").alias("project_id"),
-        _tag("RFI-", key).alias("rfi_number"),
-        F.col("ts").cast("date").alias("date_submitted"),
-        F.concat(F.lit("Subject  "), kind, F.lit(" "), key.cast("string")).alias("subject"),
-        F.lit("field").alias("submitted_by"),
-        F.lit("engineer").alias("assigned_to"),
-        F.when(kind == "error", "Critical").when(kind == "purchase", "High")
-        .otherwise("Normal").alias("priority"),
-        F.when(key % 5 == 0, "Open").when(key % 5 == 1, "Closed").when(key % 5 == 2, "Resolved")
-        .when(key % 5 == 3, "Pending Response").otherwise("Answered").alias("status"),
-        F.col("ts").cast("date").alias("date_required"),
-        F.when((key % 5).isin(1, 2, 4), F.lit("2024-02-05")).cast("date").alias("date_responded"),
-        F.lit(None).cast("string").alias("response_summary"),
-        F.when(kind.isin("click", "error"), "Yes").otherwise("No").alias("cost_impact"),
-        F.when(kind == "error", "true").otherwise("false").alias("schedule_impact"),
+    return _read(spark, sf_dir, "events").selectExpr(
+        _project("user_id"),
+        "concat('RFI-', event_id) AS rfi_number",
+        "CAST(ts AS DATE) AS date_submitted",
+        "concat('Subject  ', event_type, ' ', event_id) AS subject",
+        "'field' AS submitted_by",
+        "'engineer' AS assigned_to",
+        "CASE event_type WHEN 'error' THEN 'Critical' WHEN 'purchase' THEN 'High' ELSE 'Normal' END "
+        "AS priority",
+        "CASE event_id % 5 WHEN 0 THEN 'Open' WHEN 1 THEN 'Closed' WHEN 2 THEN 'Resolved' "
+        "WHEN 3 THEN 'Pending Response' ELSE 'Answered' END AS status",
+        "CAST(ts AS DATE) AS date_required",
+        "IF(event_id % 5 IN (1, 2, 4), DATE'2024-02-05', NULL) AS date_responded",
+        "CAST(NULL AS STRING) AS response_summary",
+        "IF(event_type IN ('click', 'error'), 'Yes', 'No') AS cost_impact",
+        "IF(event_type = 'error', 'true', 'false') AS schedule_impact",
     )
 
 
@@ -255,71 +197,60 @@ def _applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     monthly = (
         _read(spark, sf_dir, "orders")
-        .groupBy("o_custkey", F.date_trunc("month", "o_orderdate").cast("date").alias("month"))
+        .groupBy("o_custkey", F.expr("CAST(date_trunc('month', o_orderdate) AS DATE) AS month"))
         .agg(
-            F.max(F.col("o_orderdate").cast("date")).alias("period_end"),
-            F.sum(_cents("o_totalprice", "0.0800")).alias("billed"),
-            F.sum(_cents("o_totalprice", "0.0080")).alias("held"),
-            F.min(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("all_paid"),
+            F.expr("max(CAST(o_orderdate AS DATE)) AS period_end"),
+            F.expr(f"sum({_cents('o_totalprice', '0.0800')}) AS billed"),
+            F.expr(f"sum({_cents('o_totalprice', '0.0080')}) AS held"),
+            F.expr("min(IF(o_orderstatus = 'F', 1, 0)) AS all_paid"),
         )
     )
-    by_month = W.partitionBy("o_custkey").orderBy("month")
-    so_far = by_month.rowsBetween(W.unboundedPreceding, W.currentRow)
-    return monthly.select(
+    by_month = "OVER (PARTITION BY o_custkey ORDER BY month)"
+    so_far = "OVER (PARTITION BY o_custkey ORDER BY month ROWS UNBOUNDED PRECEDING)"
+    return monthly.selectExpr(
         "o_custkey", "period_end", "billed", "all_paid",
-        F.row_number().over(by_month).cast("bigint").alias("app"),
-        F.sum("billed").over(so_far).alias("billed_to_date"),
-        F.sum("held").over(so_far).alias("held_to_date"),
+        f"CAST(row_number() {by_month} AS BIGINT) AS app",
+        f"sum(billed) {so_far} AS billed_to_date",
+        f"sum(held) {so_far} AS held_to_date",
     )
 
 
 def billing_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _applications(spark, sf_dir).select(
-        _project("o_custkey").alias("project_id"),
-        F.col("app").alias("application_number"),
+    return _applications(spark, sf_dir).selectExpr(
+        _project("o_custkey"),
+        "app AS application_number",
         "period_end",
-        F.col("billed").cast("double").alias("period_total"),
-        F.col("billed_to_date").cast("double").alias("cumulative_billed"),
-        F.col("held_to_date").cast("double").alias("retention_held"),
-        F.when(F.col("all_paid") == 1, "Paid").otherwise("Submitted").alias("status"),
+        "CAST(billed AS DOUBLE) AS period_total",
+        "CAST(billed_to_date AS DOUBLE) AS cumulative_billed",
+        "CAST(held_to_date AS DOUBLE) AS retention_held",
+        "IF(all_paid = 1, 'Paid', 'Submitted') AS status",
     )
 
 
 def billing_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    app, line = F.col("app"), F.col("line")
     return (
         _applications(spark, sf_dir)
-        .select("o_custkey", "app", _lines().alias("line"))
-        .select(
-            _project("o_custkey").alias("project_id"),
-            app.cast("string").alias("application_number"),
-            _tag("SOV-", line).alias("sov_line_id"),
-            (16000 + line * 2000).cast("double").alias("scheduled_value"),
-            F.least(app * 9 + line, F.lit(100)).cast("double").alias("pct_complete"),
+        .selectExpr("o_custkey", "app", LINES)
+        .selectExpr(
+            _project("o_custkey"),
+            "CAST(app AS STRING) AS application_number",
+            "concat('SOV-', line) AS sov_line_id",
+            "CAST(16000 + line * 2000 AS DOUBLE) AS scheduled_value",
+            "CAST(least(app * 9 + line, 100) AS DOUBLE) AS pct_complete",
         )
     )
 
 
 def field_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("doc_id")
-    day = (
-        F.when(key % 3 == 0, F.lit("2024-01-05"))
-        .when(key % 3 == 1, F.lit("2024-01-12"))
-        .otherwise(F.lit("2024-01-19"))
-    )
-    opening = (
-        F.when(key % 6 == 0, "Crew delay, area not ready. ")
-        .when(key % 6 == 1, "Owner request, extra work. ")
-        .when(key % 6 == 2, "Rework after layout issue. ")
-        .when(key % 6 == 3, "Shortage, lead time. ")
-        .otherwise("")
-    )
-    return _read(spark, sf_dir, "documents").select(
-        F.concat(F.lit("PRJ-"), (key % 100).cast("string")).alias("project_id"),
-        day.cast("date").alias("date"),
-        F.col("source").alias("author"),
-        F.col("lang").alias("note_type"),
-        F.concat(opening, F.col("text")).alias("content"),
+    return _read(spark, sf_dir, "documents").selectExpr(
+        _project("(doc_id % 100)"),
+        "CASE doc_id % 3 WHEN 0 THEN DATE'2024-01-05' WHEN 1 THEN DATE'2024-01-12' "
+        "ELSE DATE'2024-01-19' END AS date",
+        "source AS author",
+        "lang AS note_type",
+        "CASE doc_id % 6 WHEN 0 THEN 'Crew delay, area not ready. ' WHEN 1 "
+        "THEN 'Owner request, extra work. ' WHEN 2 THEN 'Rework after layout issue. ' "
+        "WHEN 3 THEN 'Shortage, lead time. ' ELSE '' END || text AS content",
     )
 
 
