@@ -2,91 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteledger.functions.numbers import RATIO, count_when, exact_mean, exact_sum, ratio
-from siteledger.functions.texts import when_list
+from siteledger.functions.sql import exact_mean, exact_sum, ratio, text_list
 from siteledger.rules import Rules
 
 
-def trigger_conditions(rules: Rules) -> dict[str, Column]:
+def trigger_conditions(rules: Rules) -> dict[str, str]:
     """The eight triggers by id, none of them NULL."""
-    c = F.col
-    margin, coverage = c("realized_margin_pct"), c("budget_coverage")
-    labor, material = c("labor_overrun_pct"), c("material_overrun_pct")
-    exposure = c("original_contract_value") * rules.rejected_co_exposure
-    impact_rate = ratio(c("rfi_cost_impact_count"), c("rfi_count"))
+    margin, coverage = "realized_margin_pct", "budget_coverage"
+    labor, material = "labor_overrun_pct", "material_overrun_pct"
     raw = {
-        "underwater": c("actual_tracked_cost") > c("adjusted_contract"),
-        "material_blowout": material > rules.material_overrun_pct,
-        "labor_overrun": labor > rules.labor_overrun_pct,
-        "rejected_co_exposure": (c("co_rejected_value") > exposure)
-        & (margin < rules.severity_watch),
-        "budget_coverage": (coverage < rules.coverage_min) | (coverage > rules.coverage_max),
-        "compound_overrun": (labor > 0) & (material > rules.compound_material_overrun_pct),
-        "rfi_cost_impact_count": c("rfi_cost_impact_count") > rules.rfi_cost_impact_count,
-        "rfi_cost_impact_rate": impact_rate > rules.rfi_cost_impact_rate,
+        "underwater": "actual_tracked_cost > adjusted_contract",
+        "material_blowout": f"{material} > {rules.material_overrun_pct}D",
+        "labor_overrun": f"{labor} > {rules.labor_overrun_pct}D",
+        "rejected_co_exposure":
+            f"co_rejected_value > original_contract_value * {rules.rejected_co_exposure}D "
+            f"AND {margin} < {rules.severity_watch}D",
+        "budget_coverage":
+            f"{coverage} < {rules.coverage_min}D OR {coverage} > {rules.coverage_max}D",
+        "compound_overrun":
+            f"{labor} > 0 AND {material} > {rules.compound_material_overrun_pct}D",
+        "rfi_cost_impact_count": f"rfi_cost_impact_count > {rules.rfi_cost_impact_count}",
+        "rfi_cost_impact_rate":
+            f"{ratio('rfi_cost_impact_count', 'rfi_count')} > {rules.rfi_cost_impact_rate}D",
     }
-    return {name: F.coalesce(cond, F.lit(False)) for name, cond in raw.items()}
+    return {name: f"COALESCE({cond}, false)" for name, cond in raw.items()}
 
 
-def severity(margin: Column, rules: Rules) -> Column:
+def severity(margin: str, rules: Rules) -> str:
     return (
-        F.when(margin < rules.severity_critical, "Critical")
-        .when(margin < rules.severity_warning, "Warning")
-        .otherwise("Watch")
+        f"CASE WHEN {margin} < {rules.severity_critical}D THEN 'Critical' "
+        f"WHEN {margin} < {rules.severity_warning}D THEN 'Warning' ELSE 'Watch' END"
     )
 
 
-def severity_normalize(c: Column) -> Column:
-    clean = F.lower(F.trim(c))
-    return F.when(clean.isin("critical", "warning", "watch"), clean).otherwise("watch")
+def severity_normalize(name: str) -> str:
+    clean = f"lower(trim({name}))"
+    return f"CASE WHEN {clean} IN ('critical', 'warning', 'watch') THEN {clean} ELSE 'watch' END"
 
 
 def with_triggers(health: DataFrame, rules: Rules) -> DataFrame:
-    fired = when_list(
-        *[(cond, F.lit(name)) for name, cond in trigger_conditions(rules).items()]
-    )
-    return health.withColumn("fired_triggers", fired).withColumn(
-        "trigger_count", F.size("fired_triggers").cast("bigint")
+    fired = text_list(*[(c, f"'{name}'") for name, c in trigger_conditions(rules).items()])
+    return health.selectExpr("*", f"{fired} AS fired_triggers").selectExpr(
+        "*", "CAST(size(fired_triggers) AS BIGINT) AS trigger_count"
     )
 
 
+def any_trigger(rules: Rules) -> str:
+    return " OR ".join(trigger_conditions(rules).values())
+
+
 def flagged_projects(health: DataFrame, rules: Rules) -> DataFrame:
-    any_trigger = F.lit(False)
-    for cond in trigger_conditions(rules).values():
-        any_trigger = any_trigger | cond
-    return with_triggers(health.filter(any_trigger), rules).withColumn(
-        "severity", severity(F.col("realized_margin_pct"), rules)
+    return with_triggers(health.filter(any_trigger(rules)), rules).selectExpr(
+        "*", f"{severity('realized_margin_pct', rules)} AS severity"
     )
 
 
+_SUMS = {
+    "total_contract": "original_contract_value",
+    "total_budget": "total_budget",
+    "total_cos_approved": "co_approved_value",
+    "total_adjusted": "adjusted_contract",
+    "total_actual_labor": "actual_labor_cost",
+    "total_actual_material": "actual_material_cost",
+    "total_rejected_cos": "co_rejected_value",
+}
+_MEANS = {
+    "avg_bid_margin": "bid_margin",
+    "avg_realized_margin": "realized_margin_pct",
+    "avg_material_overrun_pct": "material_overrun_pct",
+    "avg_labor_overrun_pct": "labor_overrun_pct",
+}
+
+
+def _kpis() -> list[str]:
+    return [
+        "count(1) AS total_projects",
+        *[f"{exact_sum(c)} AS {alias}" for alias, c in _SUMS.items()],
+        *[f"{exact_mean(c)} AS {alias}" for alias, c in _MEANS.items()],
+        "count_if(actual_tracked_cost > adjusted_contract) AS underwater_count",
+        "count_if(bid_margin < 0) AS negative_bid_margin_count",
+    ]
+
+
 def portfolio_kpis(health: DataFrame) -> DataFrame:
-    c = F.col
-    return health.agg(
-        F.count(F.lit(1)).alias("total_projects"),
-        exact_sum(c("original_contract_value")).alias("total_contract"),
-        exact_sum(c("total_budget")).alias("total_budget"),
-        exact_sum(c("co_approved_value")).alias("total_cos_approved"),
-        exact_sum(c("adjusted_contract")).alias("total_adjusted"),
-        exact_sum(c("actual_labor_cost")).alias("total_actual_labor"),
-        exact_sum(c("actual_material_cost")).alias("total_actual_material"),
-        exact_sum(c("co_rejected_value")).alias("total_rejected_cos"),
-        exact_mean(c("bid_margin"), RATIO).alias("avg_bid_margin"),
-        exact_mean(c("realized_margin_pct"), RATIO).alias("avg_realized_margin"),
-        exact_mean(c("material_overrun_pct"), RATIO).alias("avg_material_overrun_pct"),
-        exact_mean(c("labor_overrun_pct"), RATIO).alias("avg_labor_overrun_pct"),
-        count_when(c("actual_tracked_cost") > c("adjusted_contract")).alias("underwater_count"),
-        count_when(c("bid_margin") < 0).alias("negative_bid_margin_count"),
-    )
+    return health.agg(*[F.expr(e) for e in _kpis()])
 
 
 def portfolio_summary(health: DataFrame, rules: Rules) -> DataFrame:
     """The indicators and the number of flagged projects, in one pass."""
-    fired = F.lit(False)
-    for cond in trigger_conditions(rules).values():
-        fired = fired | cond
-    marked = health.withColumn("_flagged", fired)
-    total = marked.agg(count_when(F.col("_flagged")).alias("total_flagged"))
-    return portfolio_kpis(marked).withColumn("total_flagged", total.scalar())
+    flagged = f"count_if({any_trigger(rules)}) AS total_flagged"
+    return health.agg(*[F.expr(e) for e in [*_kpis(), flagged]])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteledger.functions.numbers import clip01, exact_sum, ratio, zero
+from siteledger.functions.sql import exact_sum, ratio
 
 RECENT_WEEKS = 4
 
@@ -14,74 +15,64 @@ RECENT_WEEKS = 4
 def _by_recency(weekly: DataFrame) -> DataFrame:
     """Weeks numbered from the newest. Rows are weekly already, so a project's window
     holds one row per calendar week, however large the project is."""
-    newest = W.partitionBy("project_id").orderBy(F.col("week_start").desc_nulls_last())
-    return weekly.withColumn("_row", F.row_number().over(newest))
-
+    newest = "OVER (PARTITION BY project_id ORDER BY week_start DESC NULLS LAST)"
+    return weekly.selectExpr("*", f"row_number() {newest} AS _row")
 
-def _recent() -> Column:
-    return F.col("week_start").isNotNull() & (F.col("_row") <= RECENT_WEEKS)
 
+RECENT = f"week_start IS NOT NULL AND _row <= {RECENT_WEEKS}"
+PRIOR = f"week_start IS NOT NULL AND _row BETWEEN {RECENT_WEEKS + 1} AND {2 * RECENT_WEEKS}"
 
-def _prior() -> Column:
-    return F.col("week_start").isNotNull() & F.col("_row").between(
-        RECENT_WEEKS + 1, 2 * RECENT_WEEKS
-    )
 
+def _mean_when(condition: str, value: str) -> str:
+    kept = f"CASE WHEN {condition} THEN {value} END"
+    return ratio(f"SUM(TRY_CAST({kept} AS DECIMAL(18,6)))", f"COUNT({kept})")
 
-def _mean_when(condition: Column, value: Column) -> Column:
-    kept = F.when(condition, value)
-    return ratio(F.sum(kept.try_cast("decimal(18,6)")), F.count(kept))
 
-
-def _change(recent: Column, prior: Column) -> Column:
-    return zero(ratio(recent - prior, prior))
+def _change(recent: str, prior: str) -> str:
+    return f"COALESCE({ratio(f'{recent} - {prior}', prior)}, 0D)"
 
 
 def weekly_cost_trend(weekly: DataFrame) -> DataFrame:
     trend = _by_recency(weekly).groupBy("project_id").agg(
-        F.count("week_start").alias("active_weeks"),
-        _mean_when(_recent(), F.col("total_cost")).alias("recent"),
-        _mean_when(_prior(), F.col("total_cost")).alias("prior"),
+        F.expr("count(week_start) AS active_weeks"),
+        F.expr(f"COALESCE({_mean_when(RECENT, 'total_cost')}, 0D) AS recent"),
+        F.expr(f"{_mean_when(PRIOR, 'total_cost')} AS earlier"),
     )
-    recent = zero(F.col("recent"))
-    prior = F.coalesce(F.col("prior"), recent)
-    return trend.select(
-        "project_id",
-        "active_weeks",
-        recent.alias("recent_weekly_cost_avg"),
-        prior.alias("prior_weekly_cost_avg"),
-        _change(recent, prior).alias("burn_rate_acceleration"),
+    return trend.selectExpr(
+        "project_id", "active_weeks", "recent", "COALESCE(earlier, recent) AS prior"
+    ).selectExpr(
+        "project_id", "active_weeks", "recent AS recent_weekly_cost_avg",
+        "prior AS prior_weekly_cost_avg",
+        f"{_change('recent', 'prior')} AS burn_rate_acceleration",
     )
 
 
 def weekly_labor_trend(labor_week: DataFrame) -> DataFrame:
-    st, ot = zero(F.col("total_hours_st")), zero(F.col("total_hours_ot"))
-    crew = F.coalesce(F.col("num_employees"), F.lit(0))
-
-    def share(condition: Column) -> Column:
-        hours = exact_sum(F.when(condition, st + ot))
-        return F.when(hours > 0, ratio(exact_sum(F.when(condition, ot)), hours)).when(
-            F.count_if(condition) > 0, 0.0
+    st, ot = "COALESCE(total_hours_st, 0D)", "COALESCE(total_hours_ot, 0D)"
+    crew = "COALESCE(num_employees, 0L)"
+
+    def share(condition: str) -> str:
+        hours = exact_sum(f"CASE WHEN {condition} THEN {st} + {ot} END")
+        overtime = exact_sum(f"CASE WHEN {condition} THEN {ot} END")
+        return (
+            f"CASE WHEN {hours} > 0 THEN {ratio(overtime, hours)} "
+            f"WHEN count_if({condition}) > 0 THEN 0D END"
         )
 
     trend = _by_recency(labor_week).groupBy("project_id").agg(
-        share(_recent()).alias("recent_ot"),
-        share(_prior()).alias("prior_ot"),
-        _mean_when(_recent(), crew).alias("recent_crew"),
-        _mean_when(_prior(), crew).alias("prior_crew"),
+        F.expr(f"COALESCE({share(RECENT)}, 0D) AS recent_ot"),
+        F.expr(f"{share(PRIOR)} AS earlier_ot"),
+        F.expr(f"COALESCE({_mean_when(RECENT, crew)}, 0D) AS recent_crew"),
+        F.expr(f"{_mean_when(PRIOR, crew)} AS earlier_crew"),
     )
-    recent_ot = zero(F.col("recent_ot"))
-    prior_ot = F.coalesce(F.col("prior_ot"), recent_ot)
-    recent_crew = zero(F.col("recent_crew"))
-    prior_crew = F.coalesce(F.col("prior_crew"), recent_crew)
-    return trend.select(
-        "project_id",
-        recent_ot.alias("recent_ot_share"),
-        prior_ot.alias("prior_ot_share"),
-        (recent_ot - prior_ot).alias("overtime_spike"),
-        recent_crew.alias("recent_crew_size"),
-        prior_crew.alias("prior_crew_size"),
-        _change(recent_crew, prior_crew).alias("crew_size_spike"),
+    return trend.selectExpr(
+        "project_id", "recent_ot", "COALESCE(earlier_ot, recent_ot) AS prior_ot",
+        "recent_crew", "COALESCE(earlier_crew, recent_crew) AS prior_crew",
+    ).selectExpr(
+        "project_id", "recent_ot AS recent_ot_share", "prior_ot AS prior_ot_share",
+        "recent_ot - prior_ot AS overtime_spike", "recent_crew AS recent_crew_size",
+        "prior_crew AS prior_crew_size",
+        f"{_change('recent_crew', 'prior_crew')} AS crew_size_spike",
     )
 
 
@@ -111,88 +102,89 @@ def project_health_join(
     labor_trend: DataFrame,
 ) -> DataFrame:
     """Contracts with one row of every per-project summary; all joins share one key."""
-    joined = contracts.select(
-        "project_id", "project_name", "original_contract_value", "gc_name"
+    sides = [
+        budget,
+        labor.selectExpr("project_id", "total_labor_cost AS actual_labor_cost",
+                         "total_hours_st", "total_hours_ot"),
+        material.selectExpr("project_id", "total_material_cost AS actual_material_cost"),
+        orders, rfis, billing, cost_trend, labor_trend,
+    ]
+    start = contracts.select("project_id", "project_name", "original_contract_value", "gc_name")
+    return reduce(lambda a, b: a.join(b, "project_id", "left"), sides, start)
+
+
+def _filled(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    return df.selectExpr(
+        *[f"COALESCE({c}, {defaults[c]}) AS {c}" if c in defaults else c for c in df.columns]
     )
-    labor = labor.select(
-        "project_id", F.col("total_labor_cost").alias("actual_labor_cost"),
-        "total_hours_st", "total_hours_ot",
-    )
-    material = material.select(
-        "project_id", F.col("total_material_cost").alias("actual_material_cost")
-    )
-    for side in (budget, labor, material, orders, rfis, billing, cost_trend, labor_trend):
-        joined = joined.join(side, "project_id", "left")
-    return joined
 
 
 def fill_defaults(joined: DataFrame) -> DataFrame:
-    return joined.fillna(0, COUNT_DEFAULTS).fillna(0.0, AMOUNT_DEFAULTS).fillna(
-        False, ["billing_data_available"]
+    return _filled(
+        joined,
+        dict.fromkeys(COUNT_DEFAULTS, "0L") | dict.fromkeys(AMOUNT_DEFAULTS, "0D")
+        | {"billing_data_available": "false"},
     )
 
 
 def fill_ratios(df: DataFrame) -> DataFrame:
-    return df.fillna(0.0, RATIO_DEFAULTS)
+    return _filled(df, dict.fromkeys(RATIO_DEFAULTS, "0D"))
+
+
+def _clip01(x: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL THEN least(greatest({x}, 0D), 1D) END"
 
 
 def health_columns(filled: DataFrame) -> DataFrame:
     """Margins, overruns, progress, billing gap and forecast; ratios may be NULL."""
-    c = F.col
-    contract, budget, labor, material = (
-        c("original_contract_value"), c("total_budget"), c("actual_labor_cost"),
-        c("actual_material_cost"),
-    )
-    base = filled.withColumns(
-        {
-            "actual_tracked_cost": labor + material,
-            "adjusted_contract": zero(contract) + c("co_approved_value"),
-        }
-    )
-    tracked, adjusted = c("actual_tracked_cost"), c("adjusted_contract")
-    billed_share = clip01(ratio(c("cumulative_billed"), adjusted))
-    levels = base.withColumns(
-        {
-            "bid_margin": 1 - ratio(budget, contract),
-            "realized_margin_dollars": adjusted - (tracked + c("est_equip") + c("est_sub")),
-            "labor_overrun_pct": (ratio(labor, c("est_labor")) - 1) * 100,
-            "material_overrun_pct": (ratio(material, c("est_material")) - 1) * 100,
-            "pct_complete": clip01(ratio(tracked, budget)),
-            "pct_billed": F.when(c("billing_data_available"), billed_share),
-            "budget_coverage": ratio(budget, contract),
-            "ot_share": ratio(c("total_hours_ot"), c("total_hours_st") + c("total_hours_ot")),
-            "labor_burn_ratio": ratio(labor, c("est_labor")),
-            "material_burn_ratio": ratio(material, c("est_material")),
-            "approved_co_pct": ratio(c("co_approved_value"), contract),
-            "rejected_co_pct": ratio(c("co_rejected_value"), contract),
-            "pending_co_pct": ratio(c("pending_co_value"), contract),
-            "rfi_cost_impact_rate": ratio(c("rfi_cost_impact_count"), c("rfi_count")),
-            "rfi_per_million_contract": ratio(c("rfi_count"), contract / 1_000_000),
-        }
-    )
-    remaining = F.ceil(
-        F.greatest(F.lit(0.0), 1 - zero(c("pct_complete"))) * c("active_weeks")
-    ).cast("double")
-    forecast = levels.withColumns(
-        {
-            "realized_margin_pct": ratio(c("realized_margin_dollars"), adjusted),
-            "billing_gap_pct": c("pct_complete") - c("pct_billed"),
-            "remaining_weeks": remaining,
-        }
-    ).withColumns(
-        {
-            "forecast_cost_at_completion": tracked
-            + c("recent_weekly_cost_avg") * c("remaining_weeks"),
-            "prior_forecast_cost_at_completion": tracked
-            + c("prior_weekly_cost_avg") * c("remaining_weeks"),
-        }
-    )
-    shift = c("forecast_cost_at_completion") - c("prior_forecast_cost_at_completion")
-    return forecast.withColumns(
-        {
-            "forecast_to_complete": c("forecast_cost_at_completion") - budget,
-            "forecast_to_complete_trend": zero(ratio(shift, budget)),
-        }
+    contract, budget, tracked = "original_contract_value", "total_budget", "actual_tracked_cost"
+    labor, material, adjusted = "actual_labor_cost", "actual_material_cost", "adjusted_contract"
+    billed = _clip01(ratio("cumulative_billed", adjusted))
+    return (
+        filled.selectExpr(
+            "*",
+            f"{labor} + {material} AS {tracked}",
+            f"COALESCE({contract}, 0D) + co_approved_value AS {adjusted}",
+        )
+        .selectExpr(
+            "*",
+            f"1 - {ratio(budget, contract)} AS bid_margin",
+            f"{adjusted} - ({tracked} + est_equip + est_sub) AS realized_margin_dollars",
+            f"({ratio(labor, 'est_labor')} - 1) * 100 AS labor_overrun_pct",
+            f"({ratio(material, 'est_material')} - 1) * 100 AS material_overrun_pct",
+            f"{_clip01(ratio(tracked, budget))} AS pct_complete",
+            f"CASE WHEN billing_data_available THEN {billed} END AS pct_billed",
+            f"{ratio(budget, contract)} AS budget_coverage",
+            f"{ratio('total_hours_ot', 'total_hours_st + total_hours_ot')} AS ot_share",
+            f"{ratio(labor, 'est_labor')} AS labor_burn_ratio",
+            f"{ratio(material, 'est_material')} AS material_burn_ratio",
+            f"{ratio('co_approved_value', contract)} AS approved_co_pct",
+            f"{ratio('co_rejected_value', contract)} AS rejected_co_pct",
+            f"{ratio('pending_co_value', contract)} AS pending_co_pct",
+            f"{ratio('rfi_cost_impact_count', 'rfi_count')} AS rfi_cost_impact_rate",
+            f"{ratio('rfi_count', f'{contract} / 1000000')} AS rfi_per_million_contract",
+        )
+        .selectExpr(
+            "*",
+            f"{ratio('realized_margin_dollars', adjusted)} AS realized_margin_pct",
+            "pct_complete - pct_billed AS billing_gap_pct",
+            "CAST(ceil(greatest(0D, 1 - COALESCE(pct_complete, 0D)) * active_weeks) AS DOUBLE) "
+            "AS remaining_weeks",
+        )
+        .selectExpr(
+            "*",
+            f"{tracked} + recent_weekly_cost_avg * remaining_weeks "
+            "AS forecast_cost_at_completion",
+            f"{tracked} + prior_weekly_cost_avg * remaining_weeks "
+            "AS prior_forecast_cost_at_completion",
+        )
+        .selectExpr(
+            "*",
+            f"forecast_cost_at_completion - {budget} AS forecast_to_complete",
+            "COALESCE("
+            + ratio("forecast_cost_at_completion - prior_forecast_cost_at_completion", budget)
+            + ", 0D) AS forecast_to_complete_trend",
+        )
     )
 
 

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteledger.functions.numbers import RATIO, exact_mean, exact_sum, ratio, zero
+from siteledger.functions.sql import exact_mean, exact_sum, ratio
 
 LINE = ["project_id", "sov_line_id"]
 
 
-def _against(actual: Column, budget: Column, variance: str) -> list[Column]:
+def _by(df: DataFrame, keys: list[str], *exprs: str) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.expr(e) for e in exprs])
+
+
+def _zero(x: str) -> str:
+    return f"COALESCE({x}, 0D)"
+
+
+def _against(actual: str, budget: str, variance: str) -> list[str]:
     return [
-        (actual - budget).alias(variance),
-        ratio(actual - budget, budget).alias("pct_overrun"),
+        f"{actual} - {budget} AS {variance}",
+        f"{ratio(f'{actual} - {budget}', budget)} AS pct_overrun",
     ]
 
 
@@ -22,22 +30,15 @@ def labor_vs_budget(labor_sov: DataFrame, budget: DataFrame) -> DataFrame:
         *LINE, "estimated_labor_hours", "estimated_labor_cost", "productivity_factor",
         "key_assumptions",
     )
-    return labor_sov.join(plan, LINE, "left").select(
+    return labor_sov.join(plan, LINE, "left").selectExpr(
         *LINE,
-        F.col("total_labor_cost").alias("actual_labor_cost"),
-        "total_hours_st",
-        "total_hours_ot",
-        "total_effective_hours",
-        "avg_hourly_rate",
-        "avg_burden_multiplier",
-        "ot_share_of_raw_hours",
-        "first_date",
-        "last_date",
-        F.col("estimated_labor_hours").alias("budget_labor_hours"),
-        F.col("estimated_labor_cost").alias("budget_labor_cost"),
-        "productivity_factor",
-        "key_assumptions",
-        *_against(F.col("total_labor_cost"), F.col("estimated_labor_cost"), "labor_variance"),
+        "total_labor_cost AS actual_labor_cost",
+        "total_hours_st", "total_hours_ot", "total_effective_hours", "avg_hourly_rate",
+        "avg_burden_multiplier", "ot_share_of_raw_hours", "first_date", "last_date",
+        "estimated_labor_hours AS budget_labor_hours",
+        "estimated_labor_cost AS budget_labor_cost",
+        "productivity_factor", "key_assumptions",
+        *_against("total_labor_cost", "estimated_labor_cost", "labor_variance"),
     )
 
 
@@ -51,93 +52,88 @@ def material_vs_budget(material_sov: DataFrame, budget: DataFrame) -> DataFrame:
     plan = budget.select(
         *LINE, "estimated_material_cost", "productivity_factor", "key_assumptions"
     )
-    return material_sov.join(plan, LINE, "left").select(
+    return material_sov.join(plan, LINE, "left").selectExpr(
         *LINE,
-        F.col("total_material_cost").alias("actual_material_cost"),
+        "total_material_cost AS actual_material_cost",
         *[c for c in MATERIAL_DETAILS if c in material_sov.columns],
-        F.col("estimated_material_cost").alias("budget_material_cost"),
-        "productivity_factor",
-        "key_assumptions",
-        *_against(
-            F.col("total_material_cost"), F.col("estimated_material_cost"), "material_variance"
-        ),
+        "estimated_material_cost AS budget_material_cost",
+        "productivity_factor", "key_assumptions",
+        *_against("total_material_cost", "estimated_material_cost", "material_variance"),
     )
 
 
 def project_weekly_summary(labor_week: DataFrame, material_week: DataFrame) -> DataFrame:
-    labor = labor_week.select("project_id", "week_start", "total_labor_cost")
-    material = material_week.select("project_id", "week_start", "total_material_cost")
-    both = labor.join(material, ["project_id", "week_start"], "full_outer")
-    labor_cost = zero(F.col("total_labor_cost"))
-    material_cost = zero(F.col("total_material_cost"))
-    total = labor_cost + material_cost
-    return both.select(
-        "project_id",
-        "week_start",
-        labor_cost.alias("labor_cost"),
-        material_cost.alias("material_cost"),
-        total.alias("total_cost"),
-        ratio(labor_cost, total).alias("labor_pct"),
-        ratio(material_cost, total).alias("material_pct"),
+    key = ["project_id", "week_start"]
+    both = labor_week.select(*key, "total_labor_cost").join(
+        material_week.select(*key, "total_material_cost"), key, "full_outer"
+    )
+    return both.selectExpr(
+        *key,
+        f"{_zero('total_labor_cost')} AS labor_cost",
+        f"{_zero('total_material_cost')} AS material_cost",
+    ).selectExpr(
+        "*", "labor_cost + material_cost AS total_cost"
+    ).selectExpr(
+        "*",
+        f"{ratio('labor_cost', 'total_cost')} AS labor_pct",
+        f"{ratio('material_cost', 'total_cost')} AS material_pct",
     )
 
 
 def variance_full_outer(labor_vb: DataFrame, material_vb: DataFrame) -> DataFrame:
-    labor = labor_vb.select(
-        *LINE, "actual_labor_cost", "labor_variance",
-        F.col("pct_overrun").alias("labor_pct_overrun"),
+    labor = labor_vb.selectExpr(
+        *LINE, "actual_labor_cost", "labor_variance", "pct_overrun AS labor_pct_overrun"
     )
-    material = material_vb.select(
-        *LINE, "actual_material_cost", "material_variance",
-        F.col("pct_overrun").alias("material_pct_overrun"),
+    material = material_vb.selectExpr(
+        *LINE, "actual_material_cost", "material_variance", "pct_overrun AS material_pct_overrun"
     )
     return labor.join(material, LINE, "full_outer")
 
 
 def project_cost_summary(lines: DataFrame) -> DataFrame:
-    labor = zero(exact_sum(F.col("labor_variance")))
-    material = zero(exact_sum(F.col("material_variance")))
-    return lines.groupBy("project_id").agg(
-        labor.alias("total_labor_variance"),
-        material.alias("total_material_variance"),
-        (labor + material).alias("total_variance"),
-        exact_mean(F.col("labor_pct_overrun"), RATIO).alias("avg_labor_pct_overrun"),
-        exact_mean(F.col("material_pct_overrun"), RATIO).alias("avg_material_pct_overrun"),
+    labor = _zero(exact_sum("labor_variance"))
+    material = _zero(exact_sum("material_variance"))
+    return _by(
+        lines, ["project_id"],
+        f"{labor} AS total_labor_variance",
+        f"{material} AS total_material_variance",
+        f"{labor} + {material} AS total_variance",
+        f"{exact_mean('labor_pct_overrun')} AS avg_labor_pct_overrun",
+        f"{exact_mean('material_pct_overrun')} AS avg_material_pct_overrun",
     )
 
 
 def cost_summary(lines: DataFrame) -> DataFrame:
-    labor = exact_sum(F.col("actual_labor_cost"))
-    material = exact_sum(F.col("actual_material_cost"))
-    return lines.groupBy("project_id").agg(
-        labor.alias("total_labor_cost"),
-        material.alias("total_material_cost"),
-        (labor + material).alias("total_cost"),
+    """`total_cost` stays NULL for a project with only labor or only material."""
+    labor, material = exact_sum("actual_labor_cost"), exact_sum("actual_material_cost")
+    return _by(
+        lines, ["project_id"],
+        f"{labor} AS total_labor_cost",
+        f"{material} AS total_material_cost",
+        f"{labor} + {material} AS total_cost",
     )
 
 
 def cost_summary_labor_only(labor_vb: DataFrame) -> DataFrame:
-    labor = exact_sum(F.col("actual_labor_cost"))
-    return labor_vb.groupBy("project_id").agg(
-        labor.alias("total_labor_cost"),
-        F.lit(0.0).alias("total_material_cost"),
-        labor.alias("total_cost"),
+    labor = exact_sum("actual_labor_cost")
+    return _by(
+        labor_vb, ["project_id"],
+        f"{labor} AS total_labor_cost", "0D AS total_material_cost", f"{labor} AS total_cost",
     )
 
 
 def project_billing_analysis(costs: DataFrame, billed: DataFrame) -> DataFrame:
-    gap = F.col("total_billed") - F.col("total_cost")
-    return costs.join(billed, "project_id", "left").withColumns(
-        {"billing_gap": gap, "margin_pct": ratio(gap, F.col("total_cost"))}
+    gap = "total_billed - total_cost"
+    return costs.join(billed, "project_id", "left").selectExpr(
+        "*", f"{gap} AS billing_gap", f"{ratio(gap, 'total_cost')} AS margin_pct"
     )
 
 
 def project_full_analysis(billing: DataFrame, changes: DataFrame) -> DataFrame:
-    return billing.join(changes, "project_id", "left").withColumns(
-        {
-            "rejected_value_ratio": ratio(F.col("rejected_value"), F.col("total_co_value")),
-            "rejected_count_ratio": ratio(F.col("rejected_cos"), F.col("total_change_orders")),
-        }
+    return billing.join(changes, "project_id", "left").selectExpr(
+        "*",
+        f"{ratio('rejected_value', 'total_co_value')} AS rejected_value_ratio",
+        f"{ratio('rejected_cos', 'total_change_orders')} AS rejected_count_ratio",
     )
 
 
@@ -146,29 +142,30 @@ def project_analysis_w_rfi(full: DataFrame, rfi: DataFrame) -> DataFrame:
 
 
 def labor_rollup(labor_vb: DataFrame) -> DataFrame:
-    actual, budget = exact_sum(F.col("actual_labor_cost")), exact_sum(F.col("budget_labor_cost"))
-    st, ot = exact_sum(F.col("total_hours_st")), exact_sum(F.col("total_hours_ot"))
-    return labor_vb.groupBy("project_id").agg(
-        zero(actual).alias("labor_actual_cost"),
-        zero(budget).alias("labor_budget_cost"),
-        zero(exact_sum(F.col("labor_variance"))).alias("labor_variance"),
-        exact_mean(F.col("pct_overrun"), RATIO).alias("labor_avg_pct_overrun"),
-        ot.alias("labor_ot_hours"),
-        st.alias("labor_st_hours"),
-        ratio(actual, budget).alias("labor_burn_ratio"),
-        ratio(ot, st + ot).alias("labor_ot_share"),
+    actual, budget = exact_sum("actual_labor_cost"), exact_sum("budget_labor_cost")
+    st, ot = exact_sum("total_hours_st"), exact_sum("total_hours_ot")
+    return _by(
+        labor_vb, ["project_id"],
+        f"{_zero(actual)} AS labor_actual_cost",
+        f"{_zero(budget)} AS labor_budget_cost",
+        f"{_zero(exact_sum('labor_variance'))} AS labor_variance",
+        f"{exact_mean('pct_overrun')} AS labor_avg_pct_overrun",
+        f"{ot} AS labor_ot_hours",
+        f"{st} AS labor_st_hours",
+        f"{ratio(actual, budget)} AS labor_burn_ratio",
+        f"{ratio(ot, f'{st} + {ot}')} AS labor_ot_share",
     )
 
 
 def material_rollup(material_vb: DataFrame) -> DataFrame:
-    actual = exact_sum(F.col("actual_material_cost"))
-    budget = exact_sum(F.col("budget_material_cost"))
-    return material_vb.groupBy("project_id").agg(
-        zero(actual).alias("material_actual_cost"),
-        zero(budget).alias("material_budget_cost"),
-        zero(exact_sum(F.col("material_variance"))).alias("material_variance"),
-        exact_mean(F.col("pct_overrun"), RATIO).alias("material_avg_pct_overrun"),
-        ratio(actual, budget).alias("material_burn_ratio"),
+    actual, budget = exact_sum("actual_material_cost"), exact_sum("budget_material_cost")
+    return _by(
+        material_vb, ["project_id"],
+        f"{_zero(actual)} AS material_actual_cost",
+        f"{_zero(budget)} AS material_budget_cost",
+        f"{_zero(exact_sum('material_variance'))} AS material_variance",
+        f"{exact_mean('pct_overrun')} AS material_avg_pct_overrun",
+        f"{ratio(actual, budget)} AS material_burn_ratio",
     )
 
 
@@ -176,10 +173,10 @@ def sov_budget_vs_actual(
     budget: DataFrame, labor_sov: DataFrame, material_sov: DataFrame
 ) -> DataFrame:
     """Budget lines with labor and material spent on them; unbudgeted lines drop out."""
-    plan = zero(F.col("estimated_labor_cost")) + zero(F.col("estimated_material_cost"))
-    spent = zero(F.col("total_labor_cost")) + zero(F.col("total_material_cost"))
+    plan = f"{_zero('estimated_labor_cost')} + {_zero('estimated_material_cost')}"
+    spent = f"{_zero('total_labor_cost')} + {_zero('total_material_cost')}"
     return (
         budget.join(labor_sov.select(*LINE, "total_labor_cost"), LINE, "left")
         .join(material_sov.select(*LINE, "total_material_cost"), LINE, "left")
-        .select(*LINE, plan.alias("budgeted"), spent.alias("actual"))
+        .selectExpr(*LINE, f"{plan} AS budgeted", f"{spent} AS actual")
     )

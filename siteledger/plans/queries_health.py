@@ -167,12 +167,12 @@ FROM v_health""")
 
 query("flagged_projects", lambda p: p.flagged, "SELECT * FROM v_flagged")
 query("severity",
-      lambda p: p.health.select(
-          "project_id", flags.severity(F.col("realized_margin_pct"), p.rules).alias("severity")),
+      lambda p: p.health.selectExpr(
+          "project_id", f"{flags.severity('realized_margin_pct', p.rules)} AS severity"),
       f"SELECT project_id, {SEVERITY} AS severity FROM v_health")
 query("severity_normalize",
-      lambda p: p.tables["rfis"].select(
-          "rfi_number", flags.severity_normalize(F.col("priority")).alias("severity")),
+      lambda p: p.tables["rfis"].selectExpr(
+          "rfi_number", f"{flags.severity_normalize('priority')} AS severity"),
       """SELECT rfi_number, CASE WHEN lower(trim(priority)) IN ('critical', 'warning', 'watch')
       THEN lower(trim(priority)) ELSE 'watch' END AS severity FROM v_rfis""")
 query("fired_triggers",
@@ -182,7 +182,7 @@ query("fired_triggers",
       COALESCE(trigger_count, 0) AS trigger_count
       FROM v_health h LEFT JOIN v_flagged f ON h.project_id = f.project_id""")
 query("portfolio_kpis", lambda p: flags.portfolio_kpis(p.health), "SELECT * FROM v_kpis")
-query("portfolio_summary", lambda p: flags.portfolio_summary(p.health_table, p.rules),
+query("portfolio_summary", lambda p: flags.portfolio_summary(p.health, p.rules),
       "SELECT *, (SELECT COUNT(*) FROM v_flagged) AS total_flagged FROM v_kpis")
 
 # ---- risk -------------------------------------------------------------------------
