@@ -75,7 +75,8 @@ def zero(c: Column) -> Column:
 
 
 def half_even(c: Column, places: int) -> Column:
-    return F.bround(c, places)
+    """Rounded in binary, ties to even."""
+    return F.rint(c * 10**places) / 10**places if places else F.rint(c)
 
 
 def percent_points(value: Column, base: Column) -> Column:

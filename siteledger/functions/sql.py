@@ -22,13 +22,22 @@ def exact_mean(x: str, kind: str = "DECIMAL(28,10)") -> str:
     return ratio(f"SUM(TRY_CAST({x} AS {kind}))", f"COUNT({x})")
 
 
+def half_even(x: str, places: int) -> str:
+    """Rounded in binary, ties to even. Decimal rounding would move 1.255 up, although
+    the stored number lies below it."""
+    if places == 0:
+        return f"rint({x})"
+    scale = f"{10 ** places}D"
+    return f"(rint(({x}) * {scale}) / {scale})"
+
+
 def fixed(x: str, places: int) -> str:
-    return f"CAST(CAST(bround({x}, {places}) AS DECIMAL(28,{places})) AS STRING)"
+    return f"CAST(CAST({half_even(x, places)} AS DECIMAL(28,{places})) AS STRING)"
 
 
 def dollars(x: str) -> str:
     """`$1,234`; NULL stays NULL."""
-    return f"('$' || format_number(CAST(bround({x}, 0) AS DECIMAL(28,0)), 0))"
+    return f"('$' || format_number(CAST({half_even(x, 0)} AS DECIMAL(28,0)), 0))"
 
 
 def short_dollars(x: str) -> str:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siteledger.functions.numbers import half_even
+
 
 def words(c: Column) -> Column:
     """Lower-cased, trimmed status text."""
@@ -58,12 +60,12 @@ def truncate(c: Column, limit: int) -> Column:
 
 def fixed(c: Column, places: int) -> Column:
     """Number as text with `places` digits, rounded half-even."""
-    return F.bround(c, places).cast(f"decimal(28,{places})").cast("string")
+    return half_even(c, places).cast(f"decimal(28,{places})").cast("string")
 
 
 def dollars(c: Column) -> Column:
     """`$1,234`, or `unavailable` for NULL."""
-    whole = F.format_number(F.bround(c, 0).cast("decimal(28,0)"), 0)
+    whole = F.format_number(half_even(c, 0).cast("decimal(28,0)"), 0)
     return F.coalesce(F.concat(F.lit("$"), whole), F.lit("unavailable"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siteledger.functions.numbers import NUMBER_PATTERN
-from siteledger.functions.sql import dollars, exact_sum, fixed, mentions, ratio, text_list
+from siteledger.functions.sql import dollars, exact_sum, fixed, half_even, mentions, ratio, text_list
 from siteledger.functions.texts import BLANKS
 from siteledger.rules import (
     CO_APPROVED_WIDE, CO_REJECTED_WIDE, ISSUE_KEYWORDS, RFI_CLOSED_PACKET,
@@ -48,8 +48,8 @@ def labor_actual(labor: DataFrame) -> DataFrame:
     st, ot = exact_sum("COALESCE(hours_st, 0D)"), exact_sum("COALESCE(hours_ot, 0D)")
     return _by(
         labor, ["project_id"],
-        f"bround(CAST(SUM({ROW_COST}) AS DOUBLE), 2) AS labor_actual",
-        f"bround({ratio(ot, f'{st} + {ot}')}, 4) AS overtime_share",
+        f"{half_even(f'CAST(SUM({ROW_COST}) AS DOUBLE)', 2)} AS labor_actual",
+        f"{half_even(ratio(ot, f'{st} + {ot}'), 4)} AS overtime_share",
     )
 
 
@@ -156,7 +156,7 @@ def packet_co_summary(orders: DataFrame) -> DataFrame:
     sums = []
     for b in ("approved", "pending", "rejected"):
         value = exact_sum(f"CASE WHEN bucket = '{b}' THEN COALESCE(amount, 0D) END")
-        sums += [f"count_if(bucket = '{b}') AS {b}_count", f"bround({value}, 2) AS {b}_value"]
+        sums += [f"count_if(bucket = '{b}') AS {b}_count", f"{half_even(value, 2)} AS {b}_value"]
     return _by(orders.withColumn("bucket", F.expr(bucket)), ["project_id"], *sums)
 
 
@@ -355,7 +355,7 @@ def weighted_pct_complete(lines: DataFrame) -> DataFrame:
         per_app, ["project_id"], f"max_by(struct(earned, value), {_application_key()}) AS latest"
     ).selectExpr(
         "project_id",
-        f"bround({ratio('latest.earned', 'latest.value')}, 2) AS percent_complete",
+        f"{half_even(ratio('latest.earned', 'latest.value'), 2)} AS percent_complete",
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteledger.functions.sql import dollars, exact_sum, fixed, percent, ratio, text_list
+from siteledger.functions.sql import dollars, exact_sum, fixed, half_even, percent, ratio, text_list
 from siteledger.operators.evidence import billing_summary_text
 from siteledger.operators.recovery import stage_case
 from siteledger.rules import Rules
@@ -25,6 +25,9 @@ def _known_sum(*cols: str) -> str:
     return f"CASE WHEN COALESCE({', '.join(cols)}) IS NOT NULL THEN {total} END"
 
 
+ESTIMATES = ["labor_estimated", "material_estimated", "other_cost_estimated"]
+
+
 def packet_estimates(budget: DataFrame) -> DataFrame:
     parts = {
         "labor_estimated": "estimated_labor_cost",
@@ -32,10 +35,10 @@ def packet_estimates(budget: DataFrame) -> DataFrame:
         "equipment": "estimated_equipment_cost",
         "sub": "estimated_sub_cost",
     }
-    sums = [F.expr(f"bround({exact_sum(c)}, 2) AS {alias}") for alias, c in parts.items()]
+    sums = [F.expr(f"{half_even(exact_sum(c), 2)} AS {alias}") for alias, c in parts.items()]
     return budget.groupBy("project_id").agg(*sums).selectExpr(
         "project_id", "labor_estimated", "material_estimated",
-        f"bround({_known_sum('equipment', 'sub')}, 2) AS other_cost_estimated",
+        f"{half_even(_known_sum('equipment', 'sub'), 2)} AS other_cost_estimated",
     )
 
 
@@ -44,10 +47,10 @@ def packet_financials(
 ) -> DataFrame:
     """Estimates, actuals and margins; a total skips unknown parts."""
     material = materials.groupBy("project_id").agg(
-        F.expr(f"bround({exact_sum('total_cost')}, 2) AS material_actual")
+        F.expr(f"{half_even(exact_sum('total_cost'), 2)} AS material_actual")
     )
-    pct = lambda v: f"bround({ratio(v, 'contract_value')} * 100, 2)"
-    times = lambda a, e: f"bround({ratio(a, e)}, 2)"
+    pct = lambda v: half_even(ratio(v, "contract_value") + " * 100", 2)
+    times = lambda a, e: half_even(ratio(a, e), 2)
     joined = reduce(
         lambda a, b: a.join(b, "project_id", "left"), [contracts, estimates, labor, material]
     )
@@ -56,16 +59,15 @@ def packet_financials(
             "project_id", "project_name", "gc_name", "substantial_completion_date",
             "original_contract_value AS contract_value", "labor_estimated", "labor_actual",
             "material_estimated", "material_actual", "other_cost_estimated", "overtime_share",
-            f"bround({_known_sum('labor_estimated', 'material_estimated', 'other_cost_estimated')}"
-            ", 2) AS estimated_cost_total",
+            f"{half_even(_known_sum(*ESTIMATES), 2)} AS estimated_cost_total",
             f"{_known_sum('labor_actual', 'material_actual')} AS actual_cost_total",
         )
         .selectExpr(
             "*",
-            "bround(contract_value - estimated_cost_total, 2) AS estimated_margin_dollars",
-            "bround(contract_value - actual_cost_total, 2) AS realized_margin_dollars",
-            "bround(labor_actual - labor_estimated, 2) AS labor_variance",
-            "bround(material_actual - material_estimated, 2) AS material_variance",
+            f"{half_even('contract_value - estimated_cost_total', 2)} AS estimated_margin_dollars",
+            f"{half_even('contract_value - actual_cost_total', 2)} AS realized_margin_dollars",
+            f"{half_even('labor_actual - labor_estimated', 2)} AS labor_variance",
+            f"{half_even('material_actual - material_estimated', 2)} AS material_variance",
             f"{times('labor_actual', 'labor_estimated')} AS labor_overrun_multiple",
             f"{times('material_actual', 'material_estimated')} AS material_overrun_multiple",
         )
@@ -85,9 +87,9 @@ def packet_billing(
         .join(progress, "project_id", "left")
         .withColumn(
             "billing_complete_pct",
-            F.expr(f"bround({ratio('cumulative_billed', 'contract_value')} * 100, 2)"),
+            F.expr(half_even(f"{ratio('cumulative_billed', 'contract_value')} * 100", 2)),
         )
-        .withColumn("billing_gap_pct", F.expr("bround(percent_complete - billing_complete_pct, 2)"))
+        .withColumn("billing_gap_pct", F.expr(half_even("percent_complete - billing_complete_pct", 2)))
     )
 
 
@@ -299,8 +301,8 @@ def labor_by_week(labor_week: DataFrame) -> DataFrame:
     rate = "COALESCE(avg_hourly_rate, 0D) * COALESCE(avg_burden_multiplier, 1D)"
     return labor_week.selectExpr(
         "project_id", "week_start",
-        f"bround(COALESCE(total_hours_st, 0D) * {rate}, 0) AS regular",
-        f"bround(COALESCE(total_hours_ot, 0D) * {rate} * 1.5D, 0) AS overtime",
+        f"{half_even(f'COALESCE(total_hours_st, 0D) * {rate}', 0)} AS regular",
+        f"{half_even(f'COALESCE(total_hours_ot, 0D) * {rate} * 1.5D', 0)} AS overtime",
     )
 
 

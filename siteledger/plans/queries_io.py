@@ -290,10 +290,11 @@ FROM (SELECT unnest(['contracts', 'labor_logs', 'material_deliveries', 'sov_budg
   'change_orders', 'rfis', 'billing_history', 'billing_line_items', 'field_notes']) AS name)""")
 query("required_columns",
       lambda p: readers.required_columns(
-          {k: p.tables[k].drop("project_id") for k in REQUIRED_COLUMNS}), """
-SELECT unnest(['contracts', 'labor_logs', 'material_deliveries', 'sov_budget', 'sov',
-  'change_orders', 'rfis', 'billing_history', 'billing_line_items', 'field_notes'])
-  AS table_name, 'project_id' AS missing""")
+          {k: p.tables[k].drop("project_id", "cumulative_billed") for k in REQUIRED_COLUMNS}),
+      " UNION ALL ".join(
+          f"SELECT '{name}' AS table_name, COUNT(*) AS rows_checked, "
+          f"'{' | '.join(c for c in cols if c in ('project_id', 'cumulative_billed'))}' AS missing "
+          f"FROM v_{name}" for name, cols in REQUIRED_COLUMNS.items()))
 
 
 def _checked(p: Portfolio) -> DataFrame:
@@ -356,13 +357,28 @@ query("extract_json",
           F.col("doc.headline").alias("headline")), """
 SELECT id AS project_id, project_stage <> 'early' AS readable,
   CASE WHEN project_stage <> 'early' THEN headline END AS headline FROM v_briefs""", share=True)
-query("document_rules",
-      lambda p: documents.violations(
-          documents.analysis_documents(p.briefs).withColumn("doc", F.struct("*"))), """
+
+
+def _faulty_documents(p: Portfolio) -> DataFrame:
+    """Documents with faults that depend on the project's stage."""
+    stage = F.col("financial_snapshot.project_stage")
+    return documents.analysis_documents(p.briefs).withColumns(
+        {
+            "severity": F.when(stage == "late", F.lower("severity")).otherwise(F.col("severity")),
+            "headline": F.when(stage != "complete", F.col("headline")),
+            "confidence": F.when(stage == "active", F.lit(1.5)).otherwise(F.col("confidence")),
+        }
+    ).withColumn("doc", F.struct("*"))
+
+
+query("document_rules", lambda p: documents.violations(_faulty_documents(p)), """
 SELECT id AS project_id, 'root_causes_count' AS rule FROM v_briefs
 WHERE id NOT IN (SELECT project_id FROM v_causes)
 UNION ALL SELECT id, 'recovery_actions_count' FROM v_briefs
-WHERE id NOT IN (SELECT project_id FROM v_actions)""", share=True)
+WHERE id NOT IN (SELECT project_id FROM v_actions)
+UNION ALL SELECT id, 'severity_word' FROM v_briefs WHERE project_stage = 'late'
+UNION ALL SELECT id, 'missing_headline' FROM v_briefs WHERE project_stage = 'complete'
+UNION ALL SELECT id, 'confidence_range' FROM v_briefs WHERE project_stage = 'active'""", share=True)
 _SCORED = """
 SELECT f.project_id, CASE WHEN project_stage = 'early' THEN 'unreadable'
     WHEN id NOT IN (SELECT project_id FROM v_causes) OR id NOT IN (SELECT project_id FROM v_actions)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,14 +115,17 @@ def data_availability(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def required_columns(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Missing required columns as rows; empty when every table is complete."""
-    rows = [
-        (name, column)
-        for name, df in tables.items()
-        for column in REQUIRED_COLUMNS[name]
-        if column not in df.columns
-    ]
-    return SparkSession.active().createDataFrame(rows, "table_name string, missing string")
+    """One row per table: rows checked and the required columns it lacks."""
+    reports = []
+    for name, df in tables.items():
+        missing = [c for c in REQUIRED_COLUMNS[name] if c not in df.columns]
+        listed = F.array(*[F.lit(c) for c in missing]).cast("array<string>")
+        reports.append(
+            df.agg(F.count(F.lit(1)).alias("rows_checked")).select(
+                F.lit(name).alias("table_name"), "rows_checked", listed.alias("missing")
+            )
+        )
+    return reduce(lambda a, b: a.unionByName(b), reports)
 
 
 # ---- project bundles: one folder per project ------------------------------------

@@ -33,6 +33,9 @@ def _bag(rows):
 @pytest.mark.parametrize("key", sorted(BUILDERS))
 def test_query(key, spark, small_dir, duck):
     df = BUILDERS[key](spark, small_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for costly in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "BatchEvalPython"):
+        assert costly not in plan
     columns = sorted(df.columns)
     ours = [tuple(r) for r in df.select(*columns).collect()]
     if key not in SQL:
