@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -53,9 +51,14 @@ def percent(x: str) -> str:
     return f"({fixed(f'COALESCE({x}, 0D) * 100', 1)} || '%')"
 
 
-def mentions(text: str, keywords: list[str]) -> str:
-    pattern = "|".join(re.escape(k).replace("\\ ", " ") for k in keywords)
-    return f"COALESCE(lower({text}) RLIKE '{pattern}', false)"
+def mentions(text: str, keywords: list[str], lowered: bool = False) -> str:
+    """True when the text holds any keyword as a substring, ignoring case.
+
+    Plain substring tests: on long texts they are far cheaper than one pattern of
+    alternatives. Pass `lowered` if the column is in lower case already.
+    """
+    low = text if lowered else f"lower({text})"
+    return "COALESCE(" + " OR ".join(f"contains({low}, '{k}')" for k in keywords) + ", false)"
 
 
 def sector(name: str, sectors: list, default: str) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,15 +26,8 @@ def truthy(c: Column, true_words: list[str]) -> Column:
 
 def mentions(c: Column, keywords: list[str]) -> Column:
     """True when the text holds any keyword as a substring, ignoring case."""
-    pattern = "|".join(re.escape(k) for k in keywords)
-    return F.coalesce(F.lower(c).rlike(pattern), F.lit(False))
-
-
-def keyword_score(c: Column, groups: dict[str, list[str]]) -> Column:
-    """How many keyword groups occur in the text."""
-    return reduce(
-        lambda a, b: a + b, [mentions(c, kws).cast("bigint") for kws in groups.values()]
-    )
+    hits = [F.contains(F.lower(c), F.lit(k)) for k in keywords]
+    return F.coalesce(reduce(lambda a, b: a | b, hits), F.lit(False))
 
 
 def first_sector(name: Column, sectors: list, default: str) -> Column:

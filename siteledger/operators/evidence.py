@@ -231,15 +231,16 @@ def _truncated(text: str, limit: int) -> str:
     )
 
 
-def note_score_sql(text: str) -> str:
-    """Number of issue categories a text touches."""
+def note_score_sql(low: str) -> str:
+    """Number of issue categories a lower-case text touches."""
     return " + ".join(
-        f"CAST({mentions(text, kws)} AS BIGINT)" for kws in ISSUE_KEYWORDS.values()
+        f"CAST({mentions(low, kws, lowered=True)} AS BIGINT)" for kws in ISSUE_KEYWORDS.values()
     )
 
 
 def note_scores(notes: DataFrame) -> DataFrame:
-    return notes.withColumn("note_score", F.expr(note_score_sql("content")))
+    low = notes.selectExpr("*", "lower(content) AS _low")
+    return low.selectExpr(*notes.columns, f"{note_score_sql('_low')} AS note_score")
 
 
 def top_field_notes(notes: DataFrame, rules: Rules) -> DataFrame:
@@ -255,10 +256,10 @@ def field_notes_summary(top_notes: DataFrame, rules: Rules) -> DataFrame:
     """Snippets, scope signals and events from the top notes (six a project at most)."""
     told = top_notes.selectExpr(
         "project_id", "note_rank", f"{_squished('content')} AS clean"
-    ).selectExpr(
+    ).selectExpr("*", "lower(clean) AS low").selectExpr(
         "project_id", "note_rank", f"{_truncated('clean', rules.note_chars)} AS snippet",
-        f"({note_score_sql('clean')}) > 0 AS notable",
-        f"{mentions('clean', ISSUE_KEYWORDS['owner_scope'])} AS scope",
+        f"({note_score_sql('low')}) > 0 AS notable",
+        f"{mentions('low', ISSUE_KEYWORDS['owner_scope'], lowered=True)} AS scope",
     )
     listed = _by(
         told, ["project_id"],
