@@ -221,10 +221,18 @@ def near_groups(
         .select(F.col("id").alias("u"), F.col("rep").alias("v"))
     )
     rows = nodes.select("rep", F.explode("bands").alias("key")).distinct()
-    buckets = rows.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("members"))
-    buckets = staged(buckets.filter("members > 1"), "near-buckets")
-    members = staged(rows.join(buckets, "key"), "near-members")
-    star = members.filter("rep <> lead").select(F.col("lead").alias("u"), F.col("rep").alias("v"))
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = staged(rows.join(staged(buckets, "near-buckets"), "key"), "near-members")
+    # The member that shares most buckets with most others: of edited copies, the one they stem from.
+    central = staged(members.groupBy("rep").agg(F.sum("n").alias("central")), "near-central")
+    leads = members.join(central, "rep").groupBy("key").agg(
+        F.max(F.struct("central", -F.col("rep"))).alias("lead")
+    )
+    leads = staged(leads.select("key", (-F.col("lead.col2")).alias("lead")), "near-leads")
+    star = members.join(leads, "key").filter("rep <> lead").select(
+        F.greatest("lead", "rep").alias("v"), F.least("lead", "rep").alias("u")
+    )
+    members = members.select("key", "rep")
     chosen = members.select(F.col("rep").alias("id")).distinct()
     texts_of = staged(
         texts.join(chosen, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "near-texts"

@@ -266,14 +266,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     least = staged(windows.groupBy("window").agg(F.min("own").alias("first")), "passages-least")
     spread = windows.join(least, "window").select("key", F.col("k").alias("a"), (F.col("k") + 1).alias("b"), "first")
-    stretches = staged(stretches.union(spread), "passages-stretches")
-    cuts = (
-        found.select("key", "id", "tag", "start")
-        .join(stretches, "key")
-        .filter("first < id")
-        .select("id", "tag", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + WINDOW - 1).alias("b")).alias("cut"))
+    # One row per string, so that its copies take its stretches without becoming many rows.
+    stretches = staged(
+        stretches.union(spread).groupBy("key").agg(F.collect_list(F.struct("a", "b", "first")).alias("parts")),
+        "passages-stretches",
     )
-    cuts = staged(cuts.groupBy("id", "tag").agg(F.collect_list("cut").alias("cuts")), "passages-cuts")
+    cut = f"transform(filter(parts, x -> x.first < id), x -> struct(start + x.a AS a, start + x.b + {WINDOW - 1} AS b))"
+    cuts = found.select("key", "id", "tag", "start").join(stretches, "key").select("id", "tag", F.expr(cut).alias("cuts"))
+    cuts = cuts.filter("size(cuts) > 0").groupBy("id", "tag").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+    cuts = staged(cuts, "passages-cuts")
     done = texts.join(cuts, "id").mapInArrow(_finish, "id long, tag long, n_removed long, kept_sha256 string")
     done = staged(done.distinct(), "passages-done")
     return outline.join(done, ["id", "tag"], "left").select(
