@@ -7,11 +7,10 @@
    are distinct, which lowers the variance, and once all components hold a rank below j
    no shingle can improve them at rank j, so drawing stops there, mostly after one to ten ranks.
 3. Bands of the signature are the keys of buckets. In a bucket each member is compared
-   with the smallest one, over the full shingle sets. What links is joined to components.
-4. Buckets that still hold several components are compared further: each member of the
-   smaller components with the members of other components, until no bucket has an
-   unchecked pair between components. A pair inside one component cannot change the result,
-   so no link between components is lost and no bucket is capped.
+   with the one that shares most buckets, over the full shingle sets. What links is joined to components.
+4. Buckets that still hold several components are compared in full, in pairs of blocks of
+   members, over the full shingle sets. A pair inside one component cannot change the
+   result, so no link between components is lost and no bucket is capped.
 
 A pair at the limit of similarity shares no band with probability (1 - t^ROWS)^BANDS, about
 1e-5 at t = 0.85.
@@ -39,8 +38,8 @@ from siteledger.llm.words import CHUNK, LOWER, bounds, hashes, mix, pieces, raw,
 
 BANDS, ROWS = 16, 4
 SIZE = BANDS * ROWS
-#: Members of one block when buckets are compared further.
-BLOCK = 64
+#: Members of one block, on average, when buckets are compared in full.
+BLOCK = 384
 
 
 @dataclass(frozen=True)
@@ -240,7 +239,7 @@ def near_groups(
     checked = _checked(staged(star.distinct(), "near-pairs"), texts_of, how)
     links = checked.filter("linked").select("u", "v")
     roots = staged(_roots(nodes, links), "near-roots")
-    more = _remaining(members, roots, checked, texts_of, how)
+    more = _remaining(members, roots, texts_of, how)
     if more is not None:
         roots = staged(_roots(nodes, links.union(more)), "near-roots")
     of_set = nodes.select("digest", "rep").join(roots, "rep").select("digest", "root")
@@ -254,21 +253,99 @@ def near_groups(
     )
 
 
-def _remaining(
-    members: DataFrame, roots: DataFrame, checked: DataFrame, texts: DataFrame, how: Similarity
-) -> DataFrame | None:
-    """Links between components that share a bucket, beyond those already checked."""
-    parts = members.join(roots, "rep").select("key", "rep", "root")
-    sizes = staged(parts.groupBy("key", "root").agg(F.count("*").alias("n")), "near-parts")
-    top = sizes.groupBy("key").agg(
-        F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of 0/1 columns of shared shingles."""
+    n = len(sets)
+    every = np.concatenate(sets)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    row, every = row[order], every[order]
+    column = np.cumsum(np.r_[False, every[1:] != every[:-1]])
+    shared = np.bincount(column)[column] > 1
+    row, column = row[shared], column[shared]
+    column = np.cumsum(np.r_[False, column[1:] != column[:-1]]) if len(column) else column
+    out = np.zeros((n, n), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        a, b = np.searchsorted(column, (first, first + 2048))
+        part = np.zeros((n, 2048), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        out += part @ part.T
+    return out
+
+
+def _block_links(texts: list[str], ids: np.ndarray, roots: np.ndarray, how: Similarity) -> list[tuple[int, int]]:
+    """Links between different components among some members, no more than join them."""
+    if len(set(roots.tolist())) < 2:
+        return []
+    sets = [_one_set(t, how.words) for t in texts]
+    size = np.array([len(s) for s in sets], np.float32)
+    both = intersections(sets)
+    linked = 100 * both >= how.per_hundred * (size[:, None] + size - both)
+    linked &= roots[:, None] != roots
+    parent = {r: r for r in roots.tolist()}
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1))), strict=True):
+        a, b = top(int(roots[i])), top(int(roots[j]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def _compare_blocks(how: Similarity):
+    """Rows (key, i, j, rep, root, text) sorted by (key, i, j), one such group in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group = None, []
+
+        def links() -> pa.RecordBatch:
+            found = []
+            if len(group) > 1:
+                reps, roots, texts = zip(*group, strict=True)
+                found = _block_links(list(texts), np.array(reps, np.int64), np.array(roots, np.int64), how)
+            u, v = np.array(found, np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_pydict({"u": u, "v": v})
+
+        for batch in batches:
+            names = ("key", "i", "j", "rep", "root", "text")
+            for *mark, rep, root, text in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                if mark != at:
+                    yield links()
+                    at, group = mark, []
+                group.append((rep, root, text))
+        yield links()
+
+    return run
+
+
+def _remaining(members: DataFrame, roots: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame | None:
+    """Links between components that share a bucket.
+
+    A bucket of n members is dealt into n / BLOCK blocks, and two blocks at a time are compared in one
+    task by matrix products; only links that join components come out, never pairs.
+    """
+    parts = staged(members.join(roots, "rep").select("key", "rep", "root"), "near-parts")
+    held = parts.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")
     )
-    top = staged(top.filter("parts > 1").select("key", F.col("top.root").alias("top")), "near-open")
-    if top.isEmpty():
+    held = staged(held.filter("low < high").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "near-open")
+    if held.isEmpty():
         return None
-    both = staged(parts.join(top, "key"), "near-open-members")
-    few = both.filter("root <> top").select("key", F.col("rep").alias("u"), F.col("root").alias("u_root"))
-    pairs = both.join(few, "key").filter("root <> u_root AND (root = top OR rep > u)")
-    pairs = pairs.select(F.greatest("u", "rep").alias("v"), F.least("u", "rep").alias("u")).distinct()
-    pairs = pairs.join(checked.select("u", "v"), ["u", "v"], "left_anti")
-    return _checked(staged(pairs, "near-more"), texts, how).filter("linked").select("u", "v")
+    dealt = parts.join(held, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    # Each block meets every other one; the smaller number comes first.
+    others = F.expr(
+        "IF(blocks = 1, array(0L), filter(sequence(0L, blocks - 1), x -> x <> own))"
+    )
+    dealt = dealt.select("key", "rep", "root", "own", F.explode(others).alias("other")).select(
+        "key", "rep", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    )
+    rows = dealt.join(texts.select(F.col("id").alias("rep"), "text"), "rep")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    found = rows.select("key", "i", "j", "rep", "root", "text").mapInArrow(_compare_blocks(how), "u long, v long")
+    return staged(found.distinct(), "near-links")
