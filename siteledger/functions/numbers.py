@@ -11,7 +11,10 @@ from pyspark.sql import types as T
 # A plain decimal or exponent literal. Spark alone would also accept '12f' or 'nan'.
 NUMBER_PATTERN = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 
-MONEY = T.DecimalType(18, 6)
+# A year, a month and a day, with or without a time behind.
+DATE_PATTERN = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
+
+MONEY = T.DecimalType(28, 6)
 RATIO = T.DecimalType(28, 10)
 
 
@@ -33,7 +36,8 @@ def number(df: DataFrame, name: str) -> Column:
 def date(df: DataFrame, name: str) -> Column:
     if isinstance(df.schema[name].dataType, T.DateType):
         return F.col(name)
-    return F.trim(F.col(name)).try_cast("date")
+    c = F.col(name)
+    return F.when(c.rlike(DATE_PATTERN), F.trim(c).try_cast("date"))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -52,10 +56,10 @@ def exact_mean(c: Column, kind: T.DecimalType = MONEY) -> Column:
 
 def labor_cost_decimal(st: Column, ot: Column, rate: Column, burden: Column) -> Column:
     """(ST + 1.5 * OT) * rate * burden in exact decimals, 13 places."""
-    hours = st.try_cast("decimal(8,4)") + ot.try_cast("decimal(8,4)") * F.lit(1.5).cast(
+    hours = st.try_cast("decimal(10,4)") + ot.try_cast("decimal(10,4)") * F.lit(1.5).cast(
         "decimal(2,1)"
     )
-    return hours * rate.try_cast("decimal(10,4)") * burden.try_cast("decimal(8,4)")
+    return hours * rate.try_cast("decimal(12,4)") * burden.try_cast("decimal(8,4)")
 
 
 def labor_cost(st: Column, ot: Column, rate: Column, burden: Column) -> Column:

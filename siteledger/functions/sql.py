@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from siteledger.functions.numbers import NUMBER_PATTERN
+from siteledger.functions.numbers import DATE_PATTERN, NUMBER_PATTERN
 
 
 def ratio(n: str, d: str) -> str:
     return f"try_divide(CAST({n} AS DOUBLE), CAST({d} AS DOUBLE))"
 
 
-def exact_sum(x: str, kind: str = "DECIMAL(18,6)") -> str:
+def exact_sum(x: str, kind: str = "DECIMAL(28,6)") -> str:
+    """Sum that does not depend on row order, for amounts below 10^22 at six places."""
     return f"CAST(SUM(TRY_CAST({x} AS {kind})) AS DOUBLE)"
 
 
@@ -85,7 +86,8 @@ def number(df: DataFrame, name: str) -> str:
 def day(df: DataFrame, name: str) -> str:
     if isinstance(df.schema[name].dataType, T.DateType):
         return name
-    return f"TRY_CAST(trim({name}) AS DATE)"
+    # Spark alone would also take '2024' and '2024-01'.
+    return f"CASE WHEN {name} RLIKE r'{DATE_PATTERN}' THEN TRY_CAST(trim({name}) AS DATE) END"
 
 
 def mapped(name: str, mapping: dict[str, str]) -> str:
@@ -94,8 +96,9 @@ def mapped(name: str, mapping: dict[str, str]) -> str:
     return f"COALESCE(try_element_at(map({pairs}), {name}), {name})"
 
 
+# Up to 999,999 hours a row and rates below 10^8; wider kinds would lose the 13 exact places.
 LABOR_COST = (
-    "(TRY_CAST(hours_st AS DECIMAL(8,4)) + TRY_CAST(hours_ot AS DECIMAL(8,4)) * "
-    "CAST(1.5 AS DECIMAL(2,1))) * TRY_CAST(hourly_rate AS DECIMAL(10,4)) * "
+    "(TRY_CAST(hours_st AS DECIMAL(10,4)) + TRY_CAST(hours_ot AS DECIMAL(10,4)) * "
+    "CAST(1.5 AS DECIMAL(2,1))) * TRY_CAST(hourly_rate AS DECIMAL(12,4)) * "
     "TRY_CAST(burden_multiplier AS DECIMAL(8,4))"
 )

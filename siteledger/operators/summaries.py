@@ -36,7 +36,7 @@ def labor_cube(labor: DataFrame) -> DataFrame:
     here that copy happens on cube rows, and a hot project is spread over its lines,
     weeks, employees and roles before anything is grouped by project.
     """
-    total = lambda c, alias: f"SUM(TRY_CAST({c} AS DECIMAL(18,6))) AS {alias}"
+    total = lambda c, alias: f"SUM(TRY_CAST({c} AS DECIMAL(28,6))) AS {alias}"
     return _by(
         labor.selectExpr("*", f"{MONDAY.format('date')} AS week_start"),
         CUBE_KEYS,
@@ -93,7 +93,7 @@ def material_cost_cube(material: DataFrame) -> DataFrame:
     return _by(
         material.selectExpr("*", f"{MONDAY.format('date')} AS week_start"),
         ["project_id", "sov_line_id", "week_start"],
-        "SUM(TRY_CAST(total_cost AS DECIMAL(18,6))) AS cost",
+        "SUM(TRY_CAST(total_cost AS DECIMAL(28,6))) AS cost",
     )
 
 
@@ -107,7 +107,7 @@ def _material_rollup(material: DataFrame, keys: list[str], distinct: dict[str, s
         "count(1) AS num_deliveries",
         *_distinct_counts(distinct),
         f"{exact_sum('quantity')} AS total_quantity",
-        f"{exact_mean('unit_cost', 'DECIMAL(18,6)')} AS avg_unit_cost",
+        f"{exact_mean('unit_cost', 'DECIMAL(28,6)')} AS avg_unit_cost",
         f"{exact_sum('total_cost')} AS total_material_cost",
         "min(date) AS first_delivery_date",
         "max(date) AS last_delivery_date",

@@ -39,13 +39,15 @@ def scan_csv(
     With `columns` the header must be in that order; without, the names come from
     the header line and every column is text. Records may span lines, which keeps a
     file in one task; pass `one_line` for large files whose records never do, and
-    Spark splits them.
+    Spark splits them. A file whose header names other columns, or the same ones in another
+    order, is an error.
     """
     reader = (
         spark.read.option("header", True)
         .option("escape", '"')
         .option("nullValue", NO_TEXT)
         .option("multiLine", not one_line)
+        .option("enforceSchema", False)
     )
     if columns is not None:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
@@ -96,9 +98,14 @@ def load_csv_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     }
 
 
-def scan_json_docs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON records: one per line, or arrays of records."""
-    return spark.read.schema(schema).json(path)
+def scan_json_docs(
+    spark: SparkSession, path: str, schema: T.StructType, whole_files: bool = False
+) -> DataFrame:
+    """JSON records: one per line, or arrays of records on a line.
+
+    With `whole_files` each file is one record or one array, over any number of lines.
+    """
+    return spark.read.schema(schema).option("multiLine", whole_files).json(path)
 
 
 def data_availability(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,7 +161,7 @@ def canonical_table_name(file_name: Column) -> Column:
 def scan_bundle_csv(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """Rows of one kind of bundle file with the project folder and table name."""
     path = F.col("_metadata.file_path")
-    raw = spark.read.option("header", True).csv(f"{root}/*/{pattern}")
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(f"{root}/*/{pattern}")
     return raw.select(
         "*",
         F.element_at(F.split(path, "/"), -2).alias("bundle"),

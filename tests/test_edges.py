@@ -6,6 +6,7 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siteledger.functions import numbers, stages, texts
 from siteledger.operators import cleaning, documents, evidence, flags, health, recovery, risk
@@ -237,3 +238,44 @@ def test_rules_for_running_projects(spark):
     assert rows["action-2"]["owner"] == "Executive"
     assert rows["action-4"]["estimated_recovery_dollars"] == 30_000.0
     assert [rows[k]["priority"] for k in ("action-1", "action-4", "action-2")] == [1, 2, 3]
+
+
+def test_large_amounts_are_summed(spark):
+    from siteledger.functions import numbers, sql
+
+    df = spark.createDataFrame([(1e12,), (1e15,), (3.0,), (1e-6,), (None,)], "x double")
+    text = df.selectExpr(f"{sql.exact_sum('x')} AS s").first().s
+    column = df.select(numbers.exact_sum(F.col("x")).alias("s")).first().s
+    assert text == column == 1e12 + 1e15 + 3.000001
+
+
+def test_long_hours_have_a_cost(spark):
+    from siteledger.functions import sql
+    from siteledger.operators import evidence
+
+    row = "12000D AS hours_st, 0D AS hours_ot, 1D AS hourly_rate, 1D AS burden_multiplier"
+    df = spark.sql(f"SELECT {row}")
+    got = df.selectExpr(f"{sql.LABOR_COST} AS a", f"{evidence.ROW_COST} AS b").first()
+    assert float(got.a) == float(got.b) == 12000.0
+
+
+def test_partial_dates_are_not_dates(spark):
+    from siteledger.functions import numbers, sql
+
+    df = spark.createDataFrame([("2024",), ("2024-01",), ("2024-01-05",), (" 2024-01-05 ",)], "d string")
+    got = df.select(F.expr(sql.day(df, "d")).alias("a"), numbers.date(df, "d").alias("b")).collect()
+    assert [r.a is None for r in got] == [r.b is None for r in got] == [True, True, False, False]
+
+
+def test_csv_in_two_column_orders_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("project_id,hours\nP1,5\n")
+    (tmp_path / "b.csv").write_text("hours,project_id\n7,P2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.scan_csv(spark, str(tmp_path)).collect()
+
+
+def test_indented_json_array(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n  {"x": "1"},\n  {"x": "2"}\n]\n')
+    schema = T.StructType([T.StructField("x", T.StringType())])
+    got = readers.scan_json_docs(spark, str(tmp_path), schema, whole_files=True).collect()
+    assert [r.x for r in got] == ["1", "2"]
