@@ -109,15 +109,25 @@ def _metrics(dataset: str, df: DataFrame, *aggs: Column) -> DataFrame:
 
 
 def labor_quality(raw: DataFrame) -> DataFrame:
-    counts = _metrics(
-        "labor_logs",
-        raw,
-        F.count(F.lit(1)).alias("input_rows"),
-        (F.count(F.lit(1)) - F.countDistinct("log_id")).alias("duplicates_removed"),
-        F.expr(f"count_if(role <> {normalize_role()}) AS roles_normalized"),
+    """All four counts from one grouping by log id.
+
+    The row that `dedup_labor` keeps is the least one, NULLs last, of its id.
+    """
+    order = ["date", *[c for c in raw.columns if c not in ("log_id", "date")]]
+    place = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
+    logs = raw.groupBy("log_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.expr(f"count_if(role <> {normalize_role()}) AS roles"),
+        F.min_by(F.col("project_id").isNotNull(), place).alias("stays"),
     )
-    return counts.unionByName(
-        _metrics("labor_logs", clean_labor(raw), F.count(F.lit(1)).alias("output_rows"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return _metrics(
+        "labor_logs",
+        logs,
+        total("n").alias("input_rows"),
+        (total("n") - F.count("log_id")).alias("duplicates_removed"),
+        total("roles").alias("roles_normalized"),
+        count_when(F.col("log_id").isNotNull() & F.col("stays")).alias("output_rows"),
     )
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteledger.functions.sql import LABOR_COST, exact_mean, exact_sum, ratio
+from siteledger.functions.sql import LABOR_COST, exact_sum, ratio
 from siteledger.rules import CO_REJECTED_HEALTH, RFI_CLOSED_HEALTH, TRUE_WORDS, Rules
 
 MONDAY = "CAST(date_trunc('week', {0}) AS DATE)"
@@ -88,54 +90,77 @@ def labor_project_week_summary(cube: DataFrame) -> DataFrame:
     return _labor_rollup(cube, ["project_id", "week_start"], _LABOR_COUNTS)
 
 
-def material_cost_cube(material: DataFrame) -> DataFrame:
-    """Material cost by project, line and week; enough for everything but the counts."""
+def delivery_cube(material: DataFrame) -> DataFrame:
+    """Deliveries by project, line, week, category and vendor: all but the ids.
+
+    Every material summary is a roll-up of this table, as the labor ones are of theirs.
+    """
+    total = lambda c, alias: f"SUM(TRY_CAST({c} AS DECIMAL(28,6))) AS {alias}"
     return _by(
         material.selectExpr("*", f"{MONDAY.format('date')} AS week_start"),
-        ["project_id", "sov_line_id", "week_start"],
-        "SUM(TRY_CAST(total_cost AS DECIMAL(28,6))) AS cost",
+        ["project_id", "sov_line_id", "week_start", "material_category", "vendor"],
+        "count(1) AS n",
+        total("quantity", "quantity"),
+        total("unit_cost", "unit_cost"),
+        "count(unit_cost) AS priced",
+        total("total_cost", "cost"),
+        "min(date) AS first_date",
+        "max(date) AS last_date",
     )
 
 
+def delivery_ids(material: DataFrame) -> DataFrame:
+    """Each delivery id once per project, line and week."""
+    return material.selectExpr(
+        "project_id", "sov_line_id", f"{MONDAY.format('date')} AS week_start", "delivery_id"
+    ).distinct()
+
+
 def material_cost(cube: DataFrame, keys: list[str]) -> DataFrame:
     return _by(cube, keys, "CAST(sum(cost) AS DOUBLE) AS total_material_cost")
 
 
-def _material_rollup(material: DataFrame, keys: list[str], distinct: dict[str, str]) -> DataFrame:
-    return _by(
-        material, keys,
-        "count(1) AS num_deliveries",
+def _material_rollup(
+    cube: DataFrame, ids: DataFrame, keys: list[str], distinct: dict[str, str]
+) -> DataFrame:
+    """Ids are nearly unique, so they are counted apart: next to other distinct counts Spark
+    would copy every delivery once per counted column."""
+    counted = _by(
+        ids.select(*keys, "delivery_id").distinct(), keys,
+        "count(delivery_id) AS num_unique_deliveries",
+    )
+    rolled = _by(
+        cube, keys,
+        "sum(n) AS num_deliveries",
         *_distinct_counts(distinct),
-        f"{exact_sum('quantity')} AS total_quantity",
-        f"{exact_mean('unit_cost', 'DECIMAL(28,6)')} AS avg_unit_cost",
-        f"{exact_sum('total_cost')} AS total_material_cost",
-        "min(date) AS first_delivery_date",
-        "max(date) AS last_delivery_date",
+        "CAST(sum(quantity) AS DOUBLE) AS total_quantity",
+        f"{ratio('sum(unit_cost)', 'sum(priced)')} AS avg_unit_cost",
+        "CAST(sum(cost) AS DOUBLE) AS total_material_cost",
+        "min(first_date) AS first_delivery_date",
+        "max(last_date) AS last_delivery_date",
+    )
+    # Weeks may be NULL: both sides have the same groups, so NULL meets NULL.
+    same = reduce(and_, [rolled[k].eqNullSafe(counted[k]) for k in keys])
+    first, *rest = [c for c in rolled.columns if c not in keys]
+    return rolled.join(counted, same).select(
+        *[rolled[k] for k in keys], first, "num_unique_deliveries", *rest
     )
 
 
-_MATERIAL_COUNTS = {
-    "delivery_id": "num_unique_deliveries",
-    "material_category": "num_material_categories",
-    "vendor": "num_vendors",
-}
+_MATERIAL_COUNTS = {"material_category": "num_material_categories", "vendor": "num_vendors"}
+_MATERIAL_LINES = {**_MATERIAL_COUNTS, "sov_line_id": "num_sov_lines"}
 
 
-def material_project_summary(material: DataFrame) -> DataFrame:
-    return _material_rollup(
-        material, ["project_id"], {**_MATERIAL_COUNTS, "sov_line_id": "num_sov_lines"}
-    )
+def material_project_summary(cube: DataFrame, ids: DataFrame) -> DataFrame:
+    return _material_rollup(cube, ids, ["project_id"], _MATERIAL_LINES)
 
 
-def material_project_sov_summary(material: DataFrame) -> DataFrame:
-    return _material_rollup(material, ["project_id", "sov_line_id"], _MATERIAL_COUNTS)
+def material_project_sov_summary(cube: DataFrame, ids: DataFrame) -> DataFrame:
+    return _material_rollup(cube, ids, ["project_id", "sov_line_id"], _MATERIAL_COUNTS)
 
 
-def material_project_week_summary(material: DataFrame) -> DataFrame:
-    weekly = material.selectExpr("*", f"{MONDAY.format('date')} AS week_start")
-    return _material_rollup(
-        weekly, ["project_id", "week_start"], {**_MATERIAL_COUNTS, "sov_line_id": "num_sov_lines"}
-    )
+def material_project_week_summary(cube: DataFrame, ids: DataFrame) -> DataFrame:
+    return _material_rollup(cube, ids, ["project_id", "week_start"], _MATERIAL_LINES)
 
 
 STATUS = "lower(trim(status))"

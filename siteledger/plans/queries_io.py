@@ -317,19 +317,21 @@ query("write_table", lambda p: _written(p, "billing_history"), "SELECT * FROM v_
 
 
 def _manifest(p: Portfolio) -> DataFrame:
+    """Each packet's path is looked up again among the files of the folder."""
     path = scratch_path(_spark(p), "packets")
     writers.write_packets(packets.nested_packet(p.packet, p.row_counts), path)
     written = _spark(p).read.parquet(path)
-    named = written.select(
-        "project_id",
-        F.get_json_object("packet", "$.project.project_name").alias("project_name"),
-        F.get_json_object("packet", "$.project.project_stage").alias("project_stage"))
-    manifest = writers.packet_manifest(named, "packets")
-    return manifest.withColumn("project_count", writers.manifest_header(manifest).scalar())
+    manifest = writers.packet_manifest(written)
+    files = _spark(p).read.format("binaryFile").load(path).select(F.col("path").alias("packet_path"))
+    local = F.regexp_replace("packet_path", "^file:/+", "file:/")
+    found = manifest.withColumn("packet_path", local).join(
+        files.select(local.alias("packet_path")), "packet_path", "left_semi")
+    return found.drop("packet_path").withColumn(
+        "project_count", writers.manifest_header(manifest).scalar())
 
 
 query("packets_and_manifest", _manifest, """
-SELECT project_id, 'packets/' || project_id AS packet_path, project_name, project_stage,
+SELECT project_id, project_name, project_stage,
   (SELECT COUNT(*) FROM v_packet) AS project_count FROM v_packet""", share=True)
 catalog.query("project_packet_documents",
               lambda p: writers.packet_documents(packets.nested_packet(p.packet, p.row_counts)),

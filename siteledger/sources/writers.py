@@ -49,13 +49,13 @@ def write_packets(nested: DataFrame, path: str) -> None:
     packet_documents(nested).write.parquet(path)
 
 
-def packet_manifest(flat: DataFrame, path: str) -> DataFrame:
-    """What was written where: one row per packet."""
-    return flat.select(
+def packet_manifest(written: DataFrame) -> DataFrame:
+    """What lies where: one row per packet, from a table that `write_packets` wrote."""
+    return written.select(
         "project_id",
-        F.concat(F.lit(f"{path}/"), "project_id").alias("packet_path"),
-        "project_name",
-        "project_stage",
+        F.col("_metadata.file_path").alias("packet_path"),
+        F.get_json_object("packet", "$.project.project_name").alias("project_name"),
+        F.get_json_object("packet", "$.project.project_stage").alias("project_stage"),
     )
 
 

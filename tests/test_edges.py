@@ -279,3 +279,55 @@ def test_indented_json_array(spark, tmp_path):
     schema = T.StructType([T.StructField("x", T.StringType())])
     got = readers.scan_json_docs(spark, str(tmp_path), schema, whole_files=True).collect()
     assert [r.x for r in got] == ["1", "2"]
+
+
+def test_delivery_rollups_expand_no_deliveries(spark):
+    rows = [
+        ("P1", "L1", dt.date(2024, 1, 2), "D1", "Steel", "V1", 2.0, 3.0, 6.0),
+        ("P1", "L1", dt.date(2024, 1, 3), "D1", "Steel", "V2", 1.0, None, 5.0),
+        ("P1", "L2", None, "D2", None, "V1", 1.0, 1.0, 1.0),
+        ("P1", "L2", None, "D2", "Wood", None, None, 1.0, 1e12),
+    ]
+    table = spark.createDataFrame(
+        rows,
+        "project_id string, sov_line_id string, date date, delivery_id string, material_category string, "
+        "vendor string, quantity double, unit_cost double, total_cost double",
+    )
+    cube, ids = summaries.delivery_cube(table), summaries.delivery_ids(table)
+    got = summaries.material_project_summary(cube, ids)
+    r = got.first()
+    assert (r.num_deliveries, r.num_unique_deliveries, r.num_sov_lines) == (4, 2, 2)
+    assert (r.num_material_categories, r.num_vendors, r.total_quantity) == (2, 2, 4.0)
+    assert (r.avg_unit_cost, r.total_material_cost) == (5 / 3, 1e12 + 12)
+    weeks = {x.week_start: x for x in summaries.material_project_week_summary(cube, ids).collect()}
+    assert weeks[None].num_unique_deliveries == 1 and weeks[None].num_deliveries == 2
+    assert weeks[dt.date(2024, 1, 1)].num_unique_deliveries == 1
+    # What Spark copies per counted column are cube rows, which no longer carry an id.
+    copied = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Expand" in x]
+    assert all("delivery_id" not in x for x in copied)
+
+
+def test_labor_quality_counts_what_cleaning_keeps(spark):
+    rows = [
+        ("a", "P1", dt.date(2024, 1, 2), "Foreman"), ("a", None, dt.date(2024, 1, 1), "x"),
+        ("b", None, None, "x"), ("b", "P1", dt.date(2024, 1, 1), None), (None, "P1", None, "x"),
+    ]
+    wide = spark.createDataFrame(rows, "log_id string, project_id string, date date, role string")
+    raw = readers.conform(wide, "labor_logs")
+    got = {r.metric: r.value for r in cleaning.labor_quality(raw).collect()}
+    assert got["input_rows"] == 5 and got["duplicates_removed"] == 3
+    assert got["output_rows"] == cleaning.clean_labor(raw).count() == 1
+    none = {r.metric: r.value for r in cleaning.labor_quality(raw.limit(0)).collect()}
+    assert set(none.values()) == {0}
+
+
+def test_manifest_paths_can_be_read(spark, tmp_path):
+    nested = spark.range(3).selectExpr(
+        "'PRJ-' || id AS project_id", "named_struct('project_name', 'n', 'project_stage', 'late') AS project"
+    )
+    folder = str(tmp_path / "packets")
+    writers.write_packets(nested, folder)
+    manifest = writers.packet_manifest(spark.read.parquet(folder)).collect()
+    assert len(manifest) == 3
+    for r in manifest:
+        assert spark.read.parquet(r.packet_path).filter(F.col("project_id") == r.project_id).count() == 1
