@@ -46,20 +46,20 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def exact_sum(c: Column, kind: T.DecimalType = MONEY) -> Column:
-    """Sum that does not depend on row order; NULL for no values."""
-    return F.sum(c.try_cast(kind)).cast("double")
+    """Sum that does not depend on row order; NULL for no values, an error from 10^22 on."""
+    return F.sum(c.cast(kind)).cast("double")
 
 
 def exact_mean(c: Column, kind: T.DecimalType = MONEY) -> Column:
-    return ratio(F.sum(c.try_cast(kind)), F.count(c))
+    return ratio(F.sum(c.cast(kind)), F.count(c))
 
 
 def labor_cost_decimal(st: Column, ot: Column, rate: Column, burden: Column) -> Column:
     """(ST + 1.5 * OT) * rate * burden in exact decimals, 13 places."""
-    hours = st.try_cast("decimal(10,4)") + ot.try_cast("decimal(10,4)") * F.lit(1.5).cast(
+    hours = st.cast("decimal(10,4)") + ot.cast("decimal(10,4)") * F.lit(1.5).cast(
         "decimal(2,1)"
     )
-    return hours * rate.try_cast("decimal(12,4)") * burden.try_cast("decimal(8,4)")
+    return hours * rate.cast("decimal(12,4)") * burden.cast("decimal(8,4)")
 
 
 def labor_cost(st: Column, ot: Column, rate: Column, burden: Column) -> Column:

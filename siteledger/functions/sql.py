@@ -13,12 +13,12 @@ def ratio(n: str, d: str) -> str:
 
 
 def exact_sum(x: str, kind: str = "DECIMAL(28,6)") -> str:
-    """Sum that does not depend on row order, for amounts below 10^22 at six places."""
-    return f"CAST(SUM(TRY_CAST({x} AS {kind})) AS DOUBLE)"
+    """Sum that does not depend on row order. Amounts from 10^22 on are an error, not NULL."""
+    return f"CAST(SUM(CAST({x} AS {kind})) AS DOUBLE)"
 
 
 def exact_mean(x: str, kind: str = "DECIMAL(28,10)") -> str:
-    return ratio(f"SUM(TRY_CAST({x} AS {kind}))", f"COUNT({x})")
+    return ratio(f"SUM(CAST({x} AS {kind}))", f"COUNT({x})")
 
 
 def half_even(x: str, places: int) -> str:
@@ -96,9 +96,10 @@ def mapped(name: str, mapping: dict[str, str]) -> str:
     return f"COALESCE(try_element_at(map({pairs}), {name}), {name})"
 
 
-# Up to 999,999 hours a row and rates below 10^8; wider kinds would lose the 13 exact places.
+# Up to 999,999 hours a row and rates below 10^8, an error beyond; wider kinds would lose the
+# 13 exact places.
 LABOR_COST = (
-    "(TRY_CAST(hours_st AS DECIMAL(10,4)) + TRY_CAST(hours_ot AS DECIMAL(10,4)) * "
-    "CAST(1.5 AS DECIMAL(2,1))) * TRY_CAST(hourly_rate AS DECIMAL(12,4)) * "
-    "TRY_CAST(burden_multiplier AS DECIMAL(8,4))"
+    "(CAST(hours_st AS DECIMAL(10,4)) + CAST(hours_ot AS DECIMAL(10,4)) * "
+    "CAST(1.5 AS DECIMAL(2,1))) * CAST(hourly_rate AS DECIMAL(12,4)) * "
+    "CAST(burden_multiplier AS DECIMAL(8,4))"
 )

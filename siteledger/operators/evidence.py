@@ -38,9 +38,9 @@ def _top(df: DataFrame, order: list, n: int, keys: str = "project_id") -> DataFr
 
 # Missing hours count as zero; rows without a rate or burden cost nothing known.
 ROW_COST = (
-    "(COALESCE(TRY_CAST(hours_st AS DECIMAL(10,4)), 0) + COALESCE(TRY_CAST(hours_ot AS "
-    "DECIMAL(10,4)), 0) * CAST(1.5 AS DECIMAL(2,1))) * TRY_CAST(hourly_rate AS DECIMAL(12,4)) "
-    "* TRY_CAST(burden_multiplier AS DECIMAL(8,4))"
+    "(COALESCE(CAST(hours_st AS DECIMAL(10,4)), 0) + COALESCE(CAST(hours_ot AS "
+    "DECIMAL(10,4)), 0) * CAST(1.5 AS DECIMAL(2,1))) * CAST(hourly_rate AS DECIMAL(12,4)) "
+    "* CAST(burden_multiplier AS DECIMAL(8,4))"
 )
 
 

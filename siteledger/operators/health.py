@@ -25,7 +25,7 @@ PRIOR = f"week_start IS NOT NULL AND _row BETWEEN {RECENT_WEEKS + 1} AND {2 * RE
 
 def _mean_when(condition: str, value: str) -> str:
     kept = f"CASE WHEN {condition} THEN {value} END"
-    return ratio(f"SUM(TRY_CAST({kept} AS DECIMAL(28,6)))", f"COUNT({kept})")
+    return ratio(f"SUM(CAST({kept} AS DECIMAL(28,6)))", f"COUNT({kept})")
 
 
 def _change(recent: str, prior: str) -> str:

@@ -25,7 +25,7 @@ def week_capacity_plan(roi: DataFrame, rules: Rules) -> DataFrame:
     distributed running total and no list per owner is cut short.
     """
     whens = " ".join(f"WHEN '{o}' THEN {h}D" for o, h in rules.capacity_hours.items())
-    hours = F.col("hours").try_cast("decimal(18,6)")
+    hours = F.col("hours").cast("decimal(18,6)")
     summed = running_total(roi, ["owner"], _best_first(), hours, "hours_used")
     return summed.withColumn("hours_used", F.col("hours_used").cast("double")).withColumn(
         "is_planned", F.expr(f"COALESCE(hours_used <= CASE owner {whens} END, false)")

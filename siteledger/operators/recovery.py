@@ -250,7 +250,7 @@ def _total(condition: str = "true") -> str:
     amounts = f"filter(recovery_actions, a -> {condition})"
     return (
         f"CAST(aggregate({amounts}, CAST(0 AS DECIMAL(38,6)), (s, a) -> "
-        "CAST(s + TRY_CAST(a.estimated_recovery_dollars AS DECIMAL(28,6)) AS DECIMAL(38,6))) "
+        "CAST(s + CAST(a.estimated_recovery_dollars AS DECIMAL(28,6)) AS DECIMAL(38,6))) "
         "AS DOUBLE)"
     )
 

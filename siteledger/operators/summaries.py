@@ -38,7 +38,7 @@ def labor_cube(labor: DataFrame) -> DataFrame:
     here that copy happens on cube rows, and a hot project is spread over its lines,
     weeks, employees and roles before anything is grouped by project.
     """
-    total = lambda c, alias: f"SUM(TRY_CAST({c} AS DECIMAL(28,6))) AS {alias}"
+    total = lambda c, alias: f"SUM(CAST({c} AS DECIMAL(28,6))) AS {alias}"
     return _by(
         labor.selectExpr("*", f"{MONDAY.format('date')} AS week_start"),
         CUBE_KEYS,
@@ -95,7 +95,7 @@ def delivery_cube(material: DataFrame) -> DataFrame:
 
     Every material summary is a roll-up of this table, as the labor ones are of theirs.
     """
-    total = lambda c, alias: f"SUM(TRY_CAST({c} AS DECIMAL(28,6))) AS {alias}"
+    total = lambda c, alias: f"SUM(CAST({c} AS DECIMAL(28,6))) AS {alias}"
     return _by(
         material.selectExpr("*", f"{MONDAY.format('date')} AS week_start"),
         ["project_id", "sov_line_id", "week_start", "material_category", "vendor"],

@@ -162,9 +162,12 @@ def _through_csv(p: Portfolio, name: str) -> DataFrame:
 
 
 def _cleaned_or_raw(p: Portfolio) -> DataFrame:
-    return readers.cleaned_or_raw(
-        _spark(p), scratch_path(_spark(p), "absent"), _as_csv(p, "change_orders"),
-        "change_orders")
+    """Change orders twice: from the raw file alone, and with a cleaned file next to an empty raw one."""
+    spark, there = _spark(p), _as_csv(p, "change_orders")
+    none = scratch_path(spark, "empty")
+    writers.write_table(p.tables["change_orders"].limit(0), none, "csv")
+    raw = readers.cleaned_or_raw(spark, scratch_path(spark, "absent"), there, "change_orders")
+    return raw.unionAll(readers.cleaned_or_raw(spark, there, none, "change_orders"))
 
 
 def _optional(p: Portfolio) -> DataFrame:
@@ -189,7 +192,8 @@ SELECT project_id, total_labor_cost, CAST(NULL AS DOUBLE) AS total_material_cost
   CAST(NULL AS DOUBLE) AS total_cost, CAST(NULL AS DOUBLE) AS total_billed,
   CAST(NULL AS DOUBLE) AS billing_gap, CAST(NULL AS DOUBLE) AS margin_pct
 FROM v_cost_summary WHERE total_labor_cost IS NOT NULL""")
-query("cleaned_or_raw", _cleaned_or_raw, "SELECT * FROM v_change_orders")
+query("cleaned_or_raw", _cleaned_or_raw,
+      "SELECT * FROM v_change_orders UNION ALL SELECT * FROM v_change_orders")
 
 
 def _json_docs(p: Portfolio) -> DataFrame:
@@ -201,8 +205,20 @@ def _json_docs(p: Portfolio) -> DataFrame:
 
 query("scan_json_docs", _json_docs,
       "SELECT project_id, severity, realized_margin_pct FROM v_flagged", share=True)
-query("write_json", _json_docs,
-      "SELECT project_id, severity, realized_margin_pct FROM v_flagged", share=True)
+
+
+def _json_with_nan(p: Portfolio) -> DataFrame:
+    """Applications whose retention is NaN where no money is held."""
+    path = scratch_path(_spark(p), "nan")
+    held = F.when(F.col("retention_held") > 0, F.col("retention_held")).otherwise(F.lit(float("nan")))
+    rows = p.tables["billing_history"].select("project_id", "application_number", held.alias("held"))
+    writers.write_json(rows, path)
+    return readers.scan_json_docs(_spark(p), path, rows.schema)
+
+
+query("write_json", _json_with_nan, """
+SELECT project_id, application_number, CASE WHEN retention_held > 0 THEN retention_held END AS held
+FROM v_billing_history""")
 
 
 def _bundles(p: Portfolio) -> DataFrame:
@@ -218,6 +234,7 @@ def _bundles(p: Portfolio) -> DataFrame:
 
 query("project_bundles", _bundles, """
 SELECT project_id, delivery_id, material_category AS bundle FROM v_material_deliveries""")
+
 query("infer_project_id",
       lambda p: p.tables["material_deliveries"].groupBy("po_number").agg(
           readers.infer_project_id(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteledger.functions.numbers import date, number
+from siteledger.operators.ordering import freeze
 from siteledger.sources.schemas import (
     FEATURES, REQUIRED_COLUMNS, REQUIRED_TABLES, SCHEMAS,
 )
@@ -72,14 +73,16 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     return df.select(*cols)
 
 
-def scan_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return conform(scan_csv(spark, path), name)
+def scan_table(spark: SparkSession, path: str, name: str, one_line: bool = False) -> DataFrame:
+    return conform(scan_csv(spark, path, one_line=one_line), name)
 
 
-def scan_optional(spark: SparkSession, path: str, name: str, required: bool) -> DataFrame:
+def scan_optional(
+    spark: SparkSession, path: str, name: str, required: bool, one_line: bool = False
+) -> DataFrame:
     """The table, or an empty one of the same schema if it may be missing."""
     if path_exists(spark, path):
-        return scan_table(spark, path, name)
+        return scan_table(spark, path, name, one_line)
     if required:
         raise FileNotFoundError(f"required input not found: {path}")
     return empty_table(spark, name)
@@ -90,10 +93,16 @@ def cleaned_or_raw(spark: SparkSession, cleaned: str, raw: str, name: str) -> Da
     return scan_optional(spark, path, name, required=False)
 
 
-def load_csv_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """All ten tables from `<folder>/<table>_all.csv`."""
+def load_csv_folder(
+    spark: SparkSession, folder: str, one_line: tuple[str, ...] = ()
+) -> dict[str, DataFrame]:
+    """All ten tables from `<folder>/<table>_all.csv`.
+
+    `one_line` names the tables whose records never span lines: Spark splits their files.
+    """
     return {
-        name: scan_optional(spark, f"{folder}/{name}_all.csv", name, name in REQUIRED_TABLES)
+        name: scan_optional(
+            spark, f"{folder}/{name}_all.csv", name, name in REQUIRED_TABLES, name in one_line)
         for name in SCHEMAS
     }
 
@@ -187,6 +196,103 @@ def infer_project_id(project_id: Column, bundle: Column) -> Column:
     return F.coalesce(F.min(project_id), F.min(bundle))
 
 
+FILE = "_metadata.file_path"
+BUNDLE_CSV, BUNDLE_JSON = "*.[cC][sS][vV]", "*.[jJ][sS][oO][nN]"
+#: Most columns a bundle's CSV may have; a file with more is an error.
+WIDEST = 64
+
+
+def _of_table(df: DataFrame, name: str) -> DataFrame:
+    """Files that stand for the table; Spark drops the others before it opens them."""
+    return df.filter(canonical_table_name(F.col(FILE)) == name)
+
+
+def _last_files(spark: SparkSession, globs: list[str], name: str) -> DataFrame:
+    """path, bundle of the last file of each bundle that stands for the table; nothing is opened."""
+    files = _of_table(spark.read.format("binaryFile").load(globs), name).select(F.col(FILE).alias("path"))
+    bundle = F.url_decode(F.element_at(F.split("path", "/"), -2))
+    return files.groupBy(bundle.alias("bundle")).agg(F.max("path").alias("path"))
+
+
+def _csv_records(spark: SparkSession, glob: str, name: str, one_line: bool) -> DataFrame:
+    """path, record of each row, every file by its own header.
+
+    Rows that repeat their file's header are left out.
+    """
+    cells = [f"c{i}" for i in range(WIDEST + 1)]
+    scan = (
+        spark.read.schema(", ".join(f"{c} string" for c in cells))
+        .option("escape", '"')
+        .option("nullValue", NO_TEXT)
+        .option("multiLine", not one_line)
+        .csv(glob)
+    )
+    rows = _of_table(scan, name).select(
+        F.col(FILE).alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+        F.array(*cells).alias("row"),
+    )
+    headers = rows.filter("start = 0").groupBy("path").agg(F.min_by("row", "at").alias("header"))
+    named = "filter(arrays_zip(header, row), x -> x.header IS NOT NULL)"
+    return rows.join(headers, "path").filter("NOT row <=> header").selectExpr(
+        "path",
+        f"CASE WHEN header[{WIDEST}] IS NOT NULL THEN raise_error('more than {WIDEST} columns: ' || path) "
+        f"ELSE map_from_entries(transform({named}, x -> struct(trim(x.header), x.row))) END AS record",
+    )
+
+
+def _json_records(spark: SparkSession, glob: str, name: str) -> DataFrame:
+    docs = _of_table(spark.read.text(glob, wholetext=True), name)
+    return docs.select(
+        F.col(FILE).alias("path"), F.explode(normalize_json_table(F.col("value"))).alias("record"))
+
+
+def bundle_records(
+    spark: SparkSession, root: str, name: str, one_line: bool = False
+) -> DataFrame:
+    """bundle, record (column name to text) of one table from `<root>/<bundle>/*.csv` and `*.json`.
+
+    The table of a file follows from its name; of several files of a bundle that stand for one
+    table the last in name order counts.
+    """
+    kinds = [f"{root}/*/{k}" for k in (BUNDLE_CSV, BUNDLE_JSON)]
+    csv_glob, json_glob = (k if path_exists(spark, k) else None for k in kinds)
+    found = []
+    if csv_glob:
+        found.append(_csv_records(spark, csv_glob, name, one_line))
+    if json_glob:
+        found.append(_json_records(spark, json_glob, name))
+    if not found:
+        return spark.createDataFrame([], "bundle string, record map<string,string>")
+    last = _last_files(spark, [g for g in (csv_glob, json_glob) if g], name)
+    return reduce(lambda a, b: a.unionByName(b), found).join(last, "path").select("bundle", "record")
+
+
+def load_bundles(
+    spark: SparkSession, root: str, one_line: tuple[str, ...] = ()
+) -> dict[str, DataFrame]:
+    """The ten tables from one folder per project; every row of a folder gets its project id.
+
+    `one_line` names the tables whose CSV records never span lines: Spark splits their files.
+    """
+    records = {name: bundle_records(spark, root, name, name in one_line) for name in SCHEMAS}
+    stated = F.nullif(F.try_element_at("record", F.lit("project_id")), F.lit(""))
+    ids = freeze(
+        reduce(lambda a, b: a.unionByName(b),
+               [r.select("bundle", stated.alias("stated")) for r in records.values()])
+        .groupBy("bundle")
+        .agg(infer_project_id(F.col("stated"), F.col("bundle")).alias("project_id"))
+    )
+    tables = {}
+    for name, rows in records.items():
+        own = [f.name for f in SCHEMAS[name].fields if f.name != "project_id"]
+        texts = rows.select(
+            "bundle", *[F.try_element_at("record", F.lit(c)).alias(c) for c in own])
+        tables[name] = conform(texts.join(ids, "bundle"), name)
+    return tables
+
+
 # ---- ids -------------------------------------------------------------------------
 
 KEYED_ID = r'"(?i:project_id|id)"\s*:\s*"(PRJ-[^"]*)"'

@@ -14,7 +14,7 @@ from siteledger.operators import summaries
 from siteledger.plans.portfolio import Portfolio
 from siteledger.rules import DEFAULT_RULES as RULES
 from siteledger.sources import fixtures, readers, writers
-from siteledger.sources.schemas import OPTIONAL_TABLES, SCHEMAS
+from siteledger.sources.schemas import OPTIONAL_TABLES, REQUIRED_TABLES, SCHEMAS
 
 D = dt.date
 
@@ -331,3 +331,61 @@ def test_manifest_paths_can_be_read(spark, tmp_path):
     assert len(manifest) == 3
     for r in manifest:
         assert spark.read.parquet(r.packet_path).filter(F.col("project_id") == r.project_id).count() == 1
+
+
+def _bundle(folder, files):
+    folder.mkdir()
+    for name, text in files.items():
+        (folder / name).write_text(text)
+
+
+def test_bundles_of_csv_and_json(spark, tmp_path):
+    _bundle(tmp_path / "P one", {
+        "change_orders.csv": "co_number,amount,note,status\nC1,5,\"two\nlines\",open\nC2,,x,void\n",
+        "rfi_log.json": '[\n {"project_id": "PRJ-1", "rfi_number": "R1"},\n {"rfi_number": "R2"}]',
+        "labor.csv": "hours_st,log_id\n8,L1\n",
+    })
+    _bundle(tmp_path / "PRJ-2", {
+        "CO-log.CSV": "status,amount,co_number\nopen,1e3,C3\n",
+        "change_orders.json": '{"version": "1", "rows": [{"co_number": "C4", "amount": 7}]}',
+        "my_contract.csv": "project_name,original_contract_value\nHall,100\n",
+        "labor.csv": "log_id,hours_st,project_id\nL2,9,\n",
+        "read.me": "x",
+    })
+    tables = readers.load_bundles(spark, str(tmp_path))
+    assert set(tables) == set(SCHEMAS)
+    for name, df in tables.items():
+        assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in SCHEMAS[name]]
+    rows = lambda name, *cols: sorted(map(tuple, tables[name].select(*cols).collect()), key=str)
+    # The later of two files for one table counts.
+    assert rows("change_orders", "project_id", "co_number", "amount", "status") == [
+        ("PRJ-1", "C1", 5.0, "open"), ("PRJ-1", "C2", None, "void"), ("PRJ-2", "C4", 7.0, None)]
+    assert rows("rfis", "project_id", "rfi_number") == [("PRJ-1", "R1"), ("PRJ-1", "R2")]
+    assert rows("labor_logs", "project_id", "log_id", "hours_st") == [("PRJ-1", "L1", 8.0), ("PRJ-2", "L2", 9.0)]
+    assert rows("contracts", "project_id", "original_contract_value") == [("PRJ-2", 100.0)]
+    assert tables["field_notes"].count() == 0
+    again = readers.load_bundles(spark, str(tmp_path), one_line=("labor_logs",))["labor_logs"]
+    assert again.count() == 2
+
+
+def test_bundle_csv_with_too_many_columns_is_an_error(spark, tmp_path):
+    wide = ",".join(f"x{i}" for i in range(readers.WIDEST + 1))
+    _bundle(tmp_path / "P", {"rfis.csv": f"{wide}\n{wide.replace('x', 'y')}\n"})
+    with pytest.raises(Exception, match="more than 64 columns"):
+        readers.bundle_records(spark, str(tmp_path), "rfis").collect()
+
+
+def test_csv_folder_passes_on_one_line(spark, tmp_path):
+    for name in REQUIRED_TABLES:
+        (tmp_path / f"{name}_all.csv").write_text("project_id\nP1\n")
+    tables = readers.load_csv_folder(spark, str(tmp_path), one_line=("labor_logs",))
+    assert tables["labor_logs"].count() == tables["contracts"].count() == 1
+
+
+def test_amounts_out_of_range_are_an_error(spark):
+    from siteledger.functions import sql
+
+    df = spark.sql("SELECT 1e22D AS x, 1e6D AS hours_st, 0D AS hours_ot, 1D AS hourly_rate, 1D AS burden_multiplier")
+    for text in (sql.exact_sum("x"), sql.exact_mean("x"), f"SUM({sql.LABOR_COST})", f"SUM({evidence.ROW_COST})"):
+        with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
+            df.selectExpr(f"{text} AS s").collect()
