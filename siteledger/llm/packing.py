@@ -14,13 +14,14 @@ number. A repeated task reads the same rows in the same order and gives the same
 
 Defined results: a null or empty text is one piece with the end token alone. Repeated rows
 are packed as rows of their own. Null ids are carried along. An empty table gives an empty
-result. Control strings inside texts are ordinary text.
+result. Added tokens of the vocabulary (`<|endoftext|>`) count as such inside texts too, as
+the `tokenizers` package has it by default.
 """
 
 from __future__ import annotations
 
-import base64
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -85,18 +86,39 @@ def pack(sizes: list[int], capacity: int = SEQUENCE) -> list[int]:
         k += 1
 
 
+def _byte_letters() -> dict[str, int]:
+    """The byte each letter of a byte-level vocabulary stands for."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 class Tokens:
-    """Token ids of whole texts as little-endian 32-bit bytes."""
+    """Token ids of whole texts as little-endian 32-bit bytes: those of the `tokenizers` package.
+
+    The merges are run by tiktoken, which is faster; its ranks come from the same JSON file.
+    """
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        with open(path, encoding="utf-8") as file:
+            given = json.load(file)
+        vocab, letters = given["model"]["vocab"], _byte_letters()
+        merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in given["model"]["merges"]]
+        if merged != sorted(merged) or given["normalizer"] is not None:
+            raise ValueError("ids must be in the order of the merges, without a normaliser")
+        added = given["added_tokens"]
+        if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens must match exactly")
+        self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.splits = re.compile("|".join(map(re.escape, longest_first)) or "(?!)")
+        ranks = {bytes(map(letters.__getitem__, k)): v for k, v in vocab.items() if k not in self.added}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def _plain(self, text: str) -> bytes:
         return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
-    def __call__(self, text: str) -> bytes:
+    def _between(self, text: str) -> bytes:
         """Very long white space is tokenised apart; the pattern's search gives up on it."""
         out, done = [], 0
         for run in LONG_SPACE.finditer(text):
@@ -108,6 +130,13 @@ class Tokens:
             done = last
         return b"".join([*out, self._plain(text[done:])])
 
+    def __call__(self, text: str) -> bytes:
+        out, done = [], 0
+        for token in self.splits.finditer(text):
+            out += self._between(text[done : token.start()]), self.added[token.group()]
+            done = token.end()
+        return b"".join([*out, self._between(text[done:])])
+
 
 def _packed(vocabulary: str, pattern: str, sequence: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +206,8 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    vocabulary: path of a file of token ranks on the driver (base64 token and rank per
-    line), sent to every executor; pattern: its pre-tokenising pattern.
+    vocabulary: path of a JSON file of the `tokenizers` package (byte-level merges) on the
+    driver, sent to every executor; pattern: its pre-tokenising pattern.
     """
     docs.sparkSession.sparkContext.addFile(vocabulary)
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))

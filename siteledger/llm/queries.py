@@ -25,7 +25,7 @@ TARGETS = mixing.Targets(
         "WHEN source IN ('src1', 'src4', 'src7', 'src10') THEN 'reference' ELSE 'forum' END"
     ),
 )
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
 
 Build = Callable[[SparkSession, str], DataFrame]
