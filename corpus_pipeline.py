@@ -46,8 +46,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences."""
-    return packing.pack_documents(docs, VOCABULARY, PATTERN)
+    """Pieces of sequences with their token ids."""
+    return packing.with_checksums(packing.pack_documents(docs, VOCABULARY, PATTERN))
 
 
 STAGES = [

@@ -36,11 +36,13 @@ from pyspark.sql import functions as F
 SEQUENCE, END = 1024, 0
 #: Windows of one batch, longest piece, and tokens left free in each batch.
 WINDOWS, PIECE, RESERVE = 128, 192, 128
+#: Tokens of finished pieces that a task holds before it gives them out.
+HELD = 1 << 20
 #: White space as the vocabulary's pattern knows it, in runs too long to search.
 LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{2000,}")
 
 SCHEMA = (
-    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
+    "doc_id long, start long, length long, ids array<int>, doc_tokens long, "
     "sequence_id long, offset long"
 )
 
@@ -144,7 +146,7 @@ def _packed(vocabulary: str, pattern: str, sequence: int, end: int):
         serial = TaskContext.get().partitionId() << 33
         waiting: list[list] = []
         held = 0
-        out: list[list] = []
+        out: list[list] = []  # with the ids as bytes
         most = sequence * WINDOWS - RESERVE
 
         def settle() -> None:
@@ -163,7 +165,10 @@ def _packed(vocabulary: str, pattern: str, sequence: int, end: int):
             columns = [*map(list, zip(*out, strict=True))] if out else [[] for _ in range(7)]
             out.clear()
             names = [x.split()[0] for x in SCHEMA.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+            first = pa.array(np.r_[0, np.cumsum(columns[2], dtype=np.int64)], pa.int32())
+            ids = pa.ListArray.from_arrays(first, pa.array(np.frombuffer(b"".join(columns[3]), "<i4")))
+            arrays = [ids if k == 3 else pa.array(c, pa.int64()) for k, c in enumerate(columns)]
+            return pa.RecordBatch.from_arrays(arrays, names)
 
         for rows in batches:
             ids = rows.column("id").to_pylist()
@@ -174,12 +179,14 @@ def _packed(vocabulary: str, pattern: str, sequence: int, end: int):
                 start = 0
 
                 def piece(length: int, doc=doc, coded=coded, total=total) -> list:
-                    return [doc, start, length, zlib.crc32(coded[4 * start : 4 * (start + length)]), total]
+                    return [doc, start, length, coded[4 * start : 4 * (start + length)], total]
 
                 while total - start >= sequence:
                     out.append([*piece(sequence), serial, 0])
                     serial += 1
                     start += sequence
+                    if len(out) * sequence >= HELD:
+                        yield batch()
                 while start < total:
                     length = min(total - start, PIECE, most - held)
                     waiting.append(piece(length))
@@ -187,7 +194,7 @@ def _packed(vocabulary: str, pattern: str, sequence: int, end: int):
                     start += length
                     if held >= most:
                         settle()
-                if len(out) >= 20_000:
+                if len(out) * PIECE >= HELD:
                     yield batch()
         settle()
         yield batch()
@@ -204,7 +211,9 @@ def pack_documents(
     sequence: int = SEQUENCE,
     end: int = END,
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
+
+    ids are the tokens of the piece; a sequence is its pieces in the order of their offsets.
 
     vocabulary: path of a JSON file of the `tokenizers` package (byte-level merges) on the
     driver, sent to every executor; pattern: its pre-tokenising pattern.
@@ -212,3 +221,17 @@ def pack_documents(
     docs.sparkSession.sparkContext.addFile(vocabulary)
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return slim.mapInArrow(_packed(vocabulary.rsplit("/", 1)[-1], pattern, sequence, end), SCHEMA)
+
+
+def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("ids")
+        first = ids.offsets.to_numpy()
+        data = memoryview(ids.values.to_numpy().astype("<i4").tobytes())
+        sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64())], [*batch.schema.names, "ids_crc32"])
+
+
+def with_checksums(pieces: DataFrame) -> DataFrame:
+    """Adds ids_crc32: crc32 of the ids as little-endian 32-bit numbers."""
+    return pieces.mapInArrow(_checksums, f"{SCHEMA}, ids_crc32 long")

@@ -15,10 +15,10 @@ and meet there.
    more than HEAVY strings are instead spread out by window: a grouping by the whole
    window text, combined in each task before the shuffle. Both ways give the same answer.
 4. What comes back per string are stretches of windows with their smallest document; each
-   document loses the words of those whose smallest document is before it.
+   document loses the words of those whose smallest document is before it, and what is left of its text is the result.
 
-Defined results: null, empty and wordless texts have no words and lose none; kept_sha256 is
-that of the empty text. Rows with a null id are neither before nor after any document: they
+Defined results: null, empty and wordless texts have no words and lose none; their kept text
+is empty. Rows with a null id are neither before nor after any document: they
 keep all words and remove none elsewhere. Rows that share an id never remove words from each other.
 White space is not part of a window. An empty table gives an empty result.
 """
@@ -77,20 +77,16 @@ def _tag(clean: bytes) -> int:
 
 
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: words, the digest of all of them, and its minimisers."""
+    """Per document: its minimisers."""
     for batch in batches:
         offsets, data = raw(batch.column("text"))
         for a, b in pieces(offsets):
             part, rows = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            (row, _, _, value), (_, _, first) = super_kmers(part, rows)
+            (row, _, _, value), _ = super_kmers(part, rows)
             where = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
-            clean = [_clean(part[rows[i] : rows[i + 1]]) for i in range(b - a)]
             yield pa.RecordBatch.from_pydict(
                 {
                     "id": batch.column("id").slice(a, b - a),
-                    "n_words": np.diff(first),
-                    "whole": [hashlib.sha256(x).hexdigest() for x in clean],
-                    "tag": pa.array([_tag(x) for x in clean], pa.int64()),
                     "mins": pa.ListArray.from_arrays(where, pa.array(value, pa.int64())),
                 }
             )
@@ -206,39 +202,41 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removed words and the digest of the rest, by stretches of removed windows."""
+    """Words, removed words and the text of the rest, by stretches of removed windows."""
     for batch in batches:
         offsets, data = raw(batch.column("text"))
-        own, removed, digests = [], [], []
+        every, removed, kept = [], [], []
         for i in range(batch.num_rows):
             words = data[offsets[i] : offsets[i + 1]].tobytes().split()
-            if _tag(b" ".join(words)) != batch.column("tag")[i].as_py():
-                continue  # the cuts of another text under this id
-            own.append(i)
-            gone = np.zeros(len(words) + 1, np.int64)
-            for cut in batch.column("cuts")[i].as_py():
-                gone[cut["a"]] += 1
-                gone[cut["b"]] -= 1
-            stay = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
-            removed.append(len(words) - len(stay))
-            digests.append(hashlib.sha256(b" ".join([words[k] for k in stay.tolist()])).hexdigest())
+            every.append(len(words))
+            if parts := batch.column("parts")[i].as_py():
+                tag = _tag(b" ".join(words))
+                gone = np.zeros(len(words) + 1, np.int64)
+                for part in parts:
+                    if part["tag"] != tag:
+                        continue  # the cuts of another text under this id
+                    for cut in part["cuts"]:
+                        gone[cut["a"]] += 1
+                        gone[cut["b"]] -= 1
+                words = [words[k] for k in np.flatnonzero(np.cumsum(gone)[:-1] == 0).tolist()]
+            removed.append(every[-1] - len(words))
+            kept.append(b" ".join(words))
         yield pa.RecordBatch.from_pydict(
             {
-                "id": batch.column("id").take(pa.array(own, pa.int64())),
-                "tag": batch.column("tag").take(pa.array(own, pa.int64())),
+                "id": batch.column("id"),
+                "n_words": pa.array(every, pa.int64()),
                 "n_removed": pa.array(removed, pa.int64()),
-                "kept_sha256": pa.array(digests, pa.string()),
+                "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
             }
         )
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, n_words, n_removed, kept_sha256."""
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: id, n_words, n_removed, kept_text (its words, one space between)."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    outline = staged(
-        texts.mapInArrow(_outline, "id long, n_words long, whole string, tag long, mins array<long>"), "passages-outline"
-    )
-    marks = outline.filter("id IS NOT NULL").select("id", F.explode("mins").alias("bucket"))
+    known = texts.filter("id IS NOT NULL")
+    outline = staged(known.mapInArrow(_outline, "id long, mins array<long>"), "passages-outline")
+    marks = outline.select("id", F.explode("mins").alias("bucket"))
     shared = marks.groupBy("bucket").agg(
         F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")
     )
@@ -273,13 +271,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     cut = f"transform(filter(parts, x -> x.first < id), x -> struct(start + x.a AS a, start + x.b + {WINDOW - 1} AS b))"
     cuts = found.select("key", "id", "tag", "start").join(stretches, "key").select("id", "tag", F.expr(cut).alias("cuts"))
-    cuts = cuts.filter("size(cuts) > 0").groupBy("id", "tag").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+    cuts = cuts.filter("size(cuts) > 0").groupBy("id").agg(F.collect_list(F.struct("tag", "cuts")).alias("parts"))
     cuts = staged(cuts, "passages-cuts")
-    done = texts.join(cuts, "id").mapInArrow(_finish, "id long, tag long, n_removed long, kept_sha256 string")
-    done = staged(done.distinct(), "passages-done")
-    return outline.join(done, ["id", "tag"], "left").select(
-        F.col("id").alias(id_col),
-        "n_words",
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
-    )
+    nothing = F.lit(None).cast(cuts.schema["parts"].dataType).alias("parts")
+    done = known.join(cuts, "id", "left").select("id", "text", "parts")
+    done = done.union(texts.filter("id IS NULL").select("id", "text", nothing))
+    done = done.mapInArrow(_finish, "id long, n_words long, n_removed long, kept_text string")
+    return done.withColumnRenamed("id", id_col)
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `without_repeats` with the digest of the text: id, n_words, n_removed, kept_sha256."""
+    rows = without_repeats(docs, id_col, text_col)
+    return rows.select(f"`{id_col}`", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -75,7 +75,10 @@ def op6_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN)
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN)
+    return packing.with_checksums(pieces).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
 
 
 @query

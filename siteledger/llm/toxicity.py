@@ -7,7 +7,8 @@ finds all maximal segments, those no extension or cut of which scores more. A se
 in a document of m tokens is set against what chance gives in m tokens by the
 extreme-value law, x = lambda * S - ln(K * m), where lambda solves sum p(s) exp(lambda s) = 1
 over the tokens of non-toxic documents. The r best segments together say the sum of their x plus
-ln(r!); the largest such sum, through a logistic curve, is the document's score.
+ln(r!); the largest such sum, through a logistic curve, is the document's score. Segments whose x is
+significant come with it, as characters of the text.
 
 Training takes at most SAMPLE_DOCS labelled documents, chosen by a hash of the id. The curve is
 fitted on evidence from models that have not counted the document: one from either half. Near
@@ -42,12 +43,25 @@ STRENGTH, DRIFT, CERTAIN = 2.0, 0.5, 3.0
 TOKEN = re.compile(r"\w+")
 #: Scores remembered by a task, and what counts as chance per token in K.
 KNOWN, K = 200_000, 0.1
+#: Segments with at least this x are significant: chance gives one in a document of 20.
+SIGNIFICANT = -np.log(-np.log(0.95))
+SEGMENTS = "array<struct<start: long, stop: long, score: double, x: double>>"
 
 
 def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+def token_spans(text: str) -> list[tuple[int, int]]:
+    """First and last + 1 character of each token."""
+    low = text.lower()
+    spans = [t.span() for t in TOKEN.finditer(low)]
+    if len(low) != len(text):  # some letters become two when lowered
+        at = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text]).tolist()
+        spans = [(at[a], at[b - 1] + 1) for a, b in spans]
+    return spans
+
+
 def units(word: str) -> list[str]:
     """The beginnings of a word, marked by a trailing asterisk, then the word."""
     return [*(word[:n] + "*" for n in STEMS if len(word) > n), word]
@@ -175,21 +189,34 @@ class Model:
         scores = np.fromiter(map(self.scores.__getitem__, words), float, len(words))
         return len(words), segments(scores)
 
-    def evidence(self, text: str) -> float | None:
+    def chance(self, score: float | np.ndarray, m: int) -> float | np.ndarray:
+        """x of a segment's score in m tokens."""
+        return self.rate * score - np.log(K * m + 1)
+
+    def together(self, m: int, found: list[tuple[int, int, float]]) -> float | None:
         """What the best segments say together; None without one."""
-        m, found = self.passages(text)
         if not found:
             return None
         best = np.sort([s for _, _, s in found])[::-1]
-        sums = np.cumsum(self.rate * best - np.log(K * m + 1) + np.log(np.arange(1, len(best) + 1)))
-        return float(sums.max())
+        return float(np.cumsum(self.chance(best, m) + np.log(np.arange(1, len(best) + 1))).max())
 
-    def score(self, text: str) -> float:
-        x = self.evidence(text)
+    def evidence(self, text: str) -> float | None:
+        return self.together(*self.passages(text))
+
+    def judged(self, text: str) -> tuple[float, list[dict]]:
+        """The score of a text, and its significant segments."""
+        m, found = self.passages(text)
+        x = self.together(m, found)
         if x is None:
-            return 0.0
+            return 0.0, []
         a, b = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a * x + b, -30, 30))))
+        score = float(1 / (1 + np.exp(-np.clip(a * x + b, -30, 30))))
+        marked = [(i, j, s, float(v)) for i, j, s in found if (v := self.chance(s, m)) >= SIGNIFICANT]
+        at = token_spans(text) if marked else []
+        return score, [{"start": at[i][0], "stop": at[j - 1][1], "score": s, "x": v} for i, j, s, v in marked]
+
+    def score(self, text: str) -> float:
+        return self.judged(text)[0]
 
 
 def chance_rate(odds: dict[str, float], null: dict[str, int], total: int) -> float:
@@ -276,10 +303,15 @@ def fit(
 
 
 def _score(model: Model):
+    number, real = pa.int64(), pa.float64()
+    kind = pa.list_(pa.struct([("start", number), ("stop", number), ("score", real), ("x", real)]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(t.as_py() or "") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64())], ["row", "score"])
+            judged = [model.judged(t.as_py() or "") for t in batch.column("text")]
+            scores = pa.array([score for score, _ in judged], pa.float64())
+            marked = pa.array([found for _, found in judged], kind)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), scores, marked], ["row", "score", "segments"])
 
     return run
 
@@ -289,9 +321,12 @@ def scored(
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     carry: list[str] | None = None,
 ) -> DataFrame:
-    """The columns `carry` of each row (the id alone by default) as `row`, with its `score`."""
+    """The columns `carry` of each row (the id alone by default) as `row`, with its `score` and `segments`.
+
+    segments: the significant ones, as characters start to stop - 1 of the text, with their score and x.
+    """
     model = fit(docs, labels, modulus, left_out, id_col, text_col, label_col)
     row = F.struct(*(F.col(f"`{c}`") for c in carry or [id_col])).alias("row")
     rows = docs.select(row, F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_score(model), f"row {kind}, score double")
+    return rows.mapInArrow(_score(model), f"row {kind}, score double, segments {SEGMENTS}")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from siteledger.llm import packing
+from siteledger.llm import packing, passages, toxicity
 from siteledger.llm.queries import PATTERN, VOCABULARY
 
 CONTROL = "a <|endoftext|> b"
@@ -30,3 +32,38 @@ def test_packing_of_control_strings(spark):
     rows = packing.pack_documents(spark.createDataFrame([(1, CONTROL)], "doc_id long, text string"), VOCABULARY, PATTERN)
     ids = reference().encode(CONTROL, add_special_tokens=False).ids + [0]
     assert [r.doc_tokens for r in rows.collect()] == [len(ids)]
+
+
+def test_sequences_can_be_read(spark, monkeypatch):
+    monkeypatch.setattr(packing, "HELD", 2000)
+    texts = {k: " ".join(f"w{i * k % 97}" for i in range(90 * k)) for k in range(1, 12)}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    rows = packing.with_checksums(packing.pack_documents(table, VOCABULARY, PATTERN)).collect()
+    for k, text in texts.items():
+        part = sorted((r for r in rows if r.doc_id == k), key=lambda r: r.start)
+        ids = [x for r in part for x in r.ids]
+        assert ids == reference().encode(text, add_special_tokens=False).ids + [0]
+    for r in rows:
+        assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<i4").tobytes())
+
+
+def test_text_without_repeats(spark):
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(1, f"a\n{shared}  b"), (2, f"c {shared} \t d"), (2, "é  other"), (None, f"e {shared}"), (3, None)]
+    got = passages.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = {(1, 62, 0, f"a {shared} b"), (2, 62, 60, "c d"), (2, 2, 0, "é other"), (None, 61, 0, f"e {shared}"), (3, 0, 0, "")}
+    assert {tuple(r) for r in got} == expected and len(got) == 5
+
+
+def test_toxic_segments_are_given(spark):
+    plain = lambda k: " ".join(f"p{(k * 7 + i * i) % 83}" for i in range(60))
+    bad = lambda k: f"vile{k % 5} foul{k % 3} nasty{k % 4} vile{k % 5} foul{k % 3}"
+    rows = [(k, plain(k) + (f" İ {bad(k)} " if k % 2 else " ") + plain(k + 1)) for k in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(160)], "doc_id long, toxic int")
+    got = toxicity.scored(docs, labels, 1000, 999).collect()
+    texts = dict(rows)
+    assert all(not r.segments for r in got if r.row.doc_id % 2 == 0)
+    found = {r.row.doc_id: [texts[r.row.doc_id][s.start : s.stop] for s in r.segments] for r in got if r.row.doc_id % 2}
+    assert all(len(parts) == 1 and bad(k) in parts[0] for k, parts in found.items())
+    assert all(s.x >= toxicity.SIGNIFICANT for r in got for s in r.segments)
