@@ -13,11 +13,12 @@
    result, so no link between components is lost and no bucket is capped.
 
 A pair at the limit of similarity shares no band with probability (1 - t^ROWS)^BANDS, about
-1e-5 at t = 0.85.
+1e-5 at t = 0.8 and 5e-8 at t = 0.85.
 
 Defined results: null or empty texts and texts without words have an empty set, are
 linked with nothing and stay. Rows with a null id take no part: component null, kept.
-Repeated rows have one component; rows that share an id count as one node. Texts with fewer words
+Repeated rows have one component; rows that share an id but not a set are compared by their own texts,
+and only those of the class with the smallest id of their component are kept. Texts with fewer words
 than a shingle are one shingle. Empty tables give empty results.
 """
 
@@ -36,7 +37,7 @@ from siteledger.llm.components import components
 from siteledger.llm.storage import staged
 from siteledger.llm.words import CHUNK, LOWER, bounds, hashes, mix, pieces, raw, sequences
 
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 22, 4
 SIZE = BANDS * ROWS
 #: Members of one block, on average, when buckets are compared in full.
 BLOCK = 384
@@ -128,6 +129,7 @@ def _sketch(words: int):
                 yield pa.RecordBatch.from_pydict(
                     {
                         "id": batch.column("id").slice(a, b - a),
+                        "sha": batch.column("sha").slice(a, b - a),
                         "n": np.diff(first),
                         "digest": pa.array(digests, pa.binary()),
                         "bands": pa.ListArray.from_arrays(
@@ -186,9 +188,16 @@ def _checked(pairs: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
 
 
 def classes(sketch: DataFrame) -> DataFrame:
-    """rep (smallest id), digest and bands of each set that some document has."""
+    """rep, digest, bands, id and sha of each set that some document has.
+
+    id is the smallest one, sha stands for a text of that id; rep numbers the classes by id and digest.
+    """
     some = sketch.filter("digest IS NOT NULL AND id IS NOT NULL")
-    return some.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    some = some.groupBy("digest").agg(F.min(F.struct("id", "sha")).alias("one"), F.first("bands").alias("bands"))
+    found = staged(some.select("digest", "bands", "one.id", "one.sha"), "near-sets")
+    # Numbers rise from one range to the next, so the smallest of a component has its smallest id.
+    found = found.repartitionByRange("id", "digest").sortWithinPartitions("id", "digest")
+    return found.withColumn("rep", F.monotonically_increasing_id())
 
 
 def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -199,26 +208,15 @@ def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def near_groups(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    how: Similarity = Similarity(),
-) -> DataFrame:
-    """One row per row of `docs`: id, n_shingles, component_id, kept (id is component_id)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, how: Similarity) -> DataFrame:
+    """id, sha (of the text), n, component, kept of every row."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    texts = texts.withColumn("sha", F.unhex(F.sha2("text", 256)))
     sketch = staged(
-        texts.mapInArrow(_sketch(how.words), "id long, n long, digest binary, bands array<long>"),
+        texts.mapInArrow(_sketch(how.words), "id long, sha binary, n long, digest binary, bands array<long>"),
         "near-sketch",
     )
     nodes = staged(classes(sketch), "near-classes")
-    # Ids shared by different sets: one node, so link what they stand for by the id itself.
-    shared_ids = (
-        sketch.filter("digest IS NOT NULL AND id IS NOT NULL")
-        .join(nodes.select("digest", "rep"), "digest")
-        .filter("id <> rep")
-        .select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    )
     rows = nodes.select("rep", F.explode("bands").alias("key")).distinct()
     buckets = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = staged(rows.join(staged(buckets, "near-buckets"), "key"), "near-members")
@@ -232,9 +230,9 @@ def near_groups(
         F.greatest("lead", "rep").alias("v"), F.least("lead", "rep").alias("u")
     )
     members = members.select("key", "rep")
-    chosen = members.select(F.col("rep").alias("id")).distinct()
+    chosen = central.join(nodes, "rep").select("rep", "id", "sha")
     texts_of = staged(
-        texts.join(chosen, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "near-texts"
+        texts.join(chosen, ["id", "sha"]).groupBy(F.col("rep").alias("id")).agg(F.min("text").alias("text")), "near-texts"
     )
     checked = _checked(staged(star.distinct(), "near-pairs"), texts_of, how)
     links = checked.filter("linked").select("u", "v")
@@ -242,15 +240,50 @@ def near_groups(
     more = _remaining(members, roots, texts_of, how)
     if more is not None:
         roots = staged(_roots(nodes, links.union(more)), "near-roots")
-    of_set = nodes.select("digest", "rep").join(roots, "rep").select("digest", "root")
+    heads = nodes.select(F.col("rep").alias("root"), F.col("id").alias("head"))
+    of_set = nodes.select("digest", "rep").join(roots, "rep").join(heads, "root").select(
+        "digest", "head", (F.col("rep") == F.col("root")).alias("first")
+    )
     out = sketch.join(staged(of_set, "near-of-set"), "digest", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return out.select(
+        "id",
+        "sha",
+        "n",
+        F.when(F.col("id").isNotNull(), F.coalesce("head", "id")).alias("component"),
+        (F.col("id").isNull() | F.col("head").isNull() | (F.col("first") & (F.col("id") == F.col("head")))).alias("kept"),
+    )
+
+
+def near_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    how: Similarity = Similarity(),
+) -> DataFrame:
+    """One row per row of `docs`: id, n_shingles, component_id, kept (of the class that names the component)."""
+    return _grouped(docs, id_col, text_col, how).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        F.col("component").alias("component_id"),
+        "kept",
+    )
+
+
+def deduplicate(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    how: Similarity = Similarity(),
+) -> DataFrame:
+    """The rows of `docs` that are kept; a row goes by its id and text."""
+    gone = _grouped(docs, id_col, text_col, how).filter("NOT kept").select("id", "sha").distinct()
+    names = [F.col(f"row.`{c}`") for c in docs.columns]
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col(f"`{id_col}`").cast("long").alias("id"),
+        F.unhex(F.sha2(F.col(f"`{text_col}`"), 256)).alias("sha"),
     )
+    return rows.join(gone, ["id", "sha"], "left_anti").select(*names)
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -264,12 +297,12 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     shared = np.bincount(column)[column] > 1
     row, column = row[shared], column[shared]
     column = np.cumsum(np.r_[False, column[1:] != column[:-1]]) if len(column) else column
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((n, n), np.int64)
     for first in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
         a, b = np.searchsorted(column, (first, first + 2048))
         part = np.zeros((n, 2048), np.float32)
         part[row[a:b], column[a:b] - first] = 1
-        out += part @ part.T
+        out += (part @ part.T).astype(np.int64)
     return out
 
 
@@ -278,7 +311,7 @@ def _block_links(texts: list[str], ids: np.ndarray, roots: np.ndarray, how: Simi
     if len(set(roots.tolist())) < 2:
         return []
     sets = [_one_set(t, how.words) for t in texts]
-    size = np.array([len(s) for s in sets], np.float32)
+    size = np.array([len(s) for s in sets], np.int64)
     both = intersections(sets)
     linked = 100 * both >= how.per_hundred * (size[:, None] + size - both)
     linked &= roots[:, None] != roots

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from siteledger.llm import packing, passages, toxicity
+from siteledger.llm import neardup, packing, passages, toxicity
 from siteledger.llm.queries import PATTERN, VOCABULARY
 
 CONTROL = "a <|endoftext|> b"
@@ -67,3 +67,29 @@ def test_toxic_segments_are_given(spark):
     found = {r.row.doc_id: [texts[r.row.doc_id][s.start : s.stop] for s in r.segments] for r in got if r.row.doc_id % 2}
     assert all(len(parts) == 1 and bad(k) in parts[0] for k, parts in found.items())
     assert all(s.x >= toxicity.SIGNIFICANT for r in got for s in r.segments)
+
+
+def test_rows_that_share_an_id_are_compared_by_their_own_texts(spark):
+    base = [f"w{i}" for i in range(120)]
+    near = " ".join([*base[:60], "other", *base[61:]])
+    for other in ("aaa bbb", "zzz yyy"):  # before and after the text of the same id
+        rows = [(5, " ".join(base)), (5, other), (1, near), (5, None), (None, near)]
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {(r.doc_id, r.n_shingles > 100): r for r in neardup.near_groups(table).collect() if r.n_shingles}
+        assert (got[5, True].component_id, got[5, True].kept) == (1, False)
+        assert (got[5, False].component_id, got[5, False].kept) == (5, True)
+        assert got[1, True].kept and got[None, True].kept and got[None, True].component_id is None
+        left = {tuple(r) for r in neardup.deduplicate(table).collect()}
+        assert left == set(rows[1:])
+
+
+def test_bands_find_pairs_at_the_default_limit():
+    t = neardup.Similarity().per_hundred / 100
+    assert (1 - t**neardup.ROWS) ** neardup.BANDS <= 1e-5
+
+
+def test_large_sets_are_compared_exactly():
+    n = 500_001
+    one = np.arange(n, dtype=np.uint64)
+    both = neardup.intersections([one, one[: n - 1]])
+    assert both.dtype == np.int64 and both[0, 1] == n - 1
