@@ -6,10 +6,10 @@ the mean over all bytes of a document is its language distribution. Gates are pi
 and the candidate state is x / (1 + |x|), which keep the gated recurrence and cost a
 fraction of the exponential ones. Many windows are stepped through side by side.
 
-Training is back-propagation through time in numpy with Adam on the driver, on at most
-SAMPLE_DOCS documents, chosen by a hash of the id, with at most SAMPLE_WINDOWS windows each, spread over
-the text. At most MAX_LANGUAGES languages, the most frequent in the sample, are learned.
-Scoring reads whole texts.
+Training is back-propagation through time in numpy with Adam on the driver. Of every language it takes
+about SAMPLE_DOCS / languages documents, at least LEAST_DOCS, or all that there are, chosen by a hash of
+the id, with at most SAMPLE_WINDOWS windows each, spread over the text. All languages are learned;
+steps rise with their number. Scoring reads whole texts.
 
 Defined results: a null text or one without a letter is "und" with score 0. Rows with a null
 language teach nothing; without any language to learn all rows are "und" with score 0.
@@ -19,7 +19,6 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteledger.llm.folds import remainder, sample
+from siteledger.llm.folds import remainder
+from siteledger.llm.storage import staged
 from siteledger.llm.words import pieces, raw
 
 WINDOW, HIDDEN, SIDE = 64, 12, 2048
-SAMPLE_DOCS, SAMPLE_WINDOWS, MAX_LANGUAGES = 4000, 6, 64
+SAMPLE_DOCS, LEAST_DOCS, SAMPLE_WINDOWS = 4000, 50, 6
 STEPS, BATCH, RATE = 250, 256, 0.02
+#: Languages that SIDE and STEPS are meant for.
+USUAL = 64
 UNDETERMINED = "und"
 
 LETTERS = np.zeros(256, bool)
@@ -127,12 +129,13 @@ class Network:
         length = np.minimum(rows[1:][owner] - start, WINDOW)
         totals = np.zeros((len(sizes), len(self.languages)))
         padded = np.r_[data, np.zeros(WINDOW, np.uint8)]
-        for k in range(0, len(owner), SIDE):
-            s, n = start[k : k + SIDE], length[k : k + SIDE]
+        side = max(1, SIDE * USUAL // max(USUAL, len(self.languages)))
+        for k in range(0, len(owner), side):
+            s, n = start[k : k + side], length[k : k + side]
             inside = np.arange(WINDOW)[:, None] < n
             windows = np.where(inside, padded[s + np.arange(WINDOW)[:, None]], 0)
             sums = (self.labels(windows) * inside[:, None, :]).sum(0)
-            np.add.at(totals, owner[k : k + SIDE], sums.T)
+            np.add.at(totals, owner[k : k + side], sums.T)
         return totals / np.maximum(sizes, 1)[:, None]
 
 
@@ -153,7 +156,8 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
     # Every language is drawn equally often.
     share = 1 / np.bincount(labels, minlength=len(languages))[labels]
     share /= share.sum()
-    for step in range(1, STEPS + 1):
+    steps = STEPS * -(-len(languages) // USUAL)
+    for step in range(1, steps + 1):
         pick = rng.choice(len(windows), BATCH, p=share)
         x, y = windows[pick].T.astype(np.int64), labels[pick]
         one, trace = net.ahead.run(x, keep=True)
@@ -169,7 +173,7 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
         d_states = np.matmul(net.out.T, p)
         d1 = net.ahead.back(x, trace, d_states[:, :HIDDEN])
         d2 = net.behind.back(x[::-1], trace_back, d_states[::-1, HIDDEN:])
-        rate = RATE * min(1, 2 * (1 - step / (STEPS + 1)))
+        rate = RATE * min(1, 2 * (1 - step / (steps + 1)))
         for w, d, m, v in zip(weights, [*d1, *d2, d_out, p.sum((0, 2))[:, None]], first, second, strict=True):
             m += 0.1 * (d - m)
             v += 0.01 * (d * d - v)
@@ -194,25 +198,33 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _chosen(ids: DataFrame) -> DataFrame:
+    """Pairs (id, lang) to learn from: of every language a bounded number, or all it has."""
+    pairs = staged(ids.distinct(), "language-ids")
+    counts = pairs.groupBy("lang").agg(F.count("*").alias("n"))
+    bound = F.greatest(F.lit(LEAST_DOCS), F.lit(SAMPLE_DOCS) / F.lit(max(1, counts.count())))
+    # A language has about `bound` ids below its share of all hashes; without a sort, nothing meets in one task.
+    place = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 40))
+    return pairs.join(F.broadcast(counts), "lang").filter(place.cast("double") * F.col("n") < bound * F.lit(float(1 << 40))).select("id", "lang")
+
+
 def fit(
     docs: DataFrame, modulus: int, left_out: int,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> Network | None:
-    ids = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"))
+    ids = docs.filter(F.col(f"`{text_col}`") != "").select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"))
     ids = ids.filter(remainder("id", modulus) != left_out).filter("lang IS NOT NULL")
-    chosen = sample(ids.select("id").distinct(), "id", SAMPLE_DOCS)
+    chosen = staged(_chosen(ids), "language-chosen")
     texts = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")
     )
-    rows = texts.filter("lang IS NOT NULL AND text <> ''").join(F.broadcast(chosen), "id")
+    rows = texts.filter("lang IS NOT NULL AND text <> ''").join(F.broadcast(chosen), ["id", "lang"])
     got = rows.mapInArrow(_windows, "id long, lang string, window binary").collect()
     got.sort(key=lambda r: (r["id"], bytes(r["window"]), r["lang"]))
-    common = Counter(r["lang"] for r in got).most_common(MAX_LANGUAGES)
-    languages = sorted(lang for lang, _ in common)
+    languages = sorted({r["lang"] for r in got})
     if not languages:
         return None
     number = {lang: i for i, lang in enumerate(languages)}
-    got = [r for r in got if r["lang"] in number]
     windows = np.frombuffer(b"".join(r["window"] for r in got), np.uint8).reshape(-1, WINDOW)
     return train(windows, np.array([number[r["lang"]] for r in got]), languages)
 

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from siteledger.llm import neardup, packing, passages, toxicity
+from siteledger.llm import language, neardup, packing, passages, toxicity
 from siteledger.llm.queries import PATTERN, VOCABULARY
 
 CONTROL = "a <|endoftext|> b"
@@ -93,3 +93,11 @@ def test_large_sets_are_compared_exactly():
     one = np.arange(n, dtype=np.uint64)
     both = neardup.intersections([one, one[: n - 1]])
     assert both.dtype == np.int64 and both[0, 1] == n - 1
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "STEPS", 2)
+    rows = [(k, f"text {k}", f"l{k % 70}") for k in range(700)] + [(1000 + k, f"more {k}", "l0") for k in range(9000)]
+    rows += [(20_000 + k, "few words", "rare") for k in range(3)] + [(30_000, None, "no text"), (30_001, "x", None)]
+    net = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 10_000, 9_999)
+    assert net.languages == sorted({f"l{k}" for k in range(70)} | {"rare"})
