@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteledger.llm import chat, exact_dedup, language, mixing, neardup, packing, passages, quality, topk, toxicity
+from siteledger.llm import chat, exact_dedup, language, merkle, mixing, neardup, packing, passages, quality, topk, toxicity
 from siteledger.llm.folds import remainder
 from siteledger.llm.storage import staged
 
@@ -127,3 +127,12 @@ def op9_fingerprint_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     written = staged(chat.formatted(chat.from_turns(rows.unionByName(hard))), "chat")
     return chat.read_back(written).withColumnRenamed("conv", "conv_id")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents; a third of them is presented in lower case."""
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    tampered = merkle.Presented(crc % 3 == 0, {"text": merkle.lower_cased()})
+    rows = merkle.verified(merkle.manifest(table(spark, sf_dir, "documents"), presented=tampered))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")

@@ -74,4 +74,66 @@ w AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM w
 """
 
-SQL: dict[str, str] = {"op1_mixing": OP1, "op4_content_sort": OP4}
+
+
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII text, one bit of the shift register after the other."""
+    bits = f"FLATTEN([[ASCII(c), 0, 0, 0, 0, 0, 0, 0] FOR c IN STRING_SPLIT({text}, '')])"
+    step = "xor(xor(s, e) >> 1, 3988292384 * (xor(s, e) & 1))"
+    return f"xor(LIST_REDUCE(LIST_TRANSFORM({bits}, lambda e: e::BIGINT), lambda s, e: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+def _encoded(column: str) -> str:
+    return f"COALESCE(STRLEN({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+def _tree(name: str, leaves: str, scope: str) -> str:
+    """Levels of every tree in `leaves` (scope, pos, digest), and each node's siblings in its run."""
+    return f"""
+{name}_levels AS (
+  SELECT {scope}, 0 AS lvl, pos, digest, COUNT(*) OVER (PARTITION BY {scope}) AS n FROM {leaves}
+  UNION ALL
+  SELECT {scope}, lvl + 1, pos // 8, sha256(STRING_AGG(digest, '' ORDER BY pos)), ANY_VALUE((n + 7) // 8)
+  FROM {name}_levels WHERE n > 1 GROUP BY {scope}, lvl, pos // 8),
+{name}_runs AS (
+  SELECT *, COALESCE(STRING_AGG(digest, '') OVER (PARTITION BY {scope}, lvl, pos // 8 ORDER BY pos
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    COALESCE(STRING_AGG(digest, '') OVER (PARTITION BY {scope}, lvl, pos // 8 ORDER BY pos
+      ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}_levels),
+{name}_paths AS (
+  SELECT p.{scope}, p.pos, LIST({{'l': x.l, 'r': x.r}} ORDER BY x.lvl) FILTER (x.n > 1) AS path
+  FROM {leaves} p JOIN {name}_runs x ON p.{scope} = x.{scope} AND x.pos = p.pos // (8 ** x.lvl)::BIGINT
+  GROUP BY p.{scope}, p.pos),
+{name}_tops AS (SELECT {scope}, digest AS top FROM {name}_levels WHERE n = 1)"""
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEAF = "sha256(" + " || ".join(_encoded(c) for c in ("doc_id", "source", "lang", "n_chars", "{}")) + ")"
+_PLAIN = _LEAF.replace("{}", "text")
+_ALTERED = _LEAF.replace("{}", _LOWER.format("text"))
+OP11 = f"""
+WITH RECURSIVE rows_ AS (
+  SELECT doc_id, COALESCE('=' || lang, '-') AS tree, {_PLAIN} AS digest,
+    CASE WHEN {_crc32("doc_id::VARCHAR")} % 3 = 0 THEN {_ALTERED} END AS altered
+  FROM documents),
+leaves AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos FROM rows_),
+{_tree("low", "leaves", "tree")},
+subroots AS (
+  SELECT 0 AS whole, tree, top AS digest, ROW_NUMBER() OVER (ORDER BY ENCODE(tree)) - 1 AS pos FROM low_tops),
+{_tree("up", "subroots", "whole")},
+found AS (
+  SELECT v.doc_id, v.digest AS leaf, COALESCE(v.altered, v.digest) AS start, s.digest AS subroot, t.top AS root,
+    COALESCE(p.path, []) || COALESCE(q.path, []) AS path
+  FROM leaves v JOIN low_paths p ON v.tree = p.tree AND v.pos = p.pos
+  JOIN subroots s ON v.tree = s.tree JOIN up_paths q ON s.pos = q.pos CROSS JOIN up_tops t),
+done AS (
+  SELECT doc_id, leaf, subroot, root, sha256(ARRAY_TO_STRING(LIST_TRANSFORM(path, lambda x: x.l || x.r), '')) AS proof_sha256,
+    LIST_REDUCE(LIST_TRANSFORM(path, lambda x: {{'l': x.l, 'r': x.r}}), lambda a, x: {{'l': sha256(x.l || a.l || x.r), 'r': ''}},
+      {{'l': start, 'r': ''}}).l AS folded_root
+  FROM found)
+SELECT *, folded_root = root AS verified FROM done
+"""
+
+SQL: dict[str, str] = {"op1_mixing": OP1, "op4_content_sort": OP4, "op11_merkle_manifest": OP11}
