@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteledger.llm import chat, exact_dedup, language, merkle, mixing, neardup, packing, passages, quality, topk, toxicity
+from siteledger.llm import chat, exact_dedup, language, licenses, merkle, mixing, neardup, packing, passages, quality, repair, topk, toxicity
 from siteledger.llm.folds import remainder
 from siteledger.llm.storage import staged
 
@@ -136,3 +136,26 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = merkle.Presented(crc % 3 == 0, {"text": merkle.lower_cased()})
     rows = merkle.verified(merkle.manifest(table(spark, sf_dir, "documents"), presented=tampered))
     return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged row by row, with the cheapest edits that repair them."""
+    rows = table(spark, sf_dir, "conversations")
+    found = repair.repair(repair.damaged(rows))
+    every = rows.select(F.col("conv_id").alias("id")).distinct()
+    audits = every.join(found.audits, F.col("id").eqNullSafe(F.col("conv")), "left").drop("conv")
+    hashed = repair.digests(found.turns)
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return audits.join(hashed, F.col("id").eqNullSafe(F.col("conv")), "left").select(
+        F.col("id").alias("conv_id"),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+@query
+def op13_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.scanned(table(spark, sf_dir, "documents"))

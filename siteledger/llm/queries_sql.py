@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from siteledger.llm.licenses import BAND, SHARE, STANDARD, gram_rows
+
 
 def _level(name: str, parents: list[str], weight: str, up: str) -> str:
     """Common table expressions that share `up`'s quotas among the children at level `name`."""
@@ -136,4 +138,37 @@ done AS (
 SELECT *, folded_root = root AS verified FROM done
 """
 
-SQL: dict[str, str] = {"op1_mixing": OP1, "op4_content_sort": OP4, "op11_merkle_manifest": OP11}
+_GRAMS = ", ".join(
+    f"({n}, '{label}', {base}, {exact}, {size}, {at}, '{w0}', '{w1}', {f"'{w2}'" if w2 else 'NULL'})"
+    for n, label, base, exact, size, at, w0, w1, w2 in gram_rows(STANDARD)
+)
+_LABELS = "COALESCE(STRING_AGG(DISTINCT label, ',' ORDER BY label) FILTER ({}), '')"
+OP13 = rf"""
+WITH grams(template, label, base, exact, size, place, w0, w1, w2) AS (VALUES {_GRAMS}),
+words AS (
+  SELECT ROW_NUMBER() OVER () AS uid, doc_id,
+    REGEXP_EXTRACT_ALL({_LOWER.format("COALESCE(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+rolled AS (SELECT uid, w, UNNEST(RANGE(LEN(w))) AS pos FROM words),
+votes AS (
+  SELECT uid, template, label, base, exact, size, pos - place AS diagonal, BIT_OR(1::BIGINT << place) AS votes
+  FROM rolled JOIN grams ON w[pos + 1] = w0 AND w[pos + 2] = w1 AND (w2 IS NULL OR w[pos + 3] = w2) GROUP BY ALL),
+banded AS (
+  SELECT *, UNNEST(CASE WHEN exact THEN [diagonal]
+    ELSE [FLOOR(diagonal / {BAND})::BIGINT - 1, FLOOR(diagonal / {BAND})::BIGINT] END) AS band FROM votes),
+places AS (
+  SELECT uid, label, base, exact, GREATEST(MIN(diagonal), 0) AS first, BIT_COUNT(BIT_OR(votes)) / size AS similarity
+  FROM banded GROUP BY uid, template, label, base, exact, size, band),
+found AS (SELECT * FROM places WHERE similarity >= CASE WHEN exact THEN 1 ELSE {SHARE} END)
+SELECT doc_id, LEN(ANY_VALUE(w))::BIGINT AS n_words, COUNT(*) FILTER (base) AS n_base, MIN(first) FILTER (base) AS first_word,
+  MAX(first) FILTER (base) AS last_word, {_LABELS.format("base")} AS base_labels, {_LABELS.format("TRUE")} AS labels,
+  COALESCE(MAX(similarity), 0)::DOUBLE AS score
+FROM words LEFT JOIN found USING (uid) GROUP BY uid, doc_id
+"""
+
+SQL: dict[str, str] = {
+    "op1_mixing": OP1,
+    "op4_content_sort": OP4,
+    "op11_merkle_manifest": OP11,
+    "op13_license_diagonals": OP13,
+}
