@@ -193,7 +193,7 @@ def manifest(
     outer = _descended(upper, whole.selectExpr("tree", "top AS root", nothing))
     outer = staged(outer.select(F.col("id").alias("tree"), "root", F.col("digest").alias("subroot"), "path"), "merkle-outer")
     return _descended(rounds, outer).select(
-        F.col("id").alias(id_col), F.substring("tree", 2, 1 << 30).alias("tree"), "pos",
+        F.col("id").alias(id_col), F.expr("IF(tree = '-', NULL, substring(tree, 2))").alias("tree"), "pos",
         F.col("digest").alias("leaf"), "subroot", "root", "path", "altered",
     )
 
