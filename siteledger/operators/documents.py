@@ -123,83 +123,3 @@ def score_responses(packets: DataFrame, responses: DataFrame) -> DataFrame:
 
 def response_counts(scored: DataFrame) -> DataFrame:
     return scored.groupBy("outcome").agg(F.count(F.lit(1)).alias("projects"))
-
-
-# ---- optimisation documents -----------------------------------------------------------
-
-_ACTION = (
-    "ARRAY<STRUCT<action_rank: BIGINT, project_id: STRING, action: STRING, owner: STRING, "
-    "expected_value: DOUBLE>>"
-)
-OPTIMIZATION = (
-    f"prioritized_actions {_ACTION}, this_week_plan STRUCT<actions: ARRAY<STRUCT<day: STRING, "
-    "project_id: STRING, owner: STRING, hours_required: DOUBLE>>>, "
-    "cash_flow_projection MAP<STRING, DOUBLE>, strategic_insights ARRAY<STRUCT<title: STRING, "
-    "description: STRING>>"
-)
-
-
-def optimization_document(
-    top: DataFrame, plan: DataFrame, cash: DataFrame, insight: DataFrame
-) -> DataFrame:
-    """One document from four short reports (eight actions, five days, five buckets)."""
-    actions = top.agg(F.expr(
-        "array_sort(collect_list(struct(action_rank, project_id, action, owner, expected_value)))"
-        " AS a"))
-    days = plan.agg(F.expr(
-        "struct(array_sort(collect_list(struct(day, project_id, owner, hours_required))) "
-        "AS actions) AS d"))
-    buckets = cash.agg(F.expr(
-        "map_from_entries(array_sort(collect_list(struct(bucket, expected_recovery)))) AS b"))
-    insights = insight.agg(F.expr("collect_list(struct(title, description)) AS i"))
-    return actions.select(
-        F.to_json(
-            F.struct(
-                F.col("a").alias("prioritized_actions"),
-                days.scalar().alias("this_week_plan"),
-                buckets.scalar().alias("cash_flow_projection"),
-                insights.scalar().alias("strategic_insights"),
-            )
-        ).alias("document")
-    )
-
-
-def _opened(docs: DataFrame) -> DataFrame:
-    return docs.select(F.from_json("document", OPTIMIZATION).alias("o"))
-
-
-def prioritized_actions(docs: DataFrame, n: int = 20) -> DataFrame:
-    return _opened(docs).selectExpr(f"inline(slice(o.prioritized_actions, 1, {n}))")
-
-
-def this_week(docs: DataFrame) -> DataFrame:
-    return _opened(docs).selectExpr("inline(o.this_week_plan.actions)")
-
-
-def cash_projection(docs: DataFrame) -> DataFrame:
-    return _opened(docs).selectExpr(
-        "explode(o.cash_flow_projection) AS (bucket, expected_recovery)"
-    )
-
-
-def strategic_insights(docs: DataFrame) -> DataFrame:
-    return _opened(docs).selectExpr("inline(o.strategic_insights)")
-
-
-def optimization_views(docs: DataFrame, n: int = 20) -> DataFrame:
-    """All views as rows (view, item, detail, amount)."""
-    none = "CAST(NULL AS DOUBLE) AS amount"
-    return (
-        prioritized_actions(docs, n)
-        .selectExpr("'actions' AS view", "project_id AS item", "action AS detail",
-                    "expected_value AS amount")
-        .unionByName(this_week(docs).selectExpr(
-            "'this_week' AS view", "day AS item", "owner AS detail", "hours_required AS amount"))
-        .unionByName(cash_projection(docs).selectExpr(
-            "'cash_flow' AS view", "bucket AS item", "'' AS detail",
-            "expected_recovery AS amount"))
-        .unionByName(strategic_insights(docs).selectExpr(
-            "'insights' AS view", "title AS item", "description AS detail", none))
-    )
-
-

@@ -183,11 +183,13 @@ def high_loss_projects(briefs: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
+WORTH = "COALESCE(estimated_recovery_dollars, 0D) * COALESCE(NULLIF(confidence, 0D), 0.7D)"
+
+
 def top_actions_by_value(actions: DataFrame, rules: Rules) -> DataFrame:
     """The portfolio's best actions by recovery times confidence."""
-    value = "COALESCE(estimated_recovery_dollars, 0D) * COALESCE(NULLIF(confidence, 0D), 0.7D)"
     return (
-        actions.withColumn("weighted_value", F.expr(value))
+        actions.withColumn("weighted_value", F.expr(WORTH))
         .orderBy(F.col("weighted_value").desc(), F.col("action_id").asc())
         .limit(rules.top_actions)
         .select("action_id", "project_id", "weighted_value")

@@ -416,24 +416,6 @@ query("response_counts",
       f"SELECT outcome, COUNT(*) AS projects FROM ({_SCORED}) GROUP BY 1", share=True)
 
 
-def _optimization(p: Portfolio) -> DataFrame:
-    return documents.optimization_document(
-        p.top_actions, portfolio.week_plan(p.top_actions),
-        portfolio.cash_flow(p.all_actions, p.rules), portfolio.top_systemic_issue(p.cause_rows))
-
-
-query("optimization_views",
-      lambda p: documents.optimization_views(_optimization(p), 5), """
-SELECT 'actions' AS view, project_id AS item, action AS detail, expected_value AS amount
-FROM v_top8 WHERE action_rank <= 5
-UNION ALL SELECT 'this_week', ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday'][rn], owner,
-  cost_to_execute_hours FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY action_rank) AS rn
-  FROM v_top8 WHERE urgency IN ('immediate', 'this_week')) WHERE rn <= 5
-UNION ALL SELECT 'cash_flow', bucket, '', expected_recovery FROM v_cash_flow
-UNION ALL SELECT * FROM (SELECT 'insights', 'Top systemic issue',
-  label || ' is the most common pattern across flagged projects.', NULL
-  FROM v_label_counts ORDER BY cause_count DESC, label LIMIT 1)""", share=True)
-
 # ---- streams: run to the end over files that Spark wrote from the given tables ----------------
 
 
