@@ -8,8 +8,10 @@ fraction of the exponential ones. Many windows are stepped through side by side.
 
 Training is back-propagation through time in numpy with Adam on the driver. Of every language it takes
 about SAMPLE_DOCS / languages documents, at least LEAST_DOCS, or all that there are, chosen by a hash of
-the id, with at most SAMPLE_WINDOWS windows each, spread over the text. All languages are learned;
-steps rise with their number. Scoring reads whole texts.
+the id, whole ones of at most SAMPLE_BYTES / languages bytes together (one that no longer fits is left out, unless
+it is the language's first). A batch draws languages, then documents, then windows, each equally often. All languages are
+learned; steps rise with their number. Scoring reads whole texts of any length; of equal probabilities the
+language that comes first in the alphabet is taken.
 
 Defined results: a null text or one without a letter is "und" with score 0. Rows with a null
 language teach nothing; without any language to learn all rows are "und" with score 0.
@@ -32,7 +34,7 @@ from siteledger.llm.storage import staged
 from siteledger.llm.words import pieces, raw
 
 WINDOW, HIDDEN, SIDE = 64, 12, 2048
-SAMPLE_DOCS, LEAST_DOCS, SAMPLE_WINDOWS = 4000, 50, 6
+SAMPLE_DOCS, LEAST_DOCS, SAMPLE_BYTES = 4000, 50, 32 << 20
 STEPS, BATCH, RATE = 250, 256, 0.02
 #: Languages that SIDE and STEPS are meant for.
 USUAL = 64
@@ -139,8 +141,10 @@ class Network:
         return totals / np.maximum(sizes, 1)[:, None]
 
 
-def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: int = 5) -> Network:
-    """Fits a network to windows (N, WINDOW) with a label each; bytes of 0 are padding."""
+def train(
+    windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: int = 5, weights_of: np.ndarray | None = None
+) -> Network:
+    """Fits a network to windows (N, WINDOW) with a label each, drawn by weight; bytes of 0 are padding."""
     rng = np.random.default_rng(seed)
     make = lambda *shape: rng.normal(0, 0.3, shape).astype(np.float32)
     net = Network(
@@ -154,7 +158,8 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
     weights = [net.ahead.table, net.ahead.across, net.behind.table, net.behind.across, net.out, net.bias]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     # Every language is drawn equally often.
-    share = 1 / np.bincount(labels, minlength=len(languages))[labels]
+    share = np.ones(len(labels)) if weights_of is None else weights_of
+    share = share / np.bincount(labels, share, len(languages))[labels]
     share /= share.sum()
     steps = STEPS * -(-len(languages) // USUAL)
     for step in range(1, steps + 1):
@@ -182,51 +187,70 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows spread evenly over each document."""
+    """All windows of each document, with the share of the document in each."""
     for batch in batches:
         offsets, data = raw(batch.column("text"))
         parts = []
         for i in range(batch.num_rows):
             text = data[offsets[i] : offsets[i + 1]]
-            have = -(-len(text) // WINDOW)
-            for k in np.unique(np.linspace(0, max(have - 1, 0), SAMPLE_WINDOWS).astype(int)).tolist():
-                parts.append((i, text[k * WINDOW : (k + 1) * WINDOW].tobytes().ljust(WINDOW, b"\0")))
-        at = pa.array([i for i, _ in parts], pa.int64())
+            padded = text.tobytes().ljust(-(-len(text) // WINDOW) * WINDOW, b"\0")
+            parts.append(padded)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id").take(at), batch.column("lang").take(at), pa.array([w for _, w in parts], pa.binary())],
-            ["id", "lang", "window"],
+            [batch.column("id"), batch.column("lang"), pa.array(parts, pa.binary())], ["id", "lang", "windows"]
         )
 
 
 def _chosen(ids: DataFrame) -> DataFrame:
-    """Pairs (id, lang) to learn from: of every language a bounded number, or all it has."""
-    pairs = staged(ids.distinct(), "language-ids")
+    """Pairs (id, lang) to learn from, with their bytes: of every language a bounded number, or all it has."""
+    pairs = staged(ids.groupBy("id", "lang").agg(F.sum("size").alias("size")), "language-ids")
     counts = pairs.groupBy("lang").agg(F.count("*").alias("n"))
     bound = F.greatest(F.lit(LEAST_DOCS), F.lit(SAMPLE_DOCS) / F.lit(max(1, counts.count())))
     # A language has about `bound` ids below its share of all hashes; without a sort, nothing meets in one task.
     place = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 40))
-    return pairs.join(F.broadcast(counts), "lang").filter(place.cast("double") * F.col("n") < bound * F.lit(float(1 << 40))).select("id", "lang")
+    joined = pairs.join(F.broadcast(counts), "lang").withColumn("place", place)
+    return joined.filter(F.col("place").cast("double") * F.col("n") < bound * F.lit(float(1 << 40)))
+
+
+def _fitting(chosen: DataFrame) -> list[tuple]:
+    """(id, lang) of the chosen documents that fit the bytes of their language, in the order of their hash."""
+    by: dict[str, list] = {}
+    for r in chosen.select("id", "lang", "size", "place").collect():
+        by.setdefault(r["lang"], []).append((r["place"], r["id"], r["size"]))
+    fits = []
+    for lang, rows in by.items():
+        total = 0
+        for _, i, size in sorted(rows):
+            if not total or total + size <= SAMPLE_BYTES // len(by):
+                fits.append((i, lang))
+                total += size
+    return fits
 
 
 def fit(
     docs: DataFrame, modulus: int, left_out: int,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> Network | None:
-    ids = docs.filter(F.col(f"`{text_col}`") != "").select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"))
+    ids = docs.filter(F.col(f"`{text_col}`") != "").select(
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.octet_length(f"`{text_col}`").cast("long").alias("size")
+    )
     ids = ids.filter(remainder("id", modulus) != left_out).filter("lang IS NOT NULL")
-    chosen = staged(_chosen(ids), "language-chosen")
+    fits = _fitting(staged(_chosen(ids), "language-chosen"))
+    if not fits:
+        return None
+    kind = ids.select("id", "lang").schema
+    chosen = docs.sparkSession.createDataFrame(fits, kind)
     texts = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")
     )
     rows = texts.filter("lang IS NOT NULL AND text <> ''").join(F.broadcast(chosen), ["id", "lang"])
-    got = rows.mapInArrow(_windows, "id long, lang string, window binary").collect()
-    got.sort(key=lambda r: (r["id"], bytes(r["window"]), r["lang"]))
+    got = rows.mapInArrow(_windows, f"id {kind['id'].dataType.simpleString()}, lang string, windows binary").collect()
+    got.sort(key=lambda r: (r["id"], bytes(r["windows"]), r["lang"]))
     languages = sorted({r["lang"] for r in got})
-    if not languages:
-        return None
     number = {lang: i for i, lang in enumerate(languages)}
-    windows = np.frombuffer(b"".join(r["window"] for r in got), np.uint8).reshape(-1, WINDOW)
-    return train(windows, np.array([number[r["lang"]] for r in got]), languages)
+    windows = np.frombuffer(b"".join(r["windows"] for r in got), np.uint8).reshape(-1, WINDOW)
+    sizes = np.array([len(r["windows"]) // WINDOW for r in got])
+    labels = np.repeat([number[r["lang"]] for r in got], sizes)
+    return train(windows, labels, languages, weights_of=np.repeat(1 / sizes, sizes))
 
 
 def _predict(net: Network | None):

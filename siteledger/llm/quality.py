@@ -7,8 +7,9 @@ many documents at once; a document's first line forgets what came before. The ma
 "good", weighted by the length of the line, make the document's quality, and a
 logistic curve turns it into a probability.
 
-Training takes at most SAMPLE_DOCS labelled documents, chosen by a hash of the id, with their first
-SAMPLE_LINES lines each; a line's label is that of its document. Scoring reads whole texts.
+Training takes at most SAMPLE_DOCS labelled documents in the order of a hash of the id, whole ones that have at most
+SAMPLE_LINES lines together (one that no longer fits is left out); a line's label is that of its document. Of
+labels with one id the smallest counts. Scoring reads whole texts of any length.
 
 Defined results: a null or empty text is one empty line and gets a score like any other.
 Rows without a label or with a null one teach nothing; if there are no labels, or all are
@@ -27,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteledger.llm.folds import remainder, sample
+from siteledger.llm.storage import staged
 from siteledger.llm.words import bounds, hashes, pieces, raw
 
-SAMPLE_DOCS, SAMPLE_LINES, STEPS = 3000, 200, 80
+SAMPLE_DOCS, SAMPLE_LINES, STEPS = 3000, 150_000, 80
 #: Kinds of bytes: other, lower, upper, digit, space, stop marks, exclamation, symbol, not ASCII.
 KINDS = np.zeros(256, np.int64)
 KINDS[97:123], KINDS[65:91], KINDS[48:58], KINDS[[32, 9]] = 1, 2, 3, 4
@@ -200,14 +202,11 @@ def train(features: np.ndarray, size: np.ndarray, first: np.ndarray, labels: np.
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled documents as the features of their first lines."""
+    """Labelled documents as the features of their lines."""
     for batch in batches:
         offsets, data = raw(batch.column("text"))
         for i in range(batch.num_rows):
             text = data[offsets[i] : offsets[i + 1]]
-            breaks = np.flatnonzero(text == 10)
-            if len(breaks) >= SAMPLE_LINES:
-                text = text[: breaks[SAMPLE_LINES - 1]]
             x, size, _ = line_features(text, np.array([0, len(text)]))
             yield pa.RecordBatch.from_pydict(
                 {
@@ -228,6 +227,15 @@ def fit(
     chosen = sample(usable.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label")), "id", SAMPLE_DOCS)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").select("id", F.col("label").cast("double"), "text")
+    lines = F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) + 1
+    rows = staged(rows.withColumn("lines", lines), "quality-sample")
+    sizes = rows.groupBy("id", F.xxhash64(F.lit("sample"), "id").alias("place")).agg(F.sum("lines").alias("lines")).collect()
+    fits, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["place"], r["id"])):
+        if total + r["lines"] <= SAMPLE_LINES:
+            fits.append(r["id"])
+            total += r["lines"]
+    rows = rows.filter(F.col("id").isin(fits)).select("id", "label", "text")
     got = rows.mapInArrow(_features, "id long, label double, features binary, size binary").collect()
     # The same order whatever the partitions, so that the same field comes out.
     got.sort(key=lambda r: (r["id"], bytes(r["features"])))

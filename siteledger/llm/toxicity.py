@@ -2,26 +2,29 @@
 
 A token is a word, lower-cased. Its score is the log-odds of toxic against other documents that
 hold it, smoothed by a Dirichlet prior which is centred on the log-odds of the word's beginning
-(eight letters down to three, then all words), so that unseen forms of a toxic stem score as well. Log-odds within CERTAIN standard errors of zero count as zero, and every token costs DRIFT. A linear scan
-finds all maximal segments, those no extension or cut of which scores more. A segment's score S
-in a document of m tokens is set against what chance gives in m tokens by the
-extreme-value law, x = lambda * S - ln(K * m), where lambda solves sum p(s) exp(lambda s) = 1
-over the tokens of non-toxic documents. The r best segments together say the sum of their x plus
-ln(r!); the largest such sum, through a logistic curve, is the document's score. Segments whose x is
-significant come with it, as characters of the text.
-
-Training takes at most SAMPLE_DOCS labelled documents, chosen by a hash of the id. The curve is
-fitted on evidence from models that have not counted the document: one from either half. Near
-copies in the sample are left out of it first. The model has at most MAX_UNITS words and beginnings. Scoring
-reads whole texts.
+(eight letters down to three, then all words), so that unseen forms of a toxic stem score as well. Log-odds within
+CERTAIN standard errors of zero count as zero, and every token costs DRIFT. A linear scan finds all maximal segments,
+those no extension or cut of which scores more. A segment's score S in a document of m tokens is set against what
+chance gives in m tokens by the extreme-value law, x = lambda * S - ln(K * m). lambda solves sum p(s) exp(lambda s) = 1
+over the scores of the tokens of non-toxic sample documents, and K is the likeliest one for their best segments:
+K m exp(-lambda S) has mean 1 under the law. The r best segments together say the sum of their x plus ln(r!); the
+largest such sum, through a logistic curve over its inverse hyperbolic sine (long toxic texts have very large sums), is
+the document's score. Segments whose x is significant come with it, as
+characters of the text.
+
+Training takes at most SAMPLE_DOCS labelled documents, chosen by a hash of the id, and all their words. lambda, K and the
+curve come from models that have not counted the document: one from either half. Near copies in the sample are
+left out of it first. Words longer than LONGEST letters go by their beginning and a digest. Scoring reads whole texts
+of any length.
 
 Defined results: null and empty texts, and texts without a token above zero, score 0. Without
-labels, or if all are alike, all scores are 0. Repeated rows get equal scores; rows with
-a null id are scored and never held out. An empty table gives an empty result.
+labels, or if all are alike, all scores are 0. Of labels with one id the smallest counts. Repeated rows get equal
+scores; rows with a null id are scored and never held out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,12 +40,14 @@ from siteledger.llm.folds import remainder, sample
 from siteledger.llm.storage import staged
 from siteledger.llm.words import LOWER, bounds, hashes, mix, sequences
 
-SAMPLE_DOCS, MAX_UNITS = 30_000, 50_000
+SAMPLE_DOCS = 30_000
 STEMS = (3, 4, 5, 6, 7, 8)
 STRENGTH, DRIFT, CERTAIN = 2.0, 0.5, 3.0
+#: The smallest lambda.
+LEAST_RATE = 1e-3
 TOKEN = re.compile(r"\w+")
-#: Scores remembered by a task, and what counts as chance per token in K.
-KNOWN, K = 200_000, 0.1
+#: Scores remembered by a task, and letters of a word that are kept as they are.
+KNOWN, LONGEST = 200_000, 48
 #: Segments with at least this x are significant: chance gives one in a document of 20.
 SIGNIFICANT = -np.log(-np.log(0.95))
 SEGMENTS = "array<struct<start: long, stop: long, score: double, x: double>>"
@@ -64,6 +69,8 @@ def token_spans(text: str) -> list[tuple[int, int]]:
 
 def units(word: str) -> list[str]:
     """The beginnings of a word, marked by a trailing asterisk, then the word."""
+    if len(word) > LONGEST:
+        word = f"{word[: max(STEMS)]}#{hashlib.sha256(word.encode()).hexdigest()}"
     return [*(word[:n] + "*" for n in STEMS if len(word) > n), word]
 
 
@@ -152,31 +159,35 @@ def log_odds(counts: list[tuple[str, int, int]], toxic: int, other: int) -> dict
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (from, to, score), in one pass over the positive tokens.
+    """All maximal scoring segments (from, to, score), in time linear in the positive tokens.
 
-    Runs of tokens without a positive score only move the running total.
+    Runs of tokens without a positive score only move the running total. Every segment knows the nearest earlier one
+    that starts lower, so those between, which end too low to be joined, are passed in one step.
     """
     total = np.cumsum(scores)
-    found: list[list[float]] = []  # from, to, total before, total after
-    for i in np.flatnonzero(scores > 0).tolist():
-        one = [i, i + 1, total[i] - scores[i], total[i]]
-        while found:
-            # The last earlier segment that starts lower; those passed end too low to join.
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= one[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= one[3]:
+    places = np.flatnonzero(scores > 0)
+    after = total[places]
+    before = after - scores[places]
+    found: list[tuple[int, int, float, float, int]] = []  # from, to, total before, total after, the nearest that starts lower
+    for at, low, high in zip(places.tolist(), before.tolist(), after.tolist(), strict=True):
+        start, last = at, len(found) - 1
+        while True:
+            while last >= 0 and found[last][2] >= low:
+                last = found[last][4]
+            if last < 0 or found[last][3] >= high:
                 break
-            one = [found[j][0], one[1], found[j][2], one[3]]
-            del found[j:]
-        found.append(one)
-    return [(int(a), int(b), float(after - before)) for a, b, before, after in found]
+            start, low, last_of = found[last][0], found[last][2], found[last][4]
+            del found[last:]
+            last = last_of
+        found.append((start, at + 1, low, high, last))
+    return [(a, b, high - low) for a, b, low, high, _ in found]
 
 
 @dataclass
 class Model:
     odds: dict[str, float]
     rate: float = 1.0
+    base: float = 0.1
     curve: tuple[float, float] = (1.0, 0.0)
     scores: Scores = field(init=False)
 
@@ -191,7 +202,7 @@ class Model:
 
     def chance(self, score: float | np.ndarray, m: int) -> float | np.ndarray:
         """x of a segment's score in m tokens."""
-        return self.rate * score - np.log(K * m + 1)
+        return self.rate * score - np.log(self.base * m + 1)
 
     def together(self, m: int, found: list[tuple[int, int, float]]) -> float | None:
         """What the best segments say together; None without one."""
@@ -210,7 +221,7 @@ class Model:
         if x is None:
             return 0.0, []
         a, b = self.curve
-        score = float(1 / (1 + np.exp(-np.clip(a * x + b, -30, 30))))
+        score = float(1 / (1 + np.exp(-np.clip(a * np.arcsinh(x) + b, -30, 30))))
         marked = [(i, j, s, float(v)) for i, j, s in found if (v := self.chance(s, m)) >= SIGNIFICANT]
         at = token_spans(text) if marked else []
         return score, [{"start": at[i][0], "stop": at[j - 1][1], "score": s, "x": v} for i, j, s, v in marked]
@@ -219,19 +230,29 @@ class Model:
         return self.judged(text)[0]
 
 
-def chance_rate(odds: dict[str, float], null: dict[str, int], total: int) -> float:
-    """lambda: the positive root of sum p(s) exp(lambda s) = 1 over non-toxic tokens."""
-    s = np.array([v - DRIFT for v in odds.values() if v > DRIFT])
-    p = np.array([null.get(u, 0) + 0.5 for u, v in odds.items() if v > DRIFT]) / max(total, 1)
-    if not len(s):
+def chance_rate(scores: np.ndarray, counts: np.ndarray) -> float:
+    """lambda: the positive root of sum p(s) exp(lambda s) = 1 over token scores and how often they occur.
+
+    1 if no token scores above zero; the smallest rate if the mean is not below zero, where there is no root.
+    """
+    if not len(scores) or scores.max() <= 0:
         return 1.0
-    p *= min(1.0, 0.5 / p.sum())
-    low, high = 0.0, 20.0
+    p = counts / counts.sum()
+    if (p * scores).sum() >= 0:
+        return LEAST_RATE
+    low, high = 0.0, 1.0
+    while (p * np.exp(high * scores)).sum() < 1:
+        low, high = high, 2 * high
     for _ in range(60):
         mid = (low + high) / 2
-        value = (1 - p.sum()) * np.exp(-mid * DRIFT) + (p * np.exp(mid * s)).sum()
-        low, high = (mid, high) if value < 1 else (low, mid)
-    return max(low, 1e-3)
+        low, high = (mid, high) if (p * np.exp(mid * scores)).sum() < 1 else (low, mid)
+    return max(low, LEAST_RATE)
+
+
+def chance_base(rate: float, best: np.ndarray, m: np.ndarray) -> float:
+    """K: the likeliest one for the best segments of documents of m tokens, as K m exp(-lambda S) has mean 1."""
+    total = float((m * np.exp(-rate * best)).sum())
+    return len(best) / total if total > 0 else 0.1
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -258,11 +279,51 @@ def _evidence(models: dict[int, Model]):
     return run
 
 
+def _chance(models: dict[int, Model]):
+    """Of the non-toxic documents of either half, by the model of the other: token scores, and best segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            halves, best = batch.column("half").to_pylist(), []
+            for text, half in zip(batch.column("text"), halves, strict=True):
+                words = tokens(text.as_py() or "")
+                scores = np.fromiter(map(models[1 - half].scores.__getitem__, words), float, len(words))
+                values, n = np.unique(scores, return_counts=True)
+                seen.update({(half, v): c for v, c in zip(values.tolist(), n.tolist(), strict=True)})
+                if words:
+                    best.append((half, max((s for _, _, s in segments(scores)), default=0.0), len(words)))
+            yield pa.RecordBatch.from_pydict(
+                {"half": [h for h, _, _ in best], "score": [s for _, s, _ in best], "n": [m for _, _, m in best], "kind": ["best"] * len(best)},
+                _CHANCE,
+            )
+        yield pa.RecordBatch.from_pydict(
+            {"half": [h for h, _ in seen], "score": [s for _, s in seen], "n": [*seen.values()], "kind": ["token"] * len(seen)}, _CHANCE
+        )
+
+    return run
+
+
+_CHANCE = pa.schema([("half", pa.int32()), ("score", pa.float64()), ("n", pa.int64()), ("kind", pa.string())])
+
+
+def _set_chance(models: dict[int, Model], whole: Model, rows: DataFrame) -> None:
+    """Sets lambda and K of the half models from each other's documents, and of the whole one between them."""
+    got = rows.filter("label <= 0").mapInArrow(_chance(models), "half int, score double, n long, kind string")
+    tokens_ = got.filter("kind = 'token'").groupBy("half", "score").agg(F.sum("n").alias("n")).collect()
+    best = got.filter("kind = 'best'").collect()
+    for half, model in models.items():
+        # The model of one half is judged on the other.
+        some = np.array(sorted((r["score"], r["n"]) for r in tokens_ if r["half"] != half), float).reshape(-1, 2)
+        model.rate = chance_rate(*some.T)
+        some = np.array(sorted((r["score"], r["n"]) for r in best if r["half"] != half), float).reshape(-1, 2)
+        model.base = chance_base(model.rate, *some.T)
+    whole.rate = float(np.mean([m.rate for m in models.values()]))
+    whole.base = float(np.exp(np.mean([np.log(m.base) for m in models.values()])))
+
+
 def _model(counts: list[tuple[str, int, int]], toxic: int, other: int) -> Model:
-    counts = [c for c in counts if c[1] >= 2 and c[1] * other >= 2 * c[2] * toxic]
-    counts = sorted(counts, key=lambda c: (-c[1], c[0]))[:MAX_UNITS]
-    odds = log_odds(counts, toxic, other)
-    return Model(odds, chance_rate(odds, {u: n0 for u, _, n0 in counts}, 200 * other))
+    return Model(log_odds([c for c in counts if c[1] >= 2 and c[1] * other >= 2 * c[2] * toxic], toxic, other))
 
 
 def fit(
@@ -288,17 +349,16 @@ def fit(
     sums = rows.mapInArrow(_counts, "half int, unit string, n1 long, n0 long").groupBy("unit").agg(
         *(F.sum(F.expr(f"IF(half = {h}, {n}, 0)")).alias(f"{n}_{h}") for h in (0, 1) for n in ("n1", "n0"))
     )
-    # Only units at least 1.5 times as frequent in toxic documents can matter; the most telling first.
+    # Only units at least 1.5 times as frequent in toxic documents can matter. As many as the bounded sample has.
     telling = sums.filter(F.expr(f"n1_0 + n1_1 >= 2 AND 2 * (n1_0 + n1_1) * {other} >= 3 * (n0_0 + n0_1) * {toxic}"))
-    got = telling.orderBy(F.desc(F.expr("n1_0 + n1_1")), "unit").limit(2 * MAX_UNITS).collect()
+    got = telling.collect()
     model = _model([(r["unit"], r["n1_0"] + r["n1_1"], r["n0_0"] + r["n0_1"]) for r in got], toxic, other)
     halves = {h: _model([(r["unit"], r[f"n1_{h}"], r[f"n0_{h}"]) for r in got], size(h, 1), size(h, 0)) for h in (0, 1)}
-    for half in halves.values():
-        half.rate = model.rate
+    _set_chance(halves, model, rows)
     seen = rows.mapInArrow(_evidence(halves), "label int, x double").filter("x IS NOT NULL").collect()
     if seen:
         x, y = np.array(sorted((r["x"], int(r["label"] > 0)) for r in seen), float).T
-        model.curve = logistic(x, y)
+        model.curve = logistic(np.arcsinh(x), y)
     return model
 
 
