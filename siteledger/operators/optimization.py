@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siteledger.functions.numbers import NUMBER_PATTERN
+from siteledger.functions.variants import leaf_amount, leaf_text
 from siteledger.operators.portfolio import WORTH
 from siteledger.rules import WEEK_DAYS, Rules
 
@@ -173,12 +174,8 @@ def insight_views(docs: DataFrame) -> DataFrame:
     place numbers the records of a list from 1 and is NULL for the summary. A field that is a number has an amount,
     all others their text; nested values are JSON text.
     """
-    kind = "schema_of_variant(e.value)"
-    is_number = f"({kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR {kind} LIKE 'DECIMAL%')"
     fields = (
-        "doc_id", "section", "place", "e.key AS field",
-        f"IF({is_number}, NULL, try_variant_get(e.value, '$', 'string')) AS text",
-        f"IF({is_number}, try_variant_get(e.value, '$', 'double'), NULL) AS amount",
+        "doc_id", "section", "place", "e.key AS field", f"{leaf_text('e.value')} AS text", f"{leaf_amount('e.value')} AS amount",
     )
     summary = _opened(docs).selectExpr("doc_id", "'executive_summary' AS section", "CAST(NULL AS BIGINT) AS place", "variant_get(d, '$.executive_summary') AS item")
     for section in INSIGHTS:

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siteledger.functions.sql import dollars, exact_sum, fixed, half_even, percent, ratio, text_list
+from siteledger.functions.variants import is_kind, leaf_amount, leaf_text
 from siteledger.operators.evidence import billing_summary_text
 from siteledger.operators.recovery import stage_case
 from siteledger.rules import Rules
@@ -197,6 +198,32 @@ def nested_packet(packet: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+def packet_leaves(documents: DataFrame) -> DataFrame:
+    """Every value of the packet documents as a row: project_id, section, field, place, text, amount.
+
+    An array has one row with its length and one per item, whose place counts from 1; a map has one row per entry,
+    with the field's name before the entry's. Null values are rows with neither text nor amount.
+    """
+    sections = documents.selectExpr(
+        "project_id", "explode(map_entries(try_cast(try_parse_json(packet) AS MAP<STRING, VARIANT>))) AS s"
+    )
+    fields = sections.selectExpr(
+        "project_id", "s.key AS section", "explode(map_entries(try_cast(s.value AS MAP<STRING, VARIANT>))) AS f"
+    )
+    items, entries = "try_cast(f.value AS ARRAY<VARIANT>)", "map_entries(try_cast(f.value AS MAP<STRING, VARIANT>))"
+    leaf = lambda x: f"{leaf_text(x)} AS text, {leaf_amount(x)} AS amount"
+    none = "CAST(NULL AS BIGINT) AS place"
+    rows = (
+        f"CASE WHEN {is_kind('f.value', 'ARRAY')} THEN concat("
+        f"array(struct(f.key AS field, {none}, CAST(NULL AS STRING) AS text, CAST(size({items}) AS DOUBLE) AS amount)), "
+        f"transform({items}, (x, i) -> struct(f.key AS field, CAST(i + 1 AS BIGINT) AS place, {leaf('x')}))) "
+        f"WHEN {is_kind('f.value', 'OBJECT')} THEN "
+        f"transform({entries}, e -> struct(f.key || '.' || e.key AS field, {none}, {leaf('e.value')})) "
+        f"ELSE array(struct(f.key AS field, {none}, {leaf('f.value')})) END"
+    )
+    return fields.selectExpr("project_id", "section", f"inline({rows})")
+
+
 def legacy_packet(flagged: DataFrame, rules: Rules) -> DataFrame:
     """Packet fields from a flagged row alone, on a 0-1 scale."""
     billed = "CASE WHEN billing_data_available THEN pct_billed END"

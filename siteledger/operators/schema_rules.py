@@ -20,6 +20,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteledger.functions.variants import is_kind, is_number
+
 Schema = Mapping[str, object]
 
 _BROKEN = "ARRAY<STRUCT<path: STRING, rule: STRING>>"
@@ -34,10 +36,6 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _number(kind: str) -> str:
-    return f"({kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR {kind} LIKE 'DECIMAL%')"
-
-
 def _is(name: str, value: str) -> str:
     """Whether a VARIANT is of a type of the schema language."""
     kind = f"schema_of_variant({value})"
@@ -45,11 +43,11 @@ def _is(name: str, value: str) -> str:
     if name in simple:
         return f"{kind} = '{simple[name]}'"
     if name == "number":
-        return _number(kind)
+        return is_number(value)
     if name == "integer":
         real = f"try_cast({value} AS DOUBLE)"
-        return f"({kind} = 'BIGINT' OR {_number(kind)} AND {real} = floor({real}))"
-    return f"{kind} LIKE '{ {'object': 'OBJECT', 'array': 'ARRAY'}[name] }%'"
+        return f"({kind} = 'BIGINT' OR {is_number(value)} AND {real} = floor({real}))"
+    return is_kind(value, {"object": "OBJECT", "array": "ARRAY"}[name])
 
 
 def _field(value: str, name: str) -> str:
@@ -74,7 +72,7 @@ def broken(schema: Schema, value: str = "doc", path: str = "'$'", depth: int = 0
     if "enum" in schema:
         words = ", ".join(_text(json.dumps(w)) for w in schema["enum"])
         rules.append(_rule(f"to_json({value}) NOT IN ({words})", path, "enum"))
-    real = f"{_number(f'schema_of_variant({value})')} AND try_cast({value} AS DOUBLE)"
+    real = f"{is_number(value)} AND try_cast({value} AS DOUBLE)"
     for name, sign in (("minimum", "<"), ("maximum", ">")):
         if name in schema:
             rules.append(_rule(f"{real} {sign} {float(schema[name])!r}D", path, name))

@@ -350,9 +350,42 @@ def _manifest(p: Portfolio) -> DataFrame:
 query("packets_and_manifest", _manifest, """
 SELECT project_id, project_name, project_stage,
   (SELECT COUNT(*) FROM v_packet) AS project_count FROM v_packet""", share=True)
-catalog.query("project_packet_documents",
-              lambda p: writers.packet_documents(packets.nested_packet(p.packet, p.row_counts)),
-              share=True)
+
+
+def _unfolded() -> str:
+    """Every field of `v_packet` as the rows that its place in the document gives."""
+    lists = ("missing_scope_signals", "top_cost_codes", "top_sov_variances", "schedule_pressure_signals",
+             "notable_events", "recovery_paths_available")
+    texts = ("project_id", "project_name", "project_stage", "customer", "delivery_status", "delivery_clustering_signal",
+             "field_notes_summary", "rfi_summary", "change_order_summary", "billing_notes_summary",
+             "largest_variance_bucket", "is_billing_nearly_complete", "is_project_effectively_complete")
+    parts = []
+    for section, columns in packets.SECTIONS.items():
+        for name in (c.rpartition(" AS ")[2] for c in columns):
+            head = f"SELECT project_id, '{section}' AS section, '{name}' AS field"
+            if name in lists:
+                # Notes may hold the separator, so their lists are taken before they are joined.
+                notes = name in ("missing_scope_signals", "notable_events")
+                items = (f"COALESCE({name}_list, [])" if notes else
+                         f"CASE WHEN {name} = '' THEN [] ELSE string_split({name}, ' | ') END")
+                known = "v_packet LEFT JOIN v_p_note_lists USING (project_id)" if notes else "v_packet"
+                parts.append(f"{head}, NULL::BIGINT AS place, NULL::VARCHAR AS text, len({items})::DOUBLE AS amount FROM {known}")
+                parts.append(f"{head}, UNNEST(RANGE(1, len({items}) + 1)), UNNEST({items}), NULL FROM {known}")
+            elif name in texts:
+                parts.append(f"{head}, NULL::BIGINT AS place, {name}::VARCHAR AS text, NULL::DOUBLE AS amount FROM v_packet")
+            else:
+                parts.append(f"{head}, NULL, NULL, {name}::DOUBLE FROM v_packet")
+    trace = "SELECT r.project_id, 'source_trace' AS section"
+    known = "v_table_rows r JOIN v_packet USING (project_id)"
+    parts.append(f"{trace}, 'row_counts.' || table_name, NULL, NULL, row_count::DOUBLE FROM {known}")
+    parts.append(f"{trace}, 'tables_used', ROW_NUMBER() OVER (PARTITION BY r.project_id ORDER BY table_name), table_name, NULL FROM {known}")
+    parts.append(f"{trace}, 'tables_used', NULL, NULL, COUNT(*)::DOUBLE FROM {known} GROUP BY 1")
+    return "\nUNION ALL ".join(parts)
+
+
+query("project_packet_documents",
+      lambda p: packets.packet_leaves(writers.packet_documents(packets.nested_packet(p.packet, p.row_counts))),
+      _unfolded(), share=True)
 
 # ---- documents ----------------------------------------------------------------------------
 

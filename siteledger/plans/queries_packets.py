@@ -135,25 +135,30 @@ view("v_p_top_notes", """
 SELECT project_id, date, content, note_score, rn AS note_rank FROM (SELECT *, ROW_NUMBER() OVER
   (PARTITION BY project_id ORDER BY note_score DESC, date DESC, content) AS rn
   FROM v_p_note_scores) WHERE rn <= 6""")
-view("v_p_notes", f"""
+view("v_p_note_firsts", f"""
 WITH told AS (SELECT project_id, note_rank, {_SNIP} AS snippet,
     ({_note_score('clean')}) > 0 AS notable, {has_any('clean', ISSUE_KEYWORDS['owner_scope'])} AS scope
   FROM (SELECT *, {_CLEAN} AS clean FROM v_p_top_notes) WHERE clean <> ''),
 numbered AS (SELECT *,
     CASE WHEN notable THEN SUM(notable::INT) OVER w END AS nn,
     CASE WHEN scope THEN SUM(scope::INT) OVER w END AS ns
-  FROM told WINDOW w AS (PARTITION BY project_id ORDER BY note_rank ROWS UNBOUNDED PRECEDING)),
-firsts AS (SELECT *,
-    ROW_NUMBER() OVER (PARTITION BY project_id, notable, snippet ORDER BY note_rank) AS dn,
-    ROW_NUMBER() OVER (PARTITION BY project_id, scope, snippet ORDER BY note_rank) AS ds
-  FROM numbered)
+  FROM told WINDOW w AS (PARTITION BY project_id ORDER BY note_rank ROWS UNBOUNDED PRECEDING))
+SELECT *,
+  ROW_NUMBER() OVER (PARTITION BY project_id, notable, snippet ORDER BY note_rank) AS dn,
+  ROW_NUMBER() OVER (PARTITION BY project_id, scope, snippet ORDER BY note_rank) AS ds
+FROM numbered""")
+view("v_p_notes", """
 SELECT project_id, string_agg(snippet, ' | ' ORDER BY note_rank) FILTER (nn <= 3)
     AS field_notes_summary,
   COALESCE(string_agg(snippet, ' | ' ORDER BY note_rank) FILTER (ns <= 5 AND ds = 1), '')
     AS missing_scope_signals,
   COALESCE(string_agg(snippet, ' | ' ORDER BY note_rank) FILTER (nn <= 5 AND dn = 1), '')
     AS notable_events
-FROM firsts GROUP BY 1""")
+FROM v_p_note_firsts GROUP BY 1""")
+view("v_p_note_lists", """
+SELECT project_id, list(snippet ORDER BY note_rank) FILTER (ns <= 5 AND ds = 1) AS missing_scope_signals_list,
+  list(snippet ORDER BY note_rank) FILTER (nn <= 5 AND dn = 1) AS notable_events_list
+FROM v_p_note_firsts GROUP BY 1""")
 view("v_p_hits", f"""
 SELECT project_id, COUNT(*) FILTER ({has_any('content', SCHEDULE_NOTE_WORDS)}) AS note_hits
 FROM v_field_notes GROUP BY 1""")
@@ -316,7 +321,8 @@ _ROWS = " UNION ALL ".join(
         "billing_line_items": "v_billing_line_items", "field_notes": "v_field_notes",
     }.items()
 )
-query("row_counts", lambda p: p.row_counts, _ROWS)
+view("v_table_rows", _ROWS)
+query("row_counts", lambda p: p.row_counts, "SELECT * FROM v_table_rows")
 
 # ---- legacy and hybrid packets -----------------------------------------------------------------
 
