@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,77 +88,53 @@ def labor_project_week_summary(cube: DataFrame) -> DataFrame:
     return _labor_rollup(cube, ["project_id", "week_start"], _LABOR_COUNTS)
 
 
-def delivery_cube(material: DataFrame) -> DataFrame:
-    """Deliveries by project, line, week, category and vendor: all but the ids.
-
-    Every material summary is a roll-up of this table, as the labor ones are of theirs.
-    """
-    total = lambda c, alias: f"SUM(CAST({c} AS DECIMAL(28,6))) AS {alias}"
+def delivery_costs(material: DataFrame) -> DataFrame:
+    """Cost of deliveries by project, line and week: all that the cost readers need, one narrow table for all of them."""
     return _by(
-        material.selectExpr("*", f"{MONDAY.format('date')} AS week_start"),
-        ["project_id", "sov_line_id", "week_start", "material_category", "vendor"],
-        "count(1) AS n",
-        total("quantity", "quantity"),
-        total("unit_cost", "unit_cost"),
-        "count(unit_cost) AS priced",
-        total("total_cost", "cost"),
-        "min(date) AS first_date",
-        "max(date) AS last_date",
+        material.selectExpr("project_id", "sov_line_id", f"{MONDAY.format('date')} AS week_start", "total_cost"),
+        ["project_id", "sov_line_id", "week_start"],
+        "SUM(CAST(total_cost AS DECIMAL(28,6))) AS cost",
     )
 
 
-def delivery_ids(material: DataFrame) -> DataFrame:
-    """Each delivery id once per project, line and week."""
-    return material.selectExpr(
-        "project_id", "sov_line_id", f"{MONDAY.format('date')} AS week_start", "delivery_id"
-    ).distinct()
-
+def material_cost(costs: DataFrame, keys: list[str]) -> DataFrame:
+    return _by(costs, keys, "CAST(sum(cost) AS DOUBLE) AS total_material_cost")
 
-def material_cost(cube: DataFrame, keys: list[str]) -> DataFrame:
-    return _by(cube, keys, "CAST(sum(cost) AS DOUBLE) AS total_material_cost")
 
+def _material_rollup(material: DataFrame, keys: list[str], distinct: dict[str, str]) -> DataFrame:
+    """Sums and exact distinct counts by `keys`, straight from the deliveries.
 
-def _material_rollup(
-    cube: DataFrame, ids: DataFrame, keys: list[str], distinct: dict[str, str]
-) -> DataFrame:
-    """Ids are nearly unique, so they are counted apart: next to other distinct counts Spark
-    would copy every delivery once per counted column."""
-    counted = _by(
-        ids.select(*keys, "delivery_id").distinct(), keys,
-        "count(delivery_id) AS num_unique_deliveries",
-    )
-    rolled = _by(
-        cube, keys,
-        "sum(n) AS num_deliveries",
-        *_distinct_counts(distinct),
-        "CAST(sum(quantity) AS DOUBLE) AS total_quantity",
-        f"{ratio('sum(unit_cost)', 'sum(priced)')} AS avg_unit_cost",
-        "CAST(sum(cost) AS DOUBLE) AS total_material_cost",
-        "min(first_date) AS first_delivery_date",
-        "max(last_date) AS last_delivery_date",
-    )
-    # Weeks may be NULL: both sides have the same groups, so NULL meets NULL.
-    same = reduce(and_, [rolled[k].eqNullSafe(counted[k]) for k in keys])
-    first, *rest = [c for c in rolled.columns if c not in keys]
-    return rolled.join(counted, same).select(
-        *[rolled[k] for k in keys], first, "num_unique_deliveries", *rest
-    )
+    Spark copies a row once per counted column, and each copy carries that column alone. Copies combine in
+    their task before the shuffle: the sums to a row per group, lines, categories and vendors to a row per value.
+    Only the ids, which are nearly unique, travel in full, as (group, id). A cube of all counted columns would be
+    as long and as wide as the deliveries, and a second pass over the ids would come on top.
+    """
+    return _by(
+        material.selectExpr("*", f"{MONDAY.format('date')} AS week_start"), keys,
+        "count(1) AS num_deliveries",
+        *_distinct_counts({"delivery_id": "num_unique_deliveries", **distinct}),
+        f"{exact_sum('quantity')} AS total_quantity",
+        f"{ratio('SUM(CAST(unit_cost AS DECIMAL(28,6)))', 'COUNT(unit_cost)')} AS avg_unit_cost",
+        f"{exact_sum('total_cost')} AS total_material_cost",
+        "min(date) AS first_delivery_date",
+        "max(date) AS last_delivery_date",
+    )
 
 
 _MATERIAL_COUNTS = {"material_category": "num_material_categories", "vendor": "num_vendors"}
 _MATERIAL_LINES = {**_MATERIAL_COUNTS, "sov_line_id": "num_sov_lines"}
 
 
-def material_project_summary(cube: DataFrame, ids: DataFrame) -> DataFrame:
-    return _material_rollup(cube, ids, ["project_id"], _MATERIAL_LINES)
+def material_project_summary(material: DataFrame) -> DataFrame:
+    return _material_rollup(material, ["project_id"], _MATERIAL_LINES)
 
 
-def material_project_sov_summary(cube: DataFrame, ids: DataFrame) -> DataFrame:
-    return _material_rollup(cube, ids, ["project_id", "sov_line_id"], _MATERIAL_COUNTS)
+def material_project_sov_summary(material: DataFrame) -> DataFrame:
+    return _material_rollup(material, ["project_id", "sov_line_id"], _MATERIAL_COUNTS)
 
 
-def material_project_week_summary(cube: DataFrame, ids: DataFrame) -> DataFrame:
-    return _material_rollup(cube, ids, ["project_id", "week_start"], _MATERIAL_LINES)
+def material_project_week_summary(material: DataFrame) -> DataFrame:
+    return _material_rollup(material, ["project_id", "week_start"], _MATERIAL_LINES)
 
 
 STATUS = "lower(trim(status))"

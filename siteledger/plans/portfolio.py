@@ -90,36 +90,32 @@ class Portfolio:
         return summaries.labor_project_week_summary(self.labor_cube)
 
     @cached_property
-    def delivery_cube(self) -> DataFrame:
-        return self._stage(summaries.delivery_cube(self.materials_valid))
-
-    @cached_property
-    def delivery_ids(self) -> DataFrame:
-        return self._stage(summaries.delivery_ids(self.materials_valid))
+    def delivery_costs(self) -> DataFrame:
+        return self._stage(summaries.delivery_costs(self.materials_valid))
 
     @cached_property
     def material_project_cost(self) -> DataFrame:
-        return summaries.material_cost(self.delivery_cube, ["project_id"])
+        return summaries.material_cost(self.delivery_costs, ["project_id"])
 
     @cached_property
     def material_sov_cost(self) -> DataFrame:
-        return summaries.material_cost(self.delivery_cube, ["project_id", "sov_line_id"])
+        return summaries.material_cost(self.delivery_costs, ["project_id", "sov_line_id"])
 
     @cached_property
     def material_week_cost(self) -> DataFrame:
-        return summaries.material_cost(self.delivery_cube, ["project_id", "week_start"])
+        return summaries.material_cost(self.delivery_costs, ["project_id", "week_start"])
 
     @cached_property
     def material_project(self) -> DataFrame:
-        return summaries.material_project_summary(self.delivery_cube, self.delivery_ids)
+        return summaries.material_project_summary(self.materials_valid)
 
     @cached_property
     def material_sov(self) -> DataFrame:
-        return summaries.material_project_sov_summary(self.delivery_cube, self.delivery_ids)
+        return summaries.material_project_sov_summary(self.materials_valid)
 
     @cached_property
     def material_week(self) -> DataFrame:
-        return summaries.material_project_week_summary(self.delivery_cube, self.delivery_ids)
+        return summaries.material_project_week_summary(self.materials_valid)
 
     @cached_property
     def change_summary(self) -> DataFrame:

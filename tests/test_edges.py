@@ -281,7 +281,7 @@ def test_indented_json_array(spark, tmp_path):
     assert [r.x for r in got] == ["1", "2"]
 
 
-def test_delivery_rollups_expand_no_deliveries(spark):
+def test_delivery_rollups_shuffle_ids_once(spark):
     rows = [
         ("P1", "L1", dt.date(2024, 1, 2), "D1", "Steel", "V1", 2.0, 3.0, 6.0),
         ("P1", "L1", dt.date(2024, 1, 3), "D1", "Steel", "V2", 1.0, None, 5.0),
@@ -293,18 +293,21 @@ def test_delivery_rollups_expand_no_deliveries(spark):
         "project_id string, sov_line_id string, date date, delivery_id string, material_category string, "
         "vendor string, quantity double, unit_cost double, total_cost double",
     )
-    cube, ids = summaries.delivery_cube(table), summaries.delivery_ids(table)
-    got = summaries.material_project_summary(cube, ids)
+    got = summaries.material_project_summary(table)
     r = got.first()
     assert (r.num_deliveries, r.num_unique_deliveries, r.num_sov_lines) == (4, 2, 2)
     assert (r.num_material_categories, r.num_vendors, r.total_quantity) == (2, 2, 4.0)
     assert (r.avg_unit_cost, r.total_material_cost) == (5 / 3, 1e12 + 12)
-    weeks = {x.week_start: x for x in summaries.material_project_week_summary(cube, ids).collect()}
+    weeks = {x.week_start: x for x in summaries.material_project_week_summary(table).collect()}
     assert weeks[None].num_unique_deliveries == 1 and weeks[None].num_deliveries == 2
     assert weeks[dt.date(2024, 1, 1)].num_unique_deliveries == 1
-    # What Spark copies per counted column are cube rows, which no longer carry an id.
-    copied = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Expand" in x]
-    assert all("delivery_id" not in x for x in copied)
+    # One shuffle of combined copies, one of the sums per group.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
+    costs = summaries.delivery_costs(table)
+    assert summaries.material_cost(costs, ["project_id"]).first().total_material_cost == 1e12 + 12
+    plan = summaries.material_cost(costs, ["project_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "vendor" not in plan.split("Scan")[0] and plan.count("Exchange hashpartitioning") <= 2
 
 
 def test_labor_quality_counts_what_cleaning_keeps(spark):
