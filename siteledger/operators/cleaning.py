@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siteledger.functions.numbers import count_when
@@ -20,17 +21,22 @@ def normalize_category(name: str = "material_category") -> str:
     return mapped(name, CATEGORY_MAP)
 
 
+def first_by_date(columns: list[str]) -> list[Column]:
+    """The order of the rows of a log id: by date, then by all other columns."""
+    rest = [c for c in columns if c not in ("log_id", "date")]
+    return [F.col(c).asc_nulls_last() for c in ["date", *rest]]
+
+
 def dedup_labor(labor: DataFrame) -> DataFrame:
     """First row per log id by date; all other columns break ties.
 
     The `row <= 1` filter lets Spark keep one row per log id on each task before
     the shuffle, so a log id repeated a billion times still costs one row a task.
     """
-    rest = [c for c in labor.columns if c not in ("log_id", "date")]
-    order = ", ".join(f"{c} ASC NULLS LAST" for c in ["date", *rest])
+    first = W.partitionBy("log_id").orderBy(*first_by_date(labor.columns))
     return (
         labor.filter("log_id IS NOT NULL")
-        .selectExpr("*", f"row_number() OVER (PARTITION BY log_id ORDER BY {order}) AS _row")
+        .withColumn("_row", F.row_number().over(first))
         .filter("_row <= 1")
         .drop("_row")
     )

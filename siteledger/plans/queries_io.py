@@ -465,8 +465,15 @@ def _run(p: Portfolio, stream: DataFrame) -> DataFrame:
 
 
 def _stream_dedup(p: Portfolio) -> DataFrame:
-    _, stream = _labor_files(p, p.tables["labor_logs"])
-    return _run(p, jobs.stream_labor_dedup(stream)).select("log_id")
+    """The log arrives in three files, its latest days first."""
+    spark, labor = _spark(p), p.tables["labor_logs"].filter("log_id IS NOT NULL")
+    path, root, state = (scratch_path(spark, n) for n in ("labor-files", "labor-first", "state"))
+    table = jobs.first_rows(spark, root, labor.schema, 8)
+    for days in ("date >= DATE '1999-01-01'", "date < DATE '1999-01-01' AND date >= DATE '1997-01-01'",
+                 "date IS NULL OR date < DATE '1997-01-01'"):
+        labor.filter(days).write.mode("append").parquet(path)
+        jobs.merge_stream(spark.readStream.schema(labor.schema).parquet(path), table, state)
+    return table.read()
 
 
 def _stream_weekly(p: Portfolio) -> DataFrame:
@@ -477,15 +484,16 @@ def _stream_weekly(p: Portfolio) -> DataFrame:
 def _stream_refresh(p: Portfolio) -> DataFrame:
     """Two refreshes: stale costs first, then the real ones."""
     spark, path = _spark(p), scratch_path(_spark(p), "weekly-files")
-    table, state = scratch_path(spark, "weekly"), scratch_path(spark, "state")
+    root, state = scratch_path(spark, "weekly"), scratch_path(spark, "state")
     weeks = p.labor_week.select("project_id", "week_start", "total_labor_cost")
+    table = jobs.refreshed(spark, root, weeks.schema, ["project_id", "week_start"], 8)
     for version in (weeks.withColumn("total_labor_cost", F.lit(0.0)), weeks):
         version.write.mode("append").parquet(path)
-        jobs.stream_refresh(spark.readStream.schema(weeks.schema).parquet(path), table, state)
-    return jobs.read_refreshed(spark, table, ["project_id", "week_start"])
+        jobs.merge_stream(spark.readStream.schema(weeks.schema).parquet(path), table, state)
+    return table.read().drop("batch_id")
 
 
-query("stream_labor_dedup", _stream_dedup, "SELECT log_id FROM v_labor_first")
+query("stream_labor_dedup", _stream_dedup, "SELECT * FROM v_labor_first")
 query("stream_weekly_cost", _stream_weekly, """
 SELECT project_id, week_start, total_labor_cost FROM v_labor_week
 WHERE week_start + 7 <= (SELECT MAX(date) FROM v_labor) - 7""")

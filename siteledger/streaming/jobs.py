@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteledger.functions.numbers import labor_cost_decimal
+from siteledger.operators.cleaning import first_by_date
+from siteledger.streaming.store import BUCKETS, KeyedTable
 
 
 def labor_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -57,18 +58,16 @@ def run_available(stream: DataFrame, out: str, state: str) -> None:
     )
 
 
-def stream_refresh(updates: DataFrame, table: str, state: str) -> None:
-    """Upsert by merge on read: each batch writes one partition of `table`.
+def merge_stream(updates: DataFrame, table: KeyedTable, state: str) -> None:
+    """Merges what is there into `table`, batch by batch, and stops."""
 
-    A batch that is run again overwrites its own partition, so a restart changes
-    nothing, and no batch rewrites what earlier ones wrote.
-    """
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        if "batch_id" in table.schema.names:
+            batch = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        table.merge(batch, batch_id)
 
     (
-        updates.writeStream.foreachBatch(upsert)
+        updates.writeStream.foreachBatch(merge)
         .option("checkpointLocation", state)
         .trigger(availableNow=True)
         .start()
@@ -76,12 +75,17 @@ def stream_refresh(updates: DataFrame, table: str, state: str) -> None:
     )
 
 
-def read_refreshed(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
-    """The newest version of every key."""
-    newest = W.partitionBy(*keys).orderBy(F.col("batch_id").desc())
-    return (
-        spark.read.parquet(table)
-        .withColumn("_row", F.row_number().over(newest))
-        .filter("_row <= 1")
-        .drop("_row", "batch_id")
-    )
+def first_rows(spark: SparkSession, root: str, schema: T.StructType, buckets: int = BUCKETS) -> KeyedTable:
+    """A table that keeps of every log id the row that batch duplicate removal keeps: the earliest by date.
+
+    Unlike `stream_labor_dedup`, which gives out the first row to arrive and forgets ids after its delay, the row
+    may be replaced when an earlier one comes late.
+    """
+    return KeyedTable(spark, root, schema, ["log_id"], first_by_date(schema.names), buckets)
+
+
+def refreshed(spark: SparkSession, root: str, schema: T.StructType, keys: list[str], buckets: int = BUCKETS) -> KeyedTable:
+    """A table of the newest version of every key; within a batch the least row in the order of all columns."""
+    order = [F.col("batch_id").desc(), *(F.col(f"`{c}`").asc_nulls_last() for c in schema.names)]
+    whole = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    return KeyedTable(spark, root, whole, keys, order, buckets)
