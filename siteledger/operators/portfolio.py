@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siteledger.functions.sql import exact_mean, exact_sum, sector
 from siteledger.rules import (
-    SECTORS_PORTFOLIO, SECTORS_PORTFOLIO_DEFAULT, URGENCY_ORDER, WEEK_DAYS, Rules,
+    NO_CAUSE, SECTORS_PORTFOLIO, SECTORS_PORTFOLIO_DEFAULT, URGENCY_ORDER, WEEK_DAYS, Rules,
 )
 
 
@@ -50,18 +50,22 @@ def portfolio_stats(briefs: DataFrame) -> DataFrame:
 
 
 def all_actions(briefs: DataFrame) -> DataFrame:
-    """Every action with the context of its project."""
+    """Every action with the context of its project.
+
+    An action without a probability takes the confidence of its analysis, if briefs have that column, else 0.7.
+    """
+    confidence = "confidence" if "confidence" in briefs.columns else "CAST(NULL AS DOUBLE)"
     return with_portfolio_sector(briefs).selectExpr(
         "id AS project_id", "name AS project_name", "gc_name", "sector", "project_stage",
         "realized_margin AS realized_margin_pct", "percent_billed", "current_margin_dollars",
-        "posexplode(recovery_actions) AS (pos, a)",
+        f"{confidence} AS analysis_confidence", "posexplode(recovery_actions) AS (pos, a)",
     ).selectExpr(
         "project_id || '_' || CAST(pos + 1 AS STRING) AS action_id", "project_id",
         "project_name", "gc_name", "sector", "project_stage", "realized_margin_pct", "a.action",
         "COALESCE(a.owner, 'Project Manager') AS owner", "a.financial_logic",
         "a.estimated_recovery_dollars", "COALESCE(a.urgency, 'this_month') AS urgency",
         "a.effort", "a.time_to_cash_days",
-        "COALESCE(NULLIF(a.probability_of_success, 0D), 0.7D) AS confidence",
+        "COALESCE(NULLIF(a.probability_of_success, 0D), analysis_confidence, 0.7D) AS confidence",
         "a.cost_to_execute_hours", "a.expected_value", "a.recovery_type",
         "a.linked_root_cause", "CAST(pos + 1 AS BIGINT) AS original_priority",
     )
@@ -274,10 +278,12 @@ def deprioritize(briefs: DataFrame) -> DataFrame:
 
 
 def top_systemic_issue(causes: DataFrame) -> DataFrame:
+    """The most common cause as a sentence; always one row."""
     counts = _by(causes, ["label"], "count(1) AS projects")
     return (
         counts.orderBy(F.col("projects").desc(), F.col("label").asc())
         .limit(1)
+        .agg(F.expr(f"COALESCE(max(label), '{NO_CAUSE}') AS label"))
         .selectExpr(
             "'Top systemic issue' AS title",
             "label || ' is the most common pattern across flagged projects.' AS description",

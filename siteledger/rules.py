@@ -215,6 +215,8 @@ RISK_NONE_TEXT = (
     "No major risk signals detected relative to the rest of the portfolio."
 )
 
+# Fixed value: what stands for the most common cause where there is none.
+NO_CAUSE = "Cash recovery work"
 WEEK_DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday"]
 URGENCY_FACTOR = {"immediate": 1.25, "this_week": 1.1, "this_month": 1.0, "ongoing": 0.85}
 URGENCY_ORDER = ["immediate", "this_week", "this_month", "ongoing"]

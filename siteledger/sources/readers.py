@@ -107,14 +107,42 @@ def load_csv_folder(
     }
 
 
+def _spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that is not blank is no JSON value of its own."""
+    first = spark.read.text(path).filter("trim(value) <> ''").limit(1)
+    return first.filter("try_parse_json(value) IS NULL").count() > 0
+
+
 def scan_json_docs(
-    spark: SparkSession, path: str, schema: T.StructType, whole_files: bool = False
+    spark: SparkSession, path: str, schema: T.StructType, whole_files: bool | None = None
 ) -> DataFrame:
     """JSON records: one per line, or arrays of records on a line.
 
-    With `whole_files` each file is one record or one array, over any number of lines.
+    With `whole_files` each file is one record or one array, over any number of lines; by default the first line
+    tells. A record that can't be read is an error; `corrupt_json` lists all of them.
     """
-    return spark.read.schema(schema).option("multiLine", whole_files).json(path)
+    if whole_files is None:
+        whole_files = _spans_lines(spark, path)
+    return spark.read.schema(schema).option("multiLine", whole_files).option("mode", "FAILFAST").json(path)
+
+
+def corrupt_json(
+    spark: SparkSession, path: str, schema: T.StructType, whole_files: bool | None = None
+) -> DataFrame:
+    """path, record: the text of every record that is no JSON or has a value of another type than the schema's."""
+    if whole_files is None:
+        whole_files = _spans_lines(spark, path)
+    text = T.StructField("_corrupt", T.StringType())
+    scan = (
+        spark.read.schema(T.StructType([*schema.fields, text]))
+        .option("multiLine", whole_files)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_corrupt")
+        .json(path)
+    )
+    # Spark refuses to read the corrupt text alone, so the parsed fields are looked at as well.
+    rows = scan.select(F.col("_metadata.file_path").alias("path"), F.struct(*(f"`{f.name}`" for f in schema.fields)).alias("fields"), "_corrupt")
+    return rows.filter("_corrupt IS NOT NULL AND length(to_json(fields)) >= 0").select("path", F.col("_corrupt").alias("record"))
 
 
 def data_availability(spark: SparkSession, folder: str) -> DataFrame:

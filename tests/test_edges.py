@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from siteledger.functions import numbers, stages, texts
 from siteledger.operators import cleaning, documents, evidence, flags, health, recovery, risk
-from siteledger.operators import summaries
+from siteledger.operators import portfolio, summaries
 from siteledger.plans.portfolio import Portfolio
 from siteledger.rules import DEFAULT_RULES as RULES
 from siteledger.sources import fixtures, readers, writers
@@ -281,6 +281,41 @@ def test_indented_json_array(spark, tmp_path):
     assert [r.x for r in got] == ["1", "2"]
 
 
+def test_json_layout_is_seen_and_corrupt_records_are_told(spark, tmp_path):
+    (tmp_path / "a.json").write_text('\n[\n  {"x": "1"},\n  {"x": "2"}\n]\n')
+    (tmp_path / "b.json").write_text('{"x": "1"}\n\n[{"x": "2"}, {"x": "3"}]\n')
+    (tmp_path / "c.json").write_text('{"x": "1"}\n{"x": \n{"x": "3", "n": "many"}\n{"n": 4}\n')
+    schema = spark.createDataFrame([], "x string, n int").schema
+    read = lambda name: [r.x for r in readers.scan_json_docs(spark, str(tmp_path / name), schema).collect()]
+    assert read("a.json") == ["1", "2"] and read("b.json") == ["1", "2", "3"]
+    with pytest.raises(Exception, match="MALFORMED"):
+        read("c.json")
+    corrupt = readers.corrupt_json(spark, str(tmp_path / "c.json"), schema).collect()
+    assert sorted(r.record.strip() for r in corrupt) == ['{"x":', '{"x": "3", "n": "many"}']
+    assert all(r.path.endswith("c.json") for r in corrupt)
+    assert readers.corrupt_json(spark, str(tmp_path / "a.json"), schema).count() == 0
+
+
+def test_no_cause_has_its_own_text(spark):
+    none = spark.createDataFrame([], "label string")
+    text = "Cash recovery work is the most common pattern across flagged projects."
+    assert portfolio.top_systemic_issue(none).first().description == text
+
+
+def test_actions_fall_back_on_the_confidence_of_their_analysis(spark):
+    action = "named_struct('action', 'a', 'owner', 'o', 'financial_logic', 'f', 'estimated_recovery_dollars', 1D, 'urgency', 'u', " \
+        "'effort', 'low', 'time_to_cash_days', 1L, 'probability_of_success', {}, 'cost_to_execute_hours', 1D, 'expected_value', 1D, " \
+        "'recovery_type', 'r', 'linked_root_cause', 'l')"
+    briefs = spark.range(3).selectExpr(
+        "CAST(id AS STRING) AS id", "'n' AS name", "'g' AS gc_name", "'late' AS project_stage", "0D AS realized_margin", "0D AS percent_billed",
+        "0D AS current_margin_dollars", "IF(id = 2, NULL, 0.4D) AS confidence",
+        f"array({action.format('IF(id = 0, 0.9D, NULL)')}) AS recovery_actions",
+    )
+    odds = lambda df: {r.project_id: r.confidence for r in portfolio.all_actions(df).collect()}
+    assert odds(briefs) == {"0": 0.9, "1": 0.4, "2": 0.7}
+    assert odds(briefs.drop("confidence")) == {"0": 0.9, "1": 0.7, "2": 0.7}
+
+
 def test_delivery_rollups_shuffle_ids_once(spark):
     rows = [
         ("P1", "L1", dt.date(2024, 1, 2), "D1", "Steel", "V1", 2.0, 3.0, 6.0),
