@@ -67,7 +67,8 @@ def _runs(rows: DataFrame, hot: list[int], keep: str) -> DataFrame:
     rows = rows.withColumn("hot", F.col("h").isin(hot) if hot else F.lit(False))
     part = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(PARTS))).otherwise(0)
     rows = rows.withColumn("part", part.cast("int")).withColumn("sha", F.unhex(F.sha2("norm", 256)))
-    key = ("lead", "h", "part")
+    # A constant part would be dropped from the windows but not from the ranges, and all be shuffled twice.
+    key = ("lead", "h", "part") if hot else ("lead", "h")
     beside = W.partitionBy(*key).orderBy("norm", _first(keep))
     head = ~F.col("norm").eqNullSafe(F.lag("norm").over(beside))
     sorted_ = rows.repartitionByRange(*key).withColumn("head", head.cast("int"))
