@@ -244,7 +244,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, how: Similarity) -> Da
     of_set = nodes.select("digest", "rep").join(roots, "rep").join(heads, "root").select(
         "digest", "head", (F.col("rep") == F.col("root")).alias("first")
     )
-    out = sketch.join(staged(of_set, "near-of-set"), "digest", "left")
+    # Rows without words have no set; as null keys they would all meet in one task.
+    found = sketch.filter("digest IS NOT NULL").join(staged(of_set, "near-of-set"), "digest", "left")
+    empty = sketch.filter("digest IS NULL")
+    out = found.unionByName(empty, allowMissingColumns=True)
     return out.select(
         "id",
         "sha",
