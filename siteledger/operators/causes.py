@@ -103,6 +103,9 @@ def severity_bin(score: Column) -> Column:
     )
 
 
+# The sentences by cause.
+
+
 def evidence_text(cause: Column) -> Column:
     c, lit = F.col, F.lit
     share = lambda name: F.concat(fixed(c(name) * 100, 1), lit("%"))
@@ -150,6 +153,7 @@ def classify(metrics: DataFrame) -> DataFrame:
     )
 
 
+# Columns of the management table.
 SUMMARY_COLUMNS = [
     "project_id", "project_name", "gc_name", "risk_level", "risk_score", "main_issue",
     "alert_class", "trigger_score", "primary_trigger", "supporting_triggers",

@@ -158,6 +158,7 @@ def project_packet(
     )
 
 
+# Sections and field names of the packet document.
 SECTIONS = {
     "project": ["project_id", "project_name", "project_stage", "gc_name AS customer",
                 "substantial_completion_date AS delivery_status"],

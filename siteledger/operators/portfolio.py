@@ -263,6 +263,9 @@ def portfolio_brief(rows: DataFrame, top: DataFrame) -> DataFrame:
     ).selectExpr("achievable_recovery", "theoretical_recovery", "_cash.*")
 
 
+# The sentences of the next three functions.
+
+
 def deprioritize(briefs: DataFrame) -> DataFrame:
     loss = "abs(least(0D, current_margin_dollars))"
     return briefs.filter(
