@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteledger.functions.sql import join_alike
+
 # The shape and the allowed words of an analysis document.
 DOCUMENT = (
     "project_id STRING, project_name STRING, severity STRING, headline STRING, "
@@ -56,20 +58,29 @@ def analysis_documents(briefs: DataFrame) -> DataFrame:
 
 
 def extract_json(text: Column) -> Column:
-    """First fenced JSON object, else from the first to the last brace; NULL if none."""
-    fenced = F.regexp_extract(text, r"```(?:json)?\s*(\{[\s\S]*?\})\s*```", 1)
-    braces = F.regexp_extract(text, r"(\{[\s\S]*\})", 1)
+    """First fenced JSON object, else from the first to the last brace; NULL if none.
+
+    A dot that takes line ends is some 70 times faster here than `[\\s\\S]`.
+    """
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     return F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(braces, F.lit("")))
 
 
 def parse_documents(responses: DataFrame, text: str = "response") -> DataFrame:
-    """Adds `doc`; NULL where the text holds no readable document."""
+    """Adds `doc`; NULL where the text holds no readable document.
+
+    Steps of their own, so that each text is searched and parsed once.
+    """
     schema = f"{DOCUMENT}, _broken STRING"
-    parsed = F.from_json(
-        extract_json(F.col(text)), schema, {"columnNameOfCorruptRecord": "_broken"}
+    parsed = F.from_json(F.col("_json"), schema, {"columnNameOfCorruptRecord": "_broken"})
+    readable = F.col("_parsed").isNotNull() & F.col("_parsed._broken").isNull()
+    return (
+        responses.withColumn("_json", extract_json(F.col(text)))
+        .withColumn("_parsed", parsed)
+        .withColumn("doc", F.when(readable, F.col("_parsed")))
+        .drop("_json", "_parsed")
     )
-    readable = parsed.isNotNull() & parsed["_broken"].isNull()
-    return responses.withColumn("doc", F.when(readable, parsed))
 
 
 def _words(name: str) -> str:
@@ -111,7 +122,7 @@ def score_responses(packets: DataFrame, responses: DataFrame) -> DataFrame:
     `outcome` is missing, unreadable, invalid or ok.
     """
     any_broken = " OR ".join(f"COALESCE({c}, false)" for c in document_rules().values())
-    joined = packets.select("project_id").join(parse_documents(responses), "project_id", "left")
+    joined = join_alike(packets.select("project_id"), parse_documents(responses), "project_id", "left")
     return joined.selectExpr(
         "project_id",
         "CASE WHEN response IS NULL THEN 'missing' WHEN doc IS NULL THEN 'unreadable' "

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from siteledger.operators import causes, evidence, variance
+from siteledger.operators import causes, documents, evidence, variance
 from siteledger.sources.readers import empty_table
 
 LINE = "project_id string, sov_line_id string"
@@ -71,3 +71,20 @@ def test_projects_are_never_broadcast(spark):
     )
     assert "Broadcast" not in plan_of(joined)
     assert {r.project_id: r.risk_score for r in joined.collect()} == {"P1": 1, "P2": None}
+
+
+def test_a_document_is_searched_and_parsed_once(spark):
+    texts = [
+        ("a", 'x {"no": 1}\n```json\n{"headline":\n"one", "confidence": 0.5}\n``` {'),
+        ("b", 'say\n{"headline":\n"two"} done'),
+        ("c", "none"), ("d", None), ("e", '{"headline": "cut'),
+    ]
+    responses = spark.createDataFrame(texts, "project_id string, response string").repartition(1)
+    parsed = documents.parse_documents(responses)
+    used = parsed.select("project_id", "doc.headline", "doc.confidence", F.col("doc").isNotNull().alias("readable"))
+    plan = used._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    assert plan.count("regexp_extract(") <= 3
+    assert parsed.columns == ["project_id", "response", "doc"]
+    got = {r.project_id: (r.headline, r.confidence, r.readable) for r in used.collect()}
+    assert got == {"a": ("one", 0.5, True), "b": ("two", None, True), **dict.fromkeys("cde", (None, None, False))}
