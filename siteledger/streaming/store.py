@@ -7,14 +7,15 @@ A batch that is already committed is left out, and one that stopped half-way is
 versions, so a restart at any step changes nothing. Readers open the listed versions only: what a read costs depends
 on the rows, not on the number of batches. `vacuum` removes versions that no recent commit lists.
 
-A bucket is written by one task, so the number of buckets, fixed when the table is made, bounds what a task holds: rows /
-buckets. A key that a batch repeats any number of times costs one row per task, as only the first in order is kept before
-the shuffle.
+A bucket of more than TASK_ROWS rows is written by several tasks, each a file of its own, so the number of buckets, fixed when
+the table is made, does not bound how large it may grow. A key that a batch repeats any number of times costs one row per task,
+as only the first in order is kept before the shuffle.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS = 64
+#: Rows that a task writes; a larger bucket is written by more tasks.
+TASK_ROWS = 250_000
 
 
 class KeyedTable:
@@ -70,8 +73,19 @@ class KeyedTable:
 
     # ---- rows
 
+    def _hash(self) -> Column:
+        return F.xxhash64(*(F.col(f"`{k}`") for k in self.keys))
+
     def _bucketed(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_bucket", F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in self.keys)), F.lit(self.buckets)).cast("int"))
+        return rows.withColumn("_bucket", F.pmod(self._hash(), F.lit(self.buckets)).cast("int"))
+
+    def _spread(self, rows: DataFrame, touched: list[int], most: int) -> DataFrame:
+        """Each touched bucket in partitions of its own, of about TASK_ROWS rows; most: rows there can be in all."""
+        parts = max(1, math.ceil(most / len(touched) / TASK_ROWS))
+        # The upper half of the hash: the bucket has used the remainder.
+        part = F.pmod(F.shiftright(self._hash(), 32), F.lit(parts))
+        place = F.array_position(F.array(*(F.lit(b) for b in touched)), F.col("_bucket")) - 1
+        return rows.repartitionById(len(touched) * parts, (place * parts + part).cast("int"))
 
     def _read(self, live: dict[str, str]) -> DataFrame:
         if not live:
@@ -90,15 +104,18 @@ class KeyedTable:
         live = self.live()
         names = [f"`{f.name}`" for f in self.schema.fields]
         rows = self._bucketed(rows.select(*names))
-        touched = {str(r[0]) for r in rows.select("_bucket").distinct().collect()}
+        counted = {str(r[0]): r[1] for r in rows.groupBy("_bucket").count().collect()}
+        touched = counted.keys()
         if not touched:
             self._commit(batch, live)
             return
-        old = self._bucketed(self._read({b: live[b] for b in touched if b in live}))
+        old = self._read({b: live[b] for b in touched if b in live})
+        most = old.count() + sum(counted.values())
+        old = self._bucketed(old)
         first = W.partitionBy(*(F.col(f"`{k}`") for k in self.keys)).orderBy(*self.order)
         kept = old.unionByName(rows).withColumn("_row", F.row_number().over(first)).filter("_row <= 1").drop("_row")
         folder = f"{batch:020d}-{uuid.uuid4().hex[:8]}"
-        kept.repartition(min(len(touched), self.buckets), "_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/data/{folder}")
+        self._spread(kept, sorted(int(b) for b in touched), most).write.partitionBy("_bucket").parquet(f"{self.root}/data/{folder}")
         self._commit(batch, live | {b: f"{folder}/_bucket={b}" for b in touched})
 
     def vacuum(self, keep: int = 2) -> int:

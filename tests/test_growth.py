@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
 from siteledger.operators import causes, documents, evidence, variance
 from siteledger.sources.readers import empty_table
+from siteledger.streaming import store
+from siteledger.streaming.store import KeyedTable
 
 LINE = "project_id string, sov_line_id string"
 
@@ -88,3 +92,18 @@ def test_a_document_is_searched_and_parsed_once(spark):
     assert parsed.columns == ["project_id", "response", "doc"]
     got = {r.project_id: (r.headline, r.confidence, r.readable) for r in used.collect()}
     assert got == {"a": ("one", 0.5, True), "b": ("two", None, True), **dict.fromkeys("cde", (None, None, False))}
+
+
+def test_a_bucket_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "TASK_ROWS", 500, raising=False)
+    schema = spark.createDataFrame([], "k long, v long").schema
+    table = KeyedTable(spark, str(tmp_path / "t"), schema, ["k"], [F.col("v").asc()], 2)
+    table.merge(spark.range(4000).selectExpr("id AS k", "id AS v"), 0)
+    table.merge(spark.range(2000).selectExpr("id * 4 AS k", "-1L AS v"), 1)
+    first = glob.glob(str(tmp_path / "t/data/*0-*/_bucket=*/*.parquet"))
+    sizes = [spark.read.parquet(f).count() for f in first]
+    assert sum(sizes) == 4000
+    assert len(sizes) == 8 and max(sizes) < 700
+    rows = {r.k: r.v for r in table.read().collect()}
+    assert len(rows) == 5000 and table.read().count() == 5000
+    assert all(rows[k] == (-1 if k % 4 == 0 else k) for k in rows)
