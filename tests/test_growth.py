@@ -7,7 +7,9 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
-from siteledger.operators import causes, documents, evidence, variance
+from siteledger.operators import causes, documents, evidence, packets, summaries, variance
+from siteledger.rules import DEFAULT_RULES
+from siteledger.sources import fixtures
 from siteledger.sources.readers import empty_table
 from siteledger.streaming import store
 from siteledger.streaming.store import KeyedTable
@@ -77,6 +79,46 @@ def test_projects_are_never_broadcast(spark):
     assert {r.project_id: r.risk_score for r in joined.collect()} == {"P1": 1, "P2": None}
 
 
+def test_summaries_by_project_are_never_broadcast(spark):
+    side = lambda *columns: spark.range(1, 3).selectExpr("'P' || id AS project_id", *columns)
+    billing = variance.project_billing_analysis(side("4D AS total_cost"), side("5D AS total_billed"))
+    changes = side("2D AS total_co_value", "1D AS rejected_value", "2L AS total_change_orders", "1L AS rejected_cos")
+    rfi = summaries.rfi_summary(side("3L AS total_rfis"), side("1L AS rfis_linked_to_cos"), DEFAULT_RULES)
+    joined = variance.project_analysis_w_rfi(variance.project_full_analysis(billing, changes), rfi)
+    assert "Broadcast" not in plan_of(joined)
+    assert [(r.project_id, r.billing_gap, r.rejected_value_ratio, r.total_rfis) for r in joined.orderBy("project_id").collect()] == [
+        ("P1", 1.0, 0.5, 3), ("P2", 1.0, 0.5, 3)
+    ]
+
+
+def test_parts_of_packets_are_never_broadcast(spark):
+    side = lambda *columns: spark.range(1, 3).selectExpr("'P' || id AS project_id", *columns)
+    amounts = ("realized_margin_pct", "cost_vs_budget", "labor_burn_ratio", "labor_avg_pct_overrun",
+               "material_avg_pct_overrun", "billing_gap_pct", "approved_co_pct", "rejected_co_pct", "overtime_spike",
+               "burn_rate_acceleration", "crew_size_spike")
+    texts = ("project_name", "gc_name", "risk_level", "severity", "main_issue", "management_cause", "evidence", "recommended_action")
+    management = side("9L AS total_rfis", *[f"1D AS {a}" for a in amounts], *[f"'x' AS {t}" for t in texts])
+    states = ("approved", "pending", "rejected")
+    totals = side(*[f"1L AS {s}_count" for s in states], *[f"2D AS {s}_value" for s in states])
+    joined = packets.hybrid_packet(management, totals, side("3L AS total_rfis"), side("'n' AS content"))
+    assert "Broadcast" not in plan_of(joined)
+    assert [(r.approved_value, r.rfi_count, r.field_notes_count) for r in joined.collect()] == [(2.0, 3, 1)] * 2
+
+
+def test_orders_are_never_broadcast(spark, tmp_path):
+    spark.sql(
+        "SELECT id AS o_orderkey, id % 2 AS o_custkey FROM range(4)"
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.sql(
+        "SELECT id AS l_orderkey, 1L AS l_partkey, 2L AS l_suppkey, 1 AS l_linenumber, 3D AS l_quantity, 1D AS l_extendedprice, "
+        "0D AS l_discount, 0.02D AS l_tax, 'N' AS l_returnflag, 'O' AS l_linestatus, "
+        "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS l_shipdate FROM range(3)"
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    logs = fixtures.labor_logs(spark, str(tmp_path))
+    assert "Broadcast" not in plan_of(logs)
+    assert sorted((r.project_id, r.log_id) for r in logs.collect()) == [("PRJ-0", "L-0-1"), ("PRJ-0", "L-2-1"), ("PRJ-1", "L-1-1")]
+
+
 def test_a_document_is_searched_and_parsed_once(spark):
     texts = [
         ("a", 'x {"no": 1}\n```json\n{"headline":\n"one", "confidence": 0.5}\n``` {'),
