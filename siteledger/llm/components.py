@@ -2,7 +2,7 @@
 
 Union-find runs inside each task and leaves a forest of the links the task holds; what
 remains is joined over tasks by alternating two star operations: every node hangs its larger,
-then its smaller neighbours on the smallest one near it, until nothing changes. Neighbours
+then its smaller neighbours on the smallest one near it, until only stars are left. Neighbours
 are never collected: each step is a minimum per node and a join.
 """
 
@@ -52,7 +52,7 @@ def _toward_smallest(links: DataFrame, both: bool) -> DataFrame:
     sides = links
     if both:
         sides = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = staged(sides.groupBy("u").agg(F.min("v").alias("m")), "star-least")
+    least = sides.groupBy("u").agg(F.min("v").alias("m"))
     joined = sides.join(least, "u")
     if both:
         hung = joined.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
@@ -64,6 +64,14 @@ def _toward_smallest(links: DataFrame, both: bool) -> DataFrame:
     ).distinct()
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every larger node hangs on one smaller node, which itself hangs on none."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"))
+    ends = ends.union(links.select("v", F.lit(0)))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return ends.filter("ups > 1 OR (ups = 1 AND least = 0)").agg(F.count("*")).first()[0] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable, for every node of links (u, v).
 
@@ -72,12 +80,7 @@ def components(links: DataFrame) -> DataFrame:
     links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     links = links.filter("u IS NOT NULL AND u > v").filter("v IS NOT NULL")
     links = staged(links.mapInArrow(_forest, "u long, v long").distinct(), "star")
-    state = None
-    while True:
-        seen = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state:
-            break
-        state = seen
+    while not _are_stars(links):
         large = staged(_toward_smallest(links, both=True), "star")
         links = staged(_toward_smallest(large, both=False), "star")
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("root"))

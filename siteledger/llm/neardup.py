@@ -219,13 +219,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, how: Similarity) -> Da
     nodes = staged(classes(sketch), "near-classes")
     rows = nodes.select("rep", F.explode("bands").alias("key")).distinct()
     buckets = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = staged(rows.join(staged(buckets, "near-buckets"), "key"), "near-members")
+    members = staged(rows.join(buckets, "key"), "near-members")
     # The member that shares most buckets with most others: of edited copies, the one they stem from.
     central = staged(members.groupBy("rep").agg(F.sum("n").alias("central")), "near-central")
     leads = members.join(central, "rep").groupBy("key").agg(
         F.max(F.struct("central", -F.col("rep"))).alias("lead")
     )
-    leads = staged(leads.select("key", (-F.col("lead.col2")).alias("lead")), "near-leads")
+    leads = leads.select("key", (-F.col("lead.col2")).alias("lead"))
     star = members.join(leads, "key").filter("rep <> lead").select(
         F.greatest("lead", "rep").alias("v"), F.least("lead", "rep").alias("u")
     )
@@ -239,7 +239,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, how: Similarity) -> Da
     roots = staged(_roots(nodes, links), "near-roots")
     more = _remaining(members, roots, texts_of, how)
     if more is not None:
-        roots = staged(_roots(nodes, links.union(more)), "near-roots")
+        # Only components that still join are solved again, by their roots.
+        joined = components(more).withColumnRenamed("root", "top")
+        roots = roots.join(joined, F.col("root") == F.col("node"), "left")
+        roots = staged(roots.select("rep", F.coalesce("top", "root").alias("root")), "near-roots")
     heads = nodes.select(F.col("rep").alias("root"), F.col("id").alias("head"))
     of_set = nodes.select("digest", "rep").join(roots, "rep").join(heads, "root").select(
         "digest", "head", (F.col("rep") == F.col("root")).alias("first")
@@ -309,8 +312,8 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _block_links(texts: list[str], ids: np.ndarray, roots: np.ndarray, how: Similarity) -> list[tuple[int, int]]:
-    """Links between different components among some members, no more than join them."""
+def _block_links(texts: list[str], roots: np.ndarray, how: Similarity) -> list[tuple[int, int]]:
+    """Links between different components among some members, as pairs of roots, no more than join them."""
     if len(set(roots.tolist())) < 2:
         return []
     sets = [_one_set(t, how.words) for t in texts]
@@ -330,12 +333,12 @@ def _block_links(texts: list[str], ids: np.ndarray, roots: np.ndarray, how: Simi
         a, b = top(int(roots[i])), top(int(roots[j]))
         if a != b:
             parent[max(a, b)] = min(a, b)
-            out.append((int(ids[i]), int(ids[j])))
+            out.append((int(roots[i]), int(roots[j])))
     return out
 
 
 def _compare_blocks(how: Similarity):
-    """Rows (key, i, j, rep, root, text) sorted by (key, i, j), one such group in memory."""
+    """Rows (key, i, j, root, text) sorted by (key, i, j), one such group in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group = None, []
@@ -343,25 +346,25 @@ def _compare_blocks(how: Similarity):
         def links() -> pa.RecordBatch:
             found = []
             if len(group) > 1:
-                reps, roots, texts = zip(*group, strict=True)
-                found = _block_links(list(texts), np.array(reps, np.int64), np.array(roots, np.int64), how)
+                roots, texts = zip(*group, strict=True)
+                found = _block_links(list(texts), np.array(roots, np.int64), how)
             u, v = np.array(found, np.int64).reshape(-1, 2).T
             return pa.RecordBatch.from_pydict({"u": u, "v": v})
 
         for batch in batches:
-            names = ("key", "i", "j", "rep", "root", "text")
-            for *mark, rep, root, text in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+            names = ("key", "i", "j", "root", "text")
+            for *mark, root, text in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
                 if mark != at:
                     yield links()
                     at, group = mark, []
-                group.append((rep, root, text))
+                group.append((root, text))
         yield links()
 
     return run
 
 
 def _remaining(members: DataFrame, roots: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame | None:
-    """Links between components that share a bucket.
+    """Links between the roots of components that share a bucket.
 
     A bucket of n members is dealt into n / BLOCK blocks, and two blocks at a time are compared in one
     task by matrix products; only links that join components come out, never pairs.
@@ -383,5 +386,5 @@ def _remaining(members: DataFrame, roots: DataFrame, texts: DataFrame, how: Simi
     )
     rows = dealt.join(texts.select(F.col("id").alias("rep"), "text"), "rep")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-    found = rows.select("key", "i", "j", "rep", "root", "text").mapInArrow(_compare_blocks(how), "u long, v long")
+    found = rows.select("key", "i", "j", "root", "text").mapInArrow(_compare_blocks(how), "u long, v long")
     return staged(found.distinct(), "near-links")

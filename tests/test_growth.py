@@ -7,10 +7,13 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
+from siteledger.llm import components
 from siteledger.operators import causes, documents, evidence, packets, summaries, variance
+from siteledger.plans import portfolio
 from siteledger.rules import DEFAULT_RULES
 from siteledger.sources import fixtures
 from siteledger.sources.readers import empty_table
+from siteledger.sources.schemas import SCHEMAS
 from siteledger.streaming import store
 from siteledger.streaming.store import KeyedTable
 
@@ -119,6 +122,26 @@ def test_orders_are_never_broadcast(spark, tmp_path):
     assert sorted((r.project_id, r.log_id) for r in logs.collect()) == [("PRJ-0", "L-0-1"), ("PRJ-0", "L-2-1"), ("PRJ-1", "L-1-1")]
 
 
+def test_packets_read_the_deliveries_once(spark, monkeypatch):
+    shared = []
+    monkeypatch.setattr(portfolio, "freeze", lambda df: shared.append(df) or df)
+    p = portfolio.Portfolio({name: empty_table(spark, name) for name in SCHEMAS}, share=True)
+    packets.nested_packet(p.packet, p.row_counts)
+    assert sum("material_category" in df.columns for df in shared) == 1
+
+
+def test_stars_need_no_further_round(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(components, "staged", lambda df, label, f=components.staged: made.append(label) or f(df, label))
+    star = spark.createDataFrame([(n, 1) for n in range(2, 9)] + [(11, 10)], "u long, v long").repartition(3)
+    assert {(r.node, r.root) for r in components.components(star).collect()} == {
+        *((n, 1) for n in range(1, 9)), (10, 10), (11, 10)
+    }
+    assert len(made) == 1
+    chain = spark.createDataFrame([(n + 1, n) for n in range(40)], "u long, v long").repartition(7)
+    assert {(r.node, r.root) for r in components.components(chain).collect()} == {(n, 0) for n in range(41)}
+
+
 def test_a_document_is_searched_and_parsed_once(spark):
     texts = [
         ("a", 'x {"no": 1}\n```json\n{"headline":\n"one", "confidence": 0.5}\n``` {'),
