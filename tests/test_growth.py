@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteledger.llm import components
-from siteledger.operators import causes, documents, evidence, packets, summaries, variance
+from siteledger.operators import causes, documents, evidence, ordering, packets, summaries, variance
 from siteledger.plans import portfolio
+from siteledger.plans.registry import QUERIES
 from siteledger.rules import DEFAULT_RULES
 from siteledger.sources import fixtures
 from siteledger.sources.readers import empty_table
@@ -122,6 +123,41 @@ def test_orders_are_never_broadcast(spark, tmp_path):
     assert sorted((r.project_id, r.log_id) for r in logs.collect()) == [("PRJ-0", "L-0-1"), ("PRJ-0", "L-2-1"), ("PRJ-1", "L-1-1")]
 
 
+STAR = {
+    "nation": "SELECT 0 AS n_nationkey, 'N' AS n_name, 0 AS n_regionkey",
+    "customer": "SELECT id AS c_custkey, 'c' AS c_name, 0 AS c_nationkey, 1D AS c_acctbal, 'BUILDING' AS c_mktsegment FROM range(3)",
+    "orders": "SELECT id AS o_orderkey, id % 3 AS o_custkey, 'F' AS o_orderstatus, 900D AS o_totalprice, "
+    "TIMESTAMP_NTZ'2024-01-02 00:00:00' AS o_orderdate, '2-HIGH' AS o_orderpriority FROM range(12)",
+    "lineitem": "SELECT id % 12 AS l_orderkey, id AS l_partkey, id AS l_suppkey, CAST(id DIV 12 + 1 AS INT) AS l_linenumber, "
+    "8D AS l_quantity, 1D AS l_extendedprice, 0D AS l_discount, 0.02D AS l_tax, 'N' AS l_returnflag, 'O' AS l_linestatus, "
+    "TIMESTAMP_NTZ'2024-01-03 00:00:00' AS l_shipdate FROM range(60)",
+    "events": "SELECT id AS event_id, TIMESTAMP_NTZ'2024-01-04 00:00:00' AS ts, id % 3 AS user_id, 'error' AS event_type, "
+    "1D AS value, '{}' AS props FROM range(9)",
+    "documents": "SELECT id AS doc_id, 'Rework' AS text, 'en' AS lang, 'src0' AS source, 6L AS n_chars FROM range(6)",
+}
+
+
+@pytest.mark.parametrize("key", ["project_cost_summary", "hybrid_packet", "sort_01"])
+def test_whole_queries_broadcast_nations_alone(spark, tmp_path, monkeypatch, key):
+    """Whatever the threshold: frozen stages and the last plan join all but the nations by merging."""
+    for name, sql in STAR.items():
+        spark.sql(sql).write.parquet(str(tmp_path / f"{name}.parquet"))
+    plans = []
+    for module in (portfolio, ordering):
+        monkeypatch.setattr(module, "freeze", lambda df, f=module.freeze: plans.append(plan_of(df)) or f(df))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        made = QUERIES[key].build(spark, str(tmp_path))
+        plans.append(plan_of(made))
+        rows = made.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    joins = [line for plan in plans for line in plan.splitlines() if "Broadcast" in line and "Join" in line]
+    assert [line for line in joins if "c_nationkey" not in line] == []
+    assert any("SortMergeJoin" in plan for plan in plans) and rows == 3
+
+
 def test_packets_read_the_deliveries_once(spark, monkeypatch):
     shared = []
     monkeypatch.setattr(portfolio, "freeze", lambda df: shared.append(df) or df)
