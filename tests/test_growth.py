@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import glob
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from siteledger.llm import components
-from siteledger.operators import causes, documents, evidence, ordering, packets, summaries, variance
+from siteledger.operators import causes, cleaning, documents, evidence, ordering, packets, summaries, variance
 from siteledger.plans import portfolio
 from siteledger.plans.registry import QUERIES
 from siteledger.rules import DEFAULT_RULES
@@ -166,6 +167,50 @@ def test_packets_read_the_deliveries_once(spark, monkeypatch):
     assert sum("material_category" in df.columns for df in shared) == 1
 
 
+def test_frozen_stages_leave_no_shuffle_files(spark, tmp_path, monkeypatch):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    monkeypatch.setattr(ordering, "scratch_path", lambda _, label: str(tmp_path / label))
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    was = spark.conf.get(ordering.CLEANUP)
+    before = shuffled()
+    frozen = ordering.freeze(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count())
+    until = time.time() + 20
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert left == set()
+    assert spark.conf.get(ordering.CLEANUP) == was
+    assert {(r.k, r["count"]) for r in frozen.collect()} == {(k, 143 if k < 6 else 142) for k in range(7)}
+
+
+def test_management_shares_narrow_stages(spark, monkeypatch):
+    """Logs, cube and cost lines are written once, each with the columns that its readers need; so is the analysis."""
+    shared = []
+    monkeypatch.setattr(portfolio, "freeze", lambda df: shared.append(df.columns) or df)
+    p = portfolio.Portfolio({name: empty_table(spark, name) for name in SCHEMAS}, share=True)
+    assert p.management_metrics.count() == 0
+    assert [c for c in shared if "employee_id" in c] == [
+        ["project_id", "date", "employee_id", "role", "sov_line_id", "hours_st", "hours_ot", "hourly_rate", "burden_multiplier"],
+        ["project_id", "sov_line_id", "week_start", "employee_id", "st", "ot", "cost"],
+    ]
+    assert sum("rejected_value_ratio" in c for c in shared) == 1
+    assert sum("labor_variance" in c for c in shared) == sum("material_variance" in c for c in shared) == 1
+
+
+def test_unread_columns_at_the_end_choose_no_log(spark):
+    rows = [("L1", "2024-01-02", 5.0, "b", "A-1"), ("L1", "2024-01-02", 4.0, "c", "A-2"), ("L1", "2024-01-02", 4.0, "a", "A-3"),
+            ("L2", None, None, None, None), ("L2", None, 1.0, "z", None)]
+    logs = spark.createDataFrame(rows, "log_id string, date string, hours_st double, cost_code string, work_area string")
+    short = cleaning.without_last(logs, ("work_area", "cost_code"))
+    assert short.columns == ["log_id", "date", "hours_st"]
+    assert cleaning.without_last(logs, ("cost_code",)).columns == logs.columns
+    kept = lambda df: sorted((r.log_id, r.hours_st) for r in cleaning.dedup_labor(df).collect())
+    assert kept(short) == kept(logs) == [("L1", 4.0), ("L2", 1.0)]
+
+
 def test_stars_need_no_further_round(spark, monkeypatch):
     made = []
     monkeypatch.setattr(components, "staged", lambda df, label, f=components.staged: made.append(label) or f(df, label))
