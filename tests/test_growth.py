@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import json
 import time
 
 import pytest
@@ -110,6 +111,58 @@ def test_parts_of_packets_are_never_broadcast(spark):
     assert [(r.approved_value, r.rfi_count, r.field_notes_count) for r in joined.collect()] == [(2.0, 3, 1)] * 2
 
 
+def test_a_hybrid_packet_has_all_orders_rfis_and_notes(spark):
+    """In parts of two, each field of each item, in order, whatever the partitions; a project without items has one part."""
+    orders = [("P1", f"C{i}", "d", 5.0 + i, "Approved", None) for i in (2, 0, 4, 1, 3)] + [("P2", "C1", None, None, None, None)] * 2
+    rfis = [("P1", "R2", "s", "Open", "High", "Yes"), ("P1", "R1", None, None, None, None), (None, "R9", "s", "Open", "High", "No")]
+    notes = [("P1", "2024-01-02", "a", "daily", "old"), ("P1", "2024-01-03", "a", "daily", "new"), ("P1", None, None, None, "none"),
+             ("P9", "2024-01-01", "a", "daily", "of no project")]
+    tables = [
+        spark.createDataFrame(rows, "project_id string, " + kinds).repartition(3)
+        for rows, kinds in (
+            (orders, "co_number string, description string, amount double, status string, reason_category string"),
+            (rfis, "rfi_number string, subject string, status string, priority string, cost_impact string"),
+            (notes, "date string, author string, note_type string, content string"),
+        )
+    ]
+    numbers = ("realized_margin_pct", "cost_vs_budget", "labor_burn_ratio", "labor_avg_pct_overrun", "material_avg_pct_overrun",
+               "billing_gap_pct", "approved_co_pct", "rejected_co_pct", "pending_co_pct", "overtime_spike", "burn_rate_acceleration",
+               "crew_size_spike", "forecast_to_complete_trend", "max_open_rfi_age", "trigger_score")
+    texts = ("project_name", "gc_name", "risk_level", "severity", "alert_class", "primary_trigger", "supporting_triggers",
+             "fired_triggers", "why_now", "main_issue", "management_cause", "evidence", "recommended_action")
+    management = spark.range(1, 4).selectExpr(
+        "'P' || id AS project_id", "9L AS total_rfis", *[f"1D AS {n}" for n in numbers], *[f"'x' AS {t}" for t in texts]
+    )
+    items, rfi_counts = packets.packet_items(*tables), summaries.rfi_counts(tables[1])
+    made = packets.hybrid_packet(management, packets.co_totals_by_status(tables[0]), rfi_counts, tables[2], items, 2)
+    assert "Broadcast" not in plan_of(made)
+    rows = made.orderBy("project_id", "part").collect()
+    assert [(r.project_id, r.part) for r in rows] == [("P1", 1), ("P1", 2), ("P1", 3), ("P2", 1), ("P3", 1)]
+    assert all((r.fired_triggers, r.pending_co_pct, r.max_open_rfi_age, r.forecast_to_complete_trend) == ("x", 1, 1, 1) for r in rows)
+    assert [(r.approved_count, r.approved_value, r.rfi_count, r.field_notes_count) for r in rows[:3]] == [(5, 35.0, 2, 3)] * 3
+    plain = lambda r: {s: [tuple(x) for x in r[s]] for s in packets.DETAILS}
+    co = lambda i: (f"C{i}", "d", 5.0 + i, "Approved", None)
+    assert [plain(r) for r in rows] == [
+        {"change_orders": [co(0), co(1)], "rfis": [("R1", None, None, None, None), ("R2", "s", "Open", "High", "Yes")],
+         "field_notes": [("2024-01-03", "a", "daily", "new"), ("2024-01-02", "a", "daily", "old")]},
+        {"change_orders": [co(2), co(3)], "rfis": [], "field_notes": [(None, None, None, "none")]},
+        {"change_orders": [co(4)], "rfis": [], "field_notes": []},
+        {"change_orders": [("C1", None, None, None, None)] * 2, "rfis": [], "field_notes": []},
+        {"change_orders": [], "rfis": [], "field_notes": []},
+    ]
+
+
+def test_the_hybrid_query_gives_every_row_of_its_projects(spark, tmp_path):
+    for name, sql in STAR.items():
+        spark.sql(sql).write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = QUERIES["hybrid_packet"].build(spark, str(tmp_path)).collect()
+    found = {s: sorted(x[k] for r in rows for x in json.loads(r[s])) for s, k in
+             {"change_orders": "co_number", "rfis": "rfi_number", "field_notes": "content"}.items()}
+    assert found["change_orders"] == sorted(f"CO-{i}" for i in range(12))
+    assert found["rfis"] == sorted(f"RFI-{i}" for i in range(9))
+    assert len(found["field_notes"]) == 3 and all(t.endswith("Rework") for t in found["field_notes"])
+
+
 def test_orders_are_never_broadcast(spark, tmp_path):
     spark.sql(
         "SELECT id AS o_orderkey, id % 2 AS o_custkey FROM range(4)"
